@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadscape.llm import language_id, mixing, pii, sentencepiece_dropout, topk, url_filter, warc
+from loadscape.llm import cover_tree, jaccard_join, language_id, mixing, pii, sentencepiece_dropout, substring_dedup, topk, url_filter, warc
 from loadscape.llm.common import WORD_PATTERN, table, word_count
 
 
@@ -14,15 +14,27 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), word_count("text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "n_taken")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
@@ -40,7 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_language_id, op5_mixing, op7_warc, op8_topk, op9_url_filter, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_jaccard, op5_mixing, op6_cover_tree, op7_warc, op8_topk, op9_url_filter, op10_sentencepiece)}
 
 
 _W = ", ".join(f"({i}, {float(w)})" for i, w in enumerate(mixing.WEIGHTS))
