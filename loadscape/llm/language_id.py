@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,14 @@ def identify(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     flagged = docs.select("doc_id", "text", held_out().alias("held_out"))
     return predict(flagged, model, "doc_id", "text", "held_out")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a known language by a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sure(texts: pd.Series) -> pd.Series:
+        found = map(shared.value.predict, texts)
+        return pd.Series([lang != "und" and score >= least for lang, score in found], dtype=bool)
+
+    return docs.filter(F.pandas_udf(sure, "boolean")(F.col(text_col)))

@@ -108,3 +108,16 @@ def _per_row(copies: DataFrame) -> DataFrame:
     nth = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
     each = some.select("*", nth.alias("nth")).withColumn("n_taken", (F.floor(F.col("n") / F.col("rows")) + (F.col("nth") <= F.col("n") % F.col("rows")).cast("long")).cast("long"))
     return each.select("doc_id", "source", "size", "source_size", "target", "n_taken", (F.col("n_taken") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, size: F.Column, **settings) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    counts = mix(docs, size, **settings).groupBy("doc_id", "source", "size").agg(F.sum("n_taken").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    counts = counts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n", "_rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    found = docs.withColumn("_size", size.cast("long")).join(counts, same).filter("_n > 0")
+    # rows that repeat share what was taken of them
+    nth = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.hash(*docs.columns)))
+    several = found.filter("_rows > 1").withColumn("_times", (F.floor(F.col("_n") / F.col("_rows")) + (nth <= F.col("_n") % F.col("_rows")).cast("int")).cast("int"))
+    once = found.filter("_rows = 1").withColumn("_times", F.col("_n").cast("int"))
+    return once.unionByName(several).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
