@@ -204,18 +204,19 @@ def _sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return reps.mapInArrow(run, "class long, text string, sketch binary")
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
     """For buckets (bucket, class, size, component, sketch): pairs to verify (class, other), and (bucket, class, size) for the next round.
 
-    One after another, members not yet paired are held against all others of other components by size and by the
-    Hamming distance of their sketches. Those that pass are verified and wait for the next round; one that has been
-    held against all is done.
+    One after another, members are held against all others of other components by size and by the Hamming distance
+    of their sketches; those that pass are verified. A member that already is in `most` of a round's pairs waits for
+    the next, when many of these are in one component; one that has been held against all is done.
     """
 
     def pairs_of(bucket: int, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> tuple[list, np.ndarray]:
-        waits, out = np.zeros(len(cls), bool), []
+        paired, waits, out = np.zeros(len(cls), int), np.zeros(len(cls), bool), []
         for i in range(len(cls)):
-            if waits[i]:
+            if paired[i] >= most:
+                waits[i] = True
                 continue
             total = size + size[i]
             near = (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (comp != comp[i])
@@ -224,7 +225,7 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
             rows = rows[np.bitwise_count(sk[rows] ^ sk[i]).sum(axis=1) * (100 + percent) <= total[rows] * (100 - percent)]
             if len(rows):
                 out.append((np.minimum(cls[rows], cls[i]), np.maximum(cls[rows], cls[i])))
-                waits[rows[rows > i]] = True
+                paired[rows] += 1
         return out, waits
 
     def flush(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
@@ -283,8 +284,8 @@ def profiles(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     return found.select("doc_id", "size", "class"), np.sort(top.astype(np.int64).view(np.uint64))
 
 
-def links(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """u, v: links between the representatives (smallest doc_id) of classes, enough to give their components."""
+def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, component of the representatives (smallest doc_id) of classes that have links."""
     spark = docs.sparkSession
     n = partitions(spark)
     packed = _packed_parts(docs, k, percent, spark.sparkContext.broadcast(frequent), 2 * n)
@@ -297,31 +298,33 @@ def links(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k: int = WO
     # at first every class is its own component
     members = shared.filter("bucket is not null").select("bucket", "class", "size", F.col("class").alias("component"))
     found = known = None
+    most = 1
     while True:
-        round_ = kept(_candidates(members.join(sets.select("class", "sketch"), "class"), percent), "jaccard-round")
+        round_ = kept(_candidates(members.join(sets.select("class", "sketch"), "class"), percent, most), "jaccard-round")
         pairs = pairs.unionByName(round_.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         checked = kept(_verify(pairs, sets.select("class", "text"), k), "jaccard-pairs")
         known = checked.select("a", "b") if known is None else known.unionByName(checked.select("a", "b"))
         linked = rep(rep(checked.filter(F.col("inter") * 100 >= F.col("either") * percent), "a"), "b").select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
-        found = linked if found is None else found.unionByName(linked)
+        # the components so far stand for all links so far
+        found = kept(components(linked if found is None else found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(linked)), "jaccard-components")
         waiting = round_.filter("bucket is not null").select("bucket", "class", "size")
         if waiting.isEmpty():
             return found
-        named = rep(waiting, "class").join(components(found), F.col("class_rep") == F.col("id"), "left")
+        named = rep(waiting, "class").join(found, F.col("class_rep") == F.col("id"), "left")
         named = kept(named.select("bucket", "class", "size", F.coalesce("component", "class_rep").alias("component")), "jaccard-waiting")
         several = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
         members = kept(named.join(several, "bucket", "left_semi"), "jaccard-rest")
         if members.isEmpty():
             return found
-        pairs = pairs.limit(0)
+        pairs, most = pairs.limit(0), 8 * most
 
 
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     profile, frequent = profiles(docs, k)
-    labels = components(links(docs, profile, frequent, k, percent))
+    labels = linked_classes(docs, profile, frequent, k, percent)
     reps = profile.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     of_class = reps.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("class").alias("c"), F.coalesce("component", "rep").alias("component_id"))
     return profile.join(of_class, F.col("class") == F.col("c"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
