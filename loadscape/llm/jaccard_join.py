@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loadscape.llm.common import kept, lowered, mix, partitions, run_hashes, word_hashes
 from loadscape.llm.components import components
 
-WORDS, PERCENT, FREQUENT, LOCAL_FREQUENT, SKETCH = 5, 75, 1 << 16, 6, 1024
+WORDS, PERCENT, FREQUENT, LOCAL_FREQUENT, SKETCH = 5, 75, 1 << 16, 6, 512
 _BASE, _FLUSH = 0x9E6C63D0876A9A47, 1 << 21
 
 
@@ -45,6 +45,13 @@ def set_class(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def sketches(sets: list[np.ndarray]) -> pa.ListArray:
+    """The parity sketch of each set, folded to SKETCH bits: one bit flipped by each shingle."""
+    rows = [np.packbits((np.bincount((x >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)) for x in sets]
+    flat = np.concatenate([np.zeros(0, np.uint8), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64), pa.array(flat))
+
+
 def most_different(a: int, percent: int = PERCENT) -> int:
     """On how many shingles a set of size a and its largest partner may differ."""
     largest = a * 100 // percent
@@ -77,7 +84,7 @@ def part_keys(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size, class of every document; and, here and there, shingles frequent in a batch with their counts."""
+    """doc_id, size, class and sketch of every document; and, here and there, shingles frequent in a batch with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +95,11 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             at[1:] = len(hot)  # with the batch's first document
             lists = lambda x: pa.ListArray.from_arrays(at, pa.array(x, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), lists(hot.view(np.int64)), lists(counts)],
-                names=["doc_id", "size", "class", "hot", "counts"],
+                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), sketches(sets), lists(hot.view(np.int64)), lists(counts)],
+                names=["doc_id", "size", "class", "sketch", "hot", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, hot array<long>, counts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, sketch array<long>, hot array<long>, counts array<long>")
 
 
 def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, n: int) -> DataFrame:
@@ -159,17 +166,17 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
             # a list of classes as one hash: the sum of its classes' mixed ids
             digest = np.add.reduceat(mix(cls.view(np.uint64)), starts) if len(starts) else starts
             _, first = np.unique(digest[some], return_index=True)
-            starts, lengths = starts[some][first], lengths[some][first]
+            starts, lengths, digests = starts[some][first], lengths[some][first], digest[some][first]
             two = starts[lengths == 2]
             small, large = sizes[who[two]], sizes[who[two + 1]]
             two = two[np.minimum(small, large).astype(np.int64) * 100 >= np.maximum(small, large).astype(np.int64) * percent]
             none = lambda kind: pa.nulls(len(two), kind)
             yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), none(pa.int32()), pa.array(cls[two + 1])], names=["bucket", "class", "size", "other"])
-            starts, lengths = starts[lengths > 2], lengths[lengths > 2]
+            starts, lengths, digests = starts[lengths > 2], lengths[lengths > 2], digests[lengths > 2]
             for at in range(0, len(starts), 20_000):
                 st, ln = starts[at : at + 20_000], lengths[at : at + 20_000]
                 pos = np.repeat(st - np.concatenate(([0], np.cumsum(ln)[:-1])), ln) + np.arange(ln.sum())
-                bucket = np.repeat(mix(st.astype(np.uint64) + (np.uint64(p) << np.uint64(40))).view(np.int64), ln)
+                bucket = np.repeat(mix(digests[at : at + 20_000] ^ ln.astype(np.uint64)).view(np.int64), ln)  # the same for the same list anywhere
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[pos]), pa.array(sizes[who[pos]]), pa.nulls(len(pos), pa.int64())], names=["bucket", "class", "size", "other"])
 
         for batch in batches:
@@ -184,24 +191,17 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
     return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, other long")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The parity sketch folded to SKETCH bits: one bit flipped by each shingle."""
-    bits = np.bincount((hashes >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
 def _sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """class, text, sketch of each class's representative."""
+    """class and text of each class's representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), k) for t in batch["text"]]
-            own = pa.array([set_class(x) if len(x) else None for x in found], pa.int64())
-            right = pa.array([a == b for a, b in zip(own.to_pylist(), batch["class"].to_pylist())], pa.bool_())  # an id may repeat with another text
-            yield pa.RecordBatch.from_arrays([batch["class"], batch["text"], pa.array([sketch(x) for x in found], pa.binary())], names=["class", "text", "sketch"]).filter(right)
+            right = pa.array([len(x) > 0 and set_class(x) == c for x, c in zip(found, batch["class"].to_pylist())], pa.bool_())  # an id may repeat with another text
+            yield pa.RecordBatch.from_arrays([batch["class"], batch["text"]], names=["class", "text"]).filter(right)
 
     reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
-    return reps.mapInArrow(run, "class long, text string, sketch binary")
+    return reps.mapInArrow(run, "class long, text string")
 
 
 def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
     def flush(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         rows.sort()
         cls, size, comp = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        sk = np.array([r[3] for r in rows], np.int64).view(np.uint64)
         out, waits = pairs_of(bucket, cls, size, comp, sk)
         a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
         n, m = len(a), int(waits.sum())
@@ -281,7 +281,7 @@ def profiles(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     found = kept(_profile(docs, k), "shingle-profiles")
     hot = found.select(F.explode(F.arrays_zip("hot", "counts")).alias("h")).groupBy("h.hot").agg(F.sum("h.counts").alias("n"))
     top = hot.orderBy(F.col("n").desc(), F.col("hot")).limit(FREQUENT).toPandas()["hot"].to_numpy()
-    return found.select("doc_id", "size", "class"), np.sort(top.astype(np.int64).view(np.uint64))
+    return found.select("doc_id", "size", "class", "sketch"), np.sort(top.astype(np.int64).view(np.uint64))
 
 
 def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -289,22 +289,31 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k:
     spark = docs.sparkSession
     n = partitions(spark)
     packed = _packed_parts(docs, k, percent, spark.sparkContext.broadcast(frequent), 2 * n)
-    shared = kept(_buckets(packed, percent, n), "jaccard-buckets")
+    shared = kept(_buckets(packed, percent, n).distinct(), "jaccard-buckets")
+    known_classes = profile.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     met = shared.select("class").unionByName(shared.select(F.col("other").alias("class"))).distinct()
-    classes = kept(met.join(profile.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "class"), "jaccard-classes")
-    sets = kept(_sets(docs, classes, k), "jaccard-sets")
+    classes = kept(met.join(known_classes, "class"), "jaccard-classes")
     rep = lambda df, c: df.join(classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep")), c)
-    pairs = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.filter(apart * (100 + percent) <= (F.col("a_size") + F.col("b_size")) * (100 - percent)).select("a", "b")
+    sets = None
     # at first every class is its own component
     members = shared.filter("bucket is not null").select("bucket", "class", "size", F.col("class").alias("component"))
     found = known = None
     most = 1
     while True:
-        round_ = kept(_candidates(members.join(sets.select("class", "sketch"), "class"), percent, most), "jaccard-round")
+        round_ = kept(_candidates(members.join(classes.select("class", "sketch"), "class"), percent, most), "jaccard-round")
         pairs = pairs.unionByName(round_.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        checked = kept(_verify(pairs, sets.select("class", "text"), k), "jaccard-pairs")
+        if sets is None:
+            # later rounds pair only classes that this one has paired
+            pairs = kept(pairs, "jaccard-first-pairs")
+            paired = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+            sets = kept(_sets(docs, paired.join(classes.select("class", "rep"), "class"), k), "jaccard-sets")
+        checked = kept(_verify(pairs, sets, k), "jaccard-pairs")
         known = checked.select("a", "b") if known is None else known.unionByName(checked.select("a", "b"))
         linked = rep(rep(checked.filter(F.col("inter") * 100 >= F.col("either") * percent), "a"), "b").select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
         # the components so far stand for all links so far
