@@ -46,10 +46,37 @@ def set_class(hashes: np.ndarray) -> int:
 
 
 def sketches(sets: list[np.ndarray]) -> pa.ListArray:
-    """The parity sketch of each set, folded to SKETCH bits: one bit flipped by each shingle."""
-    rows = [np.packbits((np.bincount((x >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)) for x in sets]
-    flat = np.concatenate([np.zeros(0, np.uint8), *rows]).view(np.int64)
-    return pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64), pa.array(flat))
+    """The parity sketch of each set, folded to two to four bits a shingle (a power of two, SKETCH at least): one bit flipped by each shingle."""
+    rows = []
+    for x in sets:
+        n = max(SKETCH, 2 << len(x).bit_length())
+        rows.append(np.packbits((np.bincount((x >> np.uint64(24)).astype(np.int64) % n, minlength=n) & 1).astype(np.uint8)).view(np.int64))
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch folded further, to a smaller number of words."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _near(a: np.ndarray, b: np.ndarray, total: int, percent: int) -> bool:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count((folded(a, words) ^ folded(b, words)).view(np.uint64)).sum()) * (100 + percent) <= total * (100 - percent)
+
+
+def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs (a, b, a_size, b_size, a_sketch, b_sketch) whose sketches admit a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch["a_size"].to_numpy() + batch["b_size"].to_numpy()).tolist()
+            keep = [_near(x.values.to_numpy(), y.values.to_numpy(), n, percent) for x, y, n in zip(batch["a_sketch"], batch["b_sketch"], sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def most_different(a: int, percent: int = PERCENT) -> int:
@@ -229,9 +256,10 @@ def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
         return out, waits
 
     def flush(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
-        rows.sort()
+        rows.sort(key=lambda r: r[0])
         cls, size, comp = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sk = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+        words = min(len(r[3]) for r in rows)
+        sk = np.stack([folded(r[3], words) for r in rows]).view(np.uint64)
         out, waits = pairs_of(bucket, cls, size, comp, sk)
         a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
         n, m = len(a), int(waits.sum())
@@ -240,7 +268,8 @@ def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "class", "size", "component", "sketch"))):
+            for bucket, *row, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "class", "size", "component")), batch["sketch"]):
+                row.append(bits.values.to_numpy())
                 if bucket != now:
                     if rows:
                         yield from flush(now, rows)
@@ -295,9 +324,8 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k:
     classes = kept(met.join(known_classes, "class"), "jaccard-classes")
     rep = lambda df, c: df.join(classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep")), c)
     side = lambda c: classes.select(F.col("class").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
-    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     pairs = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.filter(apart * (100 + percent) <= (F.col("a_size") + F.col("b_size")) * (100 - percent)).select("a", "b")
+    pairs = _near_pairs(pairs, percent)
     sets = None
     # at first every class is its own component
     members = shared.filter("bucket is not null").select("bucket", "class", "size", F.col("class").alias("component"))
