@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loadscape.functions import arrays as A
 from loadscape.functions import kernels as K
+from loadscape.functions import shape_kernels
 
 DIGITS = 6
 
@@ -157,24 +158,31 @@ def mutual_information(points: DataFrame, lag: int = 2, bins: int = 5) -> DataFr
 NUMERIC = ("fund_freq", "freq_mean", "freq_roll_on", "low_fifth_power", "dfa", "rs_range")
 
 
-def _numeric(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in batches:
-        rows = []
-        for ts_id, v in zip(part["ts_id"], part["values"]):
-            v = np.asarray(v, float)
-            rows.append({"ts_id": ts_id, **K.spectrum_features(v), "dfa": K.fluctuation(v), "rs_range": K.fluctuation(v, True)})
-        yield pd.DataFrame(rows, columns=["ts_id", *NUMERIC])
+def per_series(series: DataFrame, call: Callable[[np.ndarray], dict[str, float]], names: tuple[str, ...]) -> DataFrame:
+    """ts_id and the numbers that any callable of one series returns by name: one Arrow call a batch; nan and missing names are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [{"ts_id": ts_id, **call(np.asarray(v, float))} for ts_id, v in zip(part["ts_id"], part["values"])]
+            yield pd.DataFrame(rows, columns=["ts_id", *names])
+
+    found = series.select("ts_id", "values").mapInPandas(run, "ts_id long, " + ", ".join(f"{c} double" for c in names))
+    return found.select("ts_id", *[rounded(F.col(c)).alias(c) for c in names])
 
 
 def numeric(series: DataFrame) -> DataFrame:
-    """Spectral and fluctuation features: one Arrow call a batch returns them all."""
-    found = series.select("ts_id", "values").mapInPandas(_numeric, "ts_id long, " + ", ".join(f"{c} double" for c in NUMERIC))
-    return found.select("ts_id", *[rounded(F.col(c)).alias(c) for c in NUMERIC])
+    """Spectral and fluctuation features."""
+    return per_series(series, lambda v: {**K.spectrum_features(v), "dfa": K.fluctuation(v), "rs_range": K.fluctuation(v, True)}, NUMERIC)
+
+
+def shapes(series: DataFrame) -> DataFrame:
+    """Transitions, periodicity, embedding distances, time scales, timing of outliers, change points and seasonality."""
+    return per_series(series, shape_kernels.shape_features, shape_kernels.NAMES)
 
 
 def all_features(series: DataFrame, points: DataFrame) -> DataFrame:
     """The native and the numerical features of every series, joined on ts_id."""
     out = amplitude(series)
-    for part in (differences(points), locations(points), levels(points), longest_runs(points), trend(points), numeric(series)):
+    for part in (differences(points), locations(points), levels(points), longest_runs(points), trend(points), numeric(series), shapes(series)):
         out = out.join(part, "ts_id")
     return out

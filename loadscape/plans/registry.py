@@ -156,6 +156,7 @@ _add("ami_lag2", lambda s, d: X.mutual_information(src.event_points(s, d)), f"""
 p AS (SELECT ts_id, a, lead(a, 2) OVER (PARTITION BY ts_id ORDER BY t) AS b FROM b), j AS (SELECT ts_id, a, b, count(*)::DOUBLE AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2, 3),
 m AS (SELECT ts_id, n, sum(n) OVER (PARTITION BY ts_id, a) AS na, sum(n) OVER (PARTITION BY ts_id, b) AS nb, sum(n) {P} AS al FROM j) SELECT ts_id, round(sum(n / al * ln(n * al / (na * nb))), 6) + 0e0 AS ami2 FROM m GROUP BY ts_id""")
 _add("spectral_features", lambda s, d: X.numeric(zsales(s, d)))
+_add("shape_features", lambda s, d: X.shapes(zsales(s, d)))
 _add("all_features", lambda s, d: X.all_features(zsales(s, d), _znorm(s, d)))
 
 # ---- feature space
