@@ -108,7 +108,55 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _MIXING, "op7_warc": _WARC, "op8_topk": _TOPK}
+_SUBSTRING = rf"""
+WITH listed AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD_PATTERN}'), []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.WINDOW} + 2)) AS i FROM listed WHERE doc_id IS NOT NULL AND len(w) >= {substring_dedup.WINDOW}),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + {substring_dedup.WINDOW} - 1], ' ')) AS passage FROM starts),
+firsts AS (SELECT passage, min(doc_id) AS first FROM windows GROUP BY passage),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (passage) WHERE first < doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM listed),
+judged AS (
+  SELECT t.doc_id, t.word, t.i,
+         coalesce(t.i - max(h.i) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS UNBOUNDED PRECEDING) < {substring_dedup.WINDOW}, false) AS gone
+  FROM tokens t LEFT JOIN hits h ON t.doc_id = h.doc_id AND t.i = h.i),
+cut AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id"""
+
+_JACCARD = rf"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_PATTERN}'), []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {jaccard_join.WORDS} + 2))) AS i FROM listed WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + {jaccard_join.WORDS} - 1], ' ')) AS shingle FROM starts),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, '' ORDER BY shingle)) AS same FROM shingles GROUP BY doc_id),
+members AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY same) AS rep FROM sets),
+reps AS (SELECT s.doc_id, s.shingle, m.n FROM shingles s JOIN members m ON s.doc_id = m.doc_id AND m.rep = m.doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM reps a JOIN reps b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(id, low) AS (SELECT DISTINCT rep, rep FROM members UNION SELECT b.v, r.low FROM reach r JOIN ways b ON b.u = r.id WHERE b.v > r.low),
+lowest AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles, coalesce(l.low, d.doc_id) AS component_id
+FROM documents d LEFT JOIN members m ON d.doc_id = m.doc_id LEFT JOIN lowest l ON l.id = m.rep"""
+
+_COSINE = f"""
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+units AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS length FROM v),
+ways AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.length * b.length) >= {cover_tree.COSINE}e0),
+reach(id, low) AS (SELECT DISTINCT u, u FROM ways UNION SELECT b.v, r.low FROM reach r JOIN ways b ON b.u = r.id WHERE b.v > r.low),
+lowest AS (SELECT id, min(low) AS low FROM reach GROUP BY id),
+counts AS (SELECT u, count(*) AS n FROM ways GROUP BY u)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, e.vec_id) AS component_id, e.vec_id = coalesce(low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN lowest l ON l.id = e.vec_id"""
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"op2_substring_dedup": _SUBSTRING, "op4_jaccard": _JACCARD, "op5_mixing": _MIXING, "op6_cover_tree": _COSINE, "op7_warc": _WARC, "op8_topk": _TOPK}
