@@ -112,12 +112,13 @@ def _per_row(copies: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, size: F.Column, **settings) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    counts = mix(docs, size, **settings).groupBy("doc_id", "source", "size").agg(F.sum("n_taken").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    counts = counts.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n", "_rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    found = docs.withColumn("_size", size.cast("long")).join(counts, same).filter("_n > 0")
+    counts = mix(docs, size, **settings).groupBy("doc_id", "source", "size").agg(F.sum("n_taken").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # a row travels as one struct, so that no name of its columns can clash with these
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("source").alias("row_source"), size.cast("long").alias("row_size"))
+    same = F.col("row_id").eqNullSafe(F.col("doc_id")) & F.col("row_source").eqNullSafe(F.col("source")) & (F.col("row_size") == F.col("size"))
+    found = whole.join(counts, same).filter("n > 0").select("row", "row_id", "row_source", "row_size", "n", "rows")
     # rows that repeat share what was taken of them
-    nth = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.hash(*docs.columns)))
-    several = found.filter("_rows > 1").withColumn("_times", (F.floor(F.col("_n") / F.col("_rows")) + (nth <= F.col("_n") % F.col("_rows")).cast("int")).cast("int"))
-    once = found.filter("_rows = 1").withColumn("_times", F.col("_n").cast("int"))
-    return once.unionByName(several).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("row_id", "row_source", "row_size").orderBy(F.xxhash64(F.to_json("row"))))
+    several = found.filter("rows > 1").withColumn("times", (F.floor(F.col("n") / F.col("rows")) + (nth <= F.col("n") % F.col("rows")).cast("int")).cast("int"))
+    once = found.filter("rows = 1").withColumn("times", F.col("n").cast("int"))
+    return once.unionByName(several).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
