@@ -10,7 +10,8 @@ member. It owns the records that start inside its range and reads past the range
 
 Defined results: a null html is an empty payload; payloads under MIN_BYTES are always responses; rows that share
 page_id and payload are each written, and those with the largest page_id of a group are all responses; a null
-page_id is never the largest, and a group that has no other is all responses; no pages give no archives and no rows.
+page_id is never the largest, and a group that has no other is all responses; a null url is a record without a target;
+blanks and control characters leave a url, as a header line can't hold them; no pages give no archives and no rows.
 """
 
 from __future__ import annotations
@@ -54,12 +55,13 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
         f"WARC-Type: {'response' if response_id is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join(c for c in url or '' if c > ' ')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {''.join(c for c in url if c > ' ')}")
     if response_id is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(response_id)}", f"X-Refers-To-Page-Id: {response_id}"]
     deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -74,7 +76,7 @@ def decode_record(raw: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length"))
     number = lambda k: int(fields[k]) if fields.get(k) else None
-    return number("X-Page-Id"), fields["WARC-Target-URI"], fields["WARC-Type"], number("X-Refers-To-Page-Id"), length, base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), payload
+    return number("X-Page-Id"), fields.get("WARC-Target-URI"), fields["WARC-Type"], number("X-Refers-To-Page-Id"), length, base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), payload
 
 
 def with_responses(pages: DataFrame) -> DataFrame:
