@@ -94,7 +94,7 @@ marked AS (
   SELECT *, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS largest FROM rows_)
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
        CASE WHEN n >= {warc.MIN_BYTES} AND largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= {warc.MIN_BYTES} AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to, url
+       CASE WHEN n >= {warc.MIN_BYTES} AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to, regexp_replace(url, '[\\x00-\\x20]', '', 'g') AS url
 FROM marked"""
 
 _TOPK = f"""
@@ -122,7 +122,7 @@ judged AS (
 cut AS (
   SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
   FROM judged GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(c.n_words, 0)::BIGINT AS n_words, coalesce(c.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id"""
 
 _JACCARD = rf"""
@@ -154,7 +154,7 @@ ways AS (
 reach(id, low) AS (SELECT DISTINCT u, u FROM ways UNION SELECT b.v, r.low FROM reach r JOIN ways b ON b.u = r.id WHERE b.v > r.low),
 lowest AS (SELECT id, min(low) AS low FROM reach GROUP BY id),
 counts AS (SELECT u, count(*) AS n FROM ways GROUP BY u)
-SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, e.vec_id) AS component_id, e.vec_id = coalesce(low, e.vec_id) AS kept
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.low, e.vec_id) AS component_id, e.vec_id = coalesce(l.low, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN lowest l ON l.id = e.vec_id"""
 
 
