@@ -41,6 +41,11 @@ def heterogeneity(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
     return h.groupBy(*by).agg(rounded(F.avg("h")).alias("heterogeneity"))
 
 
+def set_info(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Heterogeneity of each set and of each of its kinds: (set_size, part, heterogeneity), part being 'both' or a kind; sets has set_size and kind."""
+    return heterogeneity(sets.withColumn("part", F.explode(F.array(F.lit("both"), "kind"))), columns, "set_size", "part")
+
+
 def sigmoid(df: DataFrame, columns: list[str]) -> DataFrame:
     """1 / (1 + exp(-(x - median) / (1.35 iqr))), the statistics from one aggregate."""
     q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"{c}_q") for c in columns])

@@ -168,6 +168,21 @@ _add("heterogeneity", lambda s, d: S.heterogeneity(src.feature_space(s, d), FEAT
 _add("heterogeneity_by_label", lambda s, d: S.heterogeneity(src.feature_space(s, d), FEATURES, "label"), f"""WITH {SPACE}, hb AS (SELECT label, feature, CASE WHEN v BETWEEN 0 AND 1 THEN {BIN} END AS bin FROM fl), ht AS (SELECT label, feature, count(*) AS n FROM hb GROUP BY 1, 2),
 hist AS (SELECT g.label, g.feature, b AS bin, coalesce(c.c, 0)::DOUBLE / n AS freq FROM ht g CROSS JOIN range(10) r(b) LEFT JOIN (SELECT label, feature, bin, count(*) AS c FROM hb GROUP BY 1, 2, 3) c ON c.label = g.label AND c.feature = g.feature AND c.bin = b)
 SELECT label, round(avg(h), 6) + 0e0 AS heterogeneity FROM (SELECT label, feature, sqrt(sum((freq - 0.1e0) * (freq - 0.1e0))) / sqrt(0.9e0) AS h FROM hist GROUP BY 1, 2) GROUP BY label""")
+#: Nested sets: the rows whose label is below each of these.
+LEVELS = (10, 5, 2)
+
+
+def _by_level(spark: SparkSession, d: str) -> DataFrame:
+    within = F.filter(F.array(*map(F.lit, LEVELS)), lambda x: x > F.col("label"))
+    return D.with_kind(src.feature_space(spark, d)).withColumn("set_size", F.explode(within))
+
+
+_add("set_info", lambda s, d: S.set_info(_by_level(s, d), FEATURES), f"""WITH {SPACE}, hs AS (SELECT lv AS set_size, part, feature, CASE WHEN v BETWEEN 0 AND 1 THEN {BIN} END AS bin
+FROM fl JOIN (VALUES {", ".join(f"({x})" for x in LEVELS)}) l(lv) ON label < lv JOIN (VALUES ('both'), ('only_neg'), ('only_posneg')) p(part) ON part = 'both' OR (part = 'only_neg') = (label % 2 = 0)),
+ht AS (SELECT set_size, part, feature, count(*) AS n FROM hs GROUP BY ALL), hc AS (SELECT set_size, part, feature, bin, count(*) AS c FROM hs GROUP BY ALL),
+hist AS (SELECT g.set_size, g.part, g.feature, coalesce(c.c, 0)::DOUBLE / n AS freq FROM ht g CROSS JOIN range(10) r(b) LEFT JOIN hc c ON c.set_size = g.set_size AND c.part = g.part AND c.feature = g.feature AND c.bin = b)
+SELECT set_size::INT AS set_size, part, round(avg(h), 6) + 0e0 AS heterogeneity FROM (SELECT set_size, part, feature, sqrt(sum((freq - 0.1e0) * (freq - 0.1e0))) / sqrt(0.9e0) AS h FROM hist GROUP BY ALL) GROUP BY ALL""")
+
 for _name, _dense in (("sparse_cells", False), ("dense_cells", True)):
     _add(_name, lambda s, d, dense=_dense: S.cells(src.feature_space(s, d), FEATURES, 8, dense), f"WITH {SPACE}, {_HIST} SELECT feature, bin::INT AS bin, round(freq, 6) + 0e0 AS freq FROM hist ORDER BY round(freq, 6) {'DESC' if _dense else 'ASC'}, feature, bin LIMIT 8")
 _long = lambda df: df.unpivot(["ts_id"], FEATURES, "feature", "v").withColumn("v", X.rounded(F.col("v")))
