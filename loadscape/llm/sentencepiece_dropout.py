@@ -1,14 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 The vocabulary and the scores of a public BPE model drive an agenda of candidate merges, best score first and then
-leftmost. Each candidate that comes up is skipped if a hash of the seed, the chunk's variant and the candidate's
-span falls under the dropout rate, so one text gets different segmentations under different seeds and the same one
-whenever it is encoded again with the same seed. At rate 0 the result is the library's own.
+leftmost. Each candidate that comes up is skipped if a hash of the seed, the text's id, the chunk's position and the
+candidate's span falls under the dropout rate: every occurrence of a chunk draws for itself, one text gets different
+segmentations under different seeds and the same one whenever it is encoded again with the same seed. A repeated text
+draws anew where the number of its copy is given. At rate 0 the result is the library's own.
 
 A chunk is a run of blanks with what follows up to the next blank: no piece of such a model holds a blank behind
-another character, so merges never cross chunks. A chunk's variant is one of VARIANTS, drawn by a hash of the seed,
-the text's id and the chunk's position; that makes segmentations of a frequent word vary and lets a task remember
-them. Characters without a piece, and U+2581 itself, are written as bytes, so decode(encode(text)) == text.
+another character, so merges never cross chunks. What a task remembers does not depend on the draws: a chunk's agenda
+when nothing is skipped, and what it becomes when a certain candidate of it is skipped, and so on. An occurrence goes
+from one to the next by its own draws. Characters without a piece, and U+2581 itself, are written as bytes, so decode(encode(text)) == text.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null id counts as its own id.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loadscape.llm.common import mix
 
-MODEL, DROPOUT, SEED, VARIANTS, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 4, 400_000
+MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 400_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _ESCAPE = "\ue000"  # stands for U+2581 while a text is cut into chunks, if the text has no such character itself
@@ -36,6 +38,7 @@ _ESCAPE = "\ue000"  # stands for U+2581 while a text is cut into chunks, if the
 
 _M = (1 << 64) - 1
 _WIDE = 32  # longer chunks go through their agenda one by one
+_BLOCK = 1 << 16  # occurrences whose draws are made at once
 _NONE = np.int32(1 << 30)
 
 
@@ -45,25 +48,26 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
-def _key(chunk: str, seed: int, variant: int) -> int:
-    return _mix(xxhash.xxh3_64_intdigest(chunk.encode()) ^ _mix(seed * VARIANTS + variant & _M))
-
-
-def _keys(chunks: list[str], seed: int, variants: np.ndarray) -> np.ndarray:
-    digest = np.array([xxhash.xxh3_64_intdigest(c.encode()) for c in chunks], np.uint64)
-    return mix(digest ^ mix(np.uint64(seed * VARIANTS & _M) + variants.astype(np.uint64)))
-
-
 _MASK = (1 << 20) - 1
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, with room for n."""
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n - len(x), len(x)), x.dtype)))
+
+
 def _slot(key: np.ndarray) -> np.ndarray:
     return (key.astype(np.uint64) * _K1 >> np.uint64(44)).astype(np.int64)
 
 
 class Codec:
-    """Encodes batches of texts. What a task has met is remembered by chunk and variant, up to `cache` chunks."""
+    """Encodes batches of texts.
+
+    A node is a chunk's agenda after some skips: the ids it ends in and the candidates that come up after the last
+    skip, each with the node that skipping it leads to (-1: not met). Up to `cache` chunks are remembered, and four
+    nodes a chunk.
+    """
 
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, cache: int = CACHE):
         import sentencepiece
@@ -97,17 +101,21 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)  # by chunk * VARIANTS + variant; length -1: not met
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-
-    def merge(self, chunk: str, variant: int) -> list[int]:
-        """Ids of one chunk, by its agenda; characters without a piece become bytes."""
+        self.chunks: list[str] = []
+        self.root = np.zeros(0, np.int32)  # by chunk; -1: not met, or longer than _WIDE
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)  # by node: its ids in pool
+        self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int32)  # its candidates
+        self.chunk, self.parent, self.step = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)  # what it comes from; step: place of the skipped candidate in the agenda
+        self.pool, self.span, self.child = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.nodes = self.used = self.spans = 0
+
+    def merge(self, chunk: str, key: int) -> list[int]:
+        """Ids of one chunk, by its agenda and the draws of the key; characters without a piece become bytes."""
         part: list = [self.ids.get(c, c) for c in chunk]
         n, pairs = len(part), self.pairs
         left, right, size = list(range(-1, n - 1)), list(range(1, n + 1)), [1] * n
         agenda = [(hit[0], i, i + 1, 1, 2, hit[1]) for i in range(n - 1) if (hit := pairs.get((part[i], part[i + 1])))]
         heapq.heapify(agenda)
-        key = _key(chunk, self.seed, variant)
         while agenda:
             _, i, j, a, both, merged = heapq.heappop(agenda)
             if size[i] != a or right[i] != j or size[i] + (size[j] if j < n else 0) != both or part[i] is None:
@@ -143,8 +151,11 @@ class Codec:
             wrong = wrong[(have != key[wrong]) & (have != -1)]
         return self.pair_rank[slot], self.pair_id[slot]
 
-    def merge_many(self, chunks: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many chunks of up to _WIDE characters, end to end, and the length of each: all agendas step by step together."""
+    def merge_many(self, chunks: list[str], skip_row: np.ndarray, skip_step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Many chunks of up to _WIDE characters, all agendas step by step together, with the given skips (chunk, step).
+
+        Returns the ids, end to end, the length of each, and the candidates after the last skip, end to end, with how many.
+        """
         n = len(chunks)
         size = np.fromiter(map(len, chunks), np.int64, n)
         row = int(size.max()) + 1  # each chunk's characters, and a place behind the last
@@ -160,19 +171,29 @@ class Codec:
         left, right = np.arange(-1, n * row - 1), np.arange(1, n * row + 1)
         left[::row] = -1
         width = np.ones(n * row, np.int32)
-        base = _keys(chunks, self.seed, variants) if self.threshold else None
+        last = np.full(n, -1, np.int64)
+        np.maximum.at(last, skip_row, skip_step)
+        by_step = np.argsort(skip_step, kind="stable")
+        skip_row, edges = skip_row[by_step], np.searchsorted(skip_step[by_step], np.arange(last.max() + 2))
+        marked, seen, spans, step = np.zeros(n, bool), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
         ranks, rows = rank.reshape(n, row), np.arange(n)
         while len(rows):
             local = ranks[rows].argmin(axis=1)
             i = rows * row + local
             going = rank[i] < _NONE
             rows, i = rows[going], i[going]
-            if base is not None:
-                a = width[i]
-                h = mix(base[rows] + local[going].astype(np.uint64) * _K1 + a.astype(np.uint64) * _K2 + (a + width[right[i]]).astype(np.uint64) * _K3)
-                skip = h < np.uint64(self.threshold)
+            if self.threshold:
+                a, late = width[i], step > last[rows]
+                seen.append(rows[late])
+                spans.append((local[going].astype(np.uint64) * _K1 + a.astype(np.uint64) * _K2 + (a + width[right[i]]).astype(np.uint64) * _K3)[late])
+            if step + 1 < len(edges):
+                now = skip_row[edges[step] : edges[step + 1]]
+                marked[now] = True
+                skip = marked[rows]
+                marked[now] = False
                 rank[i[skip]] = _NONE
                 i = i[~skip]
+            step += 1
             j = right[i]
             k = right[j]
             part[i] = merged[i]
@@ -186,38 +207,84 @@ class Codec:
             both_rank, both_id = self._lookup(np.concatenate((part[i], part[h])), np.concatenate((part[k], part[x])))
             rank[i], merged[i] = both_rank[: len(i)], both_id[: len(i)]
             rank[h], merged[h] = both_rank[len(i) :], both_id[len(i) :]
+        owner = np.concatenate(seen)
+        span, many = np.concatenate(spans)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n).astype(np.int32)
         if (own == -2).any():
             char = np.zeros(n * row, np.uint32)
             char[place] = codes
             found = [self._as_ids(p if p >= 0 else chr(c) for p, c in zip(ps, cs) if p != -1) for ps, cs in zip(part.reshape(n, row).tolist(), char.reshape(n, row).tolist())]
-            return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int32, n)
+            return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int32, n), span, many
         live = part >= 0
-        return part[live], live.reshape(n, row).sum(axis=1).astype(np.int32)
-
-    def _learn(self, chunks: list[str], slots: np.ndarray) -> None:
-        """Fill the slots (chunk number * VARIANTS + variant) of chunks."""
-        variants = slots % VARIANTS
-        size = np.fromiter(map(len, chunks), np.int32, len(chunks))
+        return part[live], live.reshape(n, row).sum(axis=1).astype(np.int32), span, many
+
+    def _new(self, chunk: np.ndarray, parent: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Numbers for nodes, still without ids and candidates."""
+        new = np.arange(self.nodes, self.nodes + len(chunk))
+        self.nodes += len(chunk)
+        for name in ("at", "length", "first", "many", "chunk", "parent", "step"):
+            setattr(self, name, _room(getattr(self, name), self.nodes))
+        self.chunk[new], self.parent[new], self.step[new] = chunk, parent, step
+        return new
+
+    def _learn(self, chunk: np.ndarray, parent: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The nodes of chunks of up to _WIDE characters, each by skipping one more candidate of its parent (-1: none skipped)."""
+        new = self._new(chunk, parent, step)
+        texts = [self.chunks[c] for c in chunk.tolist()]
+        size = np.fromiter(map(len, texts), np.int32, len(texts))
         for low, high in ((0, 8), (8, 14), (14, _WIDE)):
             some = np.flatnonzero((size > low) & (size <= high))
             for at in range(0, len(some), 20_000):
                 now = some[at : at + 20_000]
-                self._store(slots[now], *self.merge_many([chunks[i] for i in now.tolist()], variants[now]))
-        for i in np.flatnonzero(size > _WIDE).tolist():
-            ids = np.array(self.merge(chunks[i], int(variants[i])), np.int32)
-            self._store(slots[i : i + 1], ids, np.array([len(ids)], np.int32))
-
-    def _store(self, slots: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+                self._store(new[now], *self.merge_many([texts[i] for i in now.tolist()], *self._skips(new[now])))
+        return new
+
+    def _skips(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All skips on the way to each node: its place in nodes, and the step."""
+        row, rows, steps = np.arange(len(nodes)), [], []
+        while len(row):
+            down = self.parent[nodes] >= 0
+            row, nodes = row[down], nodes[down]
+            rows.append(row)
+            steps.append(self.step[nodes].astype(np.int64))
+            nodes = self.parent[nodes]
+        return np.concatenate(rows), np.concatenate(steps)
+
+    def _store(self, nodes: np.ndarray, ids: np.ndarray, length: np.ndarray, span: np.ndarray, many: np.ndarray) -> None:
+        self.pool = _room(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.at[slots] = self.used + np.cumsum(length) - length
-        self.length[slots] = length
+        self.at[nodes], self.length[nodes] = self.used + np.cumsum(length) - length, length
         self.used += len(ids)
-
-    def encode_many(self, texts: list[str | None], doc_ids: list) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.known) > self.size or self.used > 8 * self.size * VARIANTS:
+        self.span, self.child = _room(self.span, self.spans + len(span)), _room(self.child, self.spans + len(span))
+        self.span[self.spans : self.spans + len(span)], self.child[self.spans : self.spans + len(span)] = span, -1
+        self.first[nodes], self.many[nodes] = self.spans + np.cumsum(many) - many, many
+        self.spans += len(span)
+
+    def _drawn(self, nodes: np.ndarray, keys: np.ndarray) -> None:
+        """Take each occurrence from its chunk's first node (-1: stays) to the one that its key's draws lead to."""
+        going = np.flatnonzero(nodes >= 0)
+        while len(going):
+            now = nodes[going]
+            many = self.many[now].astype(np.int64)
+            begins = np.cumsum(many) - many
+            owner = np.repeat(np.arange(len(now)), many)
+            place = np.arange(len(owner)) - begins[owner]
+            slot = self.first[now][owner] + place
+            hits = np.flatnonzero(mix(keys[going][owner] + self.span[slot]) < np.uint64(self.threshold))
+            hits = hits[np.diff(owner[hits], prepend=-1) != 0]  # the first of each occurrence
+            slot, place, going = slot[hits], place[hits], going[owner[hits]]
+            parent = now[owner[hits]]
+            some, at = np.unique(slot, return_index=True)
+            fresh = self.child[some] < 0
+            if fresh.any():
+                some, at = some[fresh], at[fresh]
+                before = parent[at]
+                begin = np.where(self.parent[before] >= 0, self.step[before] + 1, 0)
+                self.child[some] = self._learn(self.chunk[before], before, begin + place[at])
+            nodes[going] = self.child[slot]
+
+    def encode_many(self, texts: list[str | None], doc_ids: list, copies: list[int | None] | None = None) -> list[np.ndarray]:
+        """Ids of each text; copies number texts that come with the same id (null and 0 are the first)."""
+        if len(self.known) > self.size or self.nodes > 4 * self.size or self.used > 32 * self.size:
             self._forget()
         chunks: list[str] = []
         ends, whole = [], {}
@@ -232,29 +299,36 @@ class Codec:
             ends.append(len(chunks))
         known = self.known
         number = np.array([known.setdefault(c, len(known)) for c in chunks], np.int64)
-        more = len(known) * VARIANTS - len(self.length)
-        if more > 0:
-            more = max(more, len(self.length))
-            self.at = np.concatenate((self.at, np.zeros(more, np.int64)))
-            self.length = np.concatenate((self.length, np.full(more, -1, np.int32)))
-        slots = number * VARIANTS
+        new = list(itertools.islice(known, len(self.chunks), None))
+        begin = len(self.chunks)
+        self.chunks += new
+        self.root = np.concatenate((self.root[:begin], np.full(len(new), -1, np.int32)))
+        short = begin + np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) <= _WIDE)
+        if len(short):
+            none = np.full(len(short), -1)
+            self.root[short] = self._learn(short, none, none)
         ends = np.array(ends, np.int64)
         begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        if self.threshold and len(chunks):
-            start = np.array([xxhash.xxh3_64_intdigest(f"{self.seed}:{d}") for d in doc_ids], np.uint64)
-            place = np.arange(len(chunks)) - np.repeat(begins, ends - begins)
-            slots += (mix(np.repeat(start, ends - begins) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(VARIANTS)).astype(np.int64)
-        new, first = np.unique(slots, return_index=True)
-        fresh = self.length[new] < 0
-        if fresh.any():
-            self._learn([chunks[i] for i in first[fresh].tolist()], new[fresh])
-        length = self.length[slots].astype(np.int64)
+        of = [f"{self.seed}:{d}:{c}" if c else f"{self.seed}:{d}" for d, c in zip(doc_ids, copies or itertools.repeat(0))]
+        start = np.array([xxhash.xxh3_64_intdigest(x) for x in of], np.uint64)
+        place = np.arange(len(chunks)) - np.repeat(begins, ends - begins)
+        keys = mix(np.repeat(start, ends - begins) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        nodes = self.root[number]
+        if self.threshold:
+            for at in range(0, len(nodes), _BLOCK):
+                self._drawn(nodes[at : at + _BLOCK], keys[at : at + _BLOCK])
+        for i in np.flatnonzero(nodes < 0).tolist():
+            ids = np.array(self.merge(chunks[i], int(keys[i])), np.int32)
+            none = np.zeros(0, np.uint64)
+            nodes[i : i + 1] = self._new(number[i : i + 1], -1, -1)
+            self._store(nodes[i : i + 1], ids, np.array([len(ids)], np.int32), none, np.zeros(1, np.int32))
+        length = self.length[nodes].astype(np.int64)
         stop = np.concatenate(([0], np.cumsum(length)))
-        ids = self.pool[np.repeat(self.at[slots] - stop[:-1], length) + np.arange(stop[-1])]
+        ids = self.pool[np.repeat(self.at[nodes] - stop[:-1], length) + np.arange(stop[-1])]
         return [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(stop[begins].tolist(), stop[ends].tolist()))]
 
-    def encode(self, text: str | None, doc_id: int | None = None) -> np.ndarray:
-        return self.encode_many([text], [doc_id])[0]
+    def encode(self, text: str | None, doc_id: int | None = None, copy: int | None = None) -> np.ndarray:
+        return self.encode_many([text], [doc_id], [copy])[0]
 
     def _bytes_only(self, text: str) -> np.ndarray:
         return np.array([self.ids["▁"], *(self.byte[b] for b in text.encode())], np.int32)
@@ -275,16 +349,16 @@ def _map(docs: DataFrame, schema: str, row, **settings) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """id and ids (array<int>) of every row."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, **settings) -> DataFrame:
+    """id and ids (array<int>) of every row; copy_col numbers rows that repeat an id, so that each draws for itself."""
 
     def row(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = codec.encode_many(part["text"].to_pylist(), part["id"].to_pylist())
+        ids = codec.encode_many(part["text"].to_pylist(), part["id"].to_pylist(), part["copy"].to_pylist())
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"{id_col} {kind}, ids array<int>", row, **settings)
+    return _map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(copy_col) if copy_col else F.lit(0)).alias("copy")), f"{id_col} {kind}, ids array<int>", row, **settings)
 
 
 def roundtrip(docs: DataFrame, **settings) -> DataFrame:
