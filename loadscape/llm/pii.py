@@ -2,7 +2,8 @@
 
 Three transducers normalise a text in turn: look-alike characters (and invisible ones, which go), spelled
 digits, and at/dot disguises. Each returns the new text with an alignment, so a span found in the last text maps
-back to source characters. Spans of the plain text always stay; the transducers only add to them.
+back to source characters. Spans of the plain text always stay; the transducers only add to them, also where a plain
+span is a fragment of what they find.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive; every text is
 scanned whole in linear time; columns other than the id and the text are not read.
@@ -139,43 +140,76 @@ DIGIT_NAMES = {
 }
 _NAME = "|".join(sorted((f"[{n[0]}{n[0].upper()}]{n[1:]}" for n in DIGIT_NAMES), key=len, reverse=True))
 _DOT_NAME = "dot|point|punkt|punto"
-_SPELLED = re.compile(rf"(?<!\w)(?:[Pp]lus[ -])?(?:{_NAME})(?:(?:[ ,-]{{1,2}}| (?:{_DOT_NAME}) )(?:{_NAME})(?!\w)){{3,}}")
+_FIGURE = f"(?:{_NAME}|[0-9]++)(?!\\w)"
+_MIXED = re.compile(rf"(?<!\w)(?:[Pp]lus[ -])?{_FIGURE}(?:(?:[ ,-]{{1,2}}|\.| (?:{_DOT_NAME}) ){_FIGURE}){{3,}}")
+_ARTICLES = {"un", "uno", "one"}
 _TOKEN = re.compile(r"\w+|[ ,-]+")
 
 
 def spelled_digits(text: str) -> tuple[str, Alignment | None]:
-    """Runs of at least four spelled digits; what parts them goes, but for a spelled dot."""
+    """Runs of at least four spelled digits, also mixed with figures; what parts them goes, but for a dot, spelled or not."""
     edits = []
-    for run in _SPELLED.finditer(text):
-        for m in _TOKEN.finditer(text, *run.span()):
-            word = m[0].lower()
-            edits.append((*m.span(), DIGIT_NAMES.get(word) or ("+" if word == "plus" else "." if word in _DOT_NAME.split("|") else "")))
+    for run in _MIXED.finditer(text):
+        words = [m for m in _TOKEN.finditer(text, *run.span())]
+        names = [w for m in words if (w := m[0].lower()) in DIGIT_NAMES]
+        if len(names) > 1 or names and names[0] not in _ARTICLES:  # one that may be an article tells nothing
+            for m in words:
+                if not m[0].isdecimal():
+                    word = m[0].lower()
+                    edits.append((*m.span(), DIGIT_NAMES.get(word) or ("+" if word == "plus" else "." if word in _DOT_NAME.split("|") else "")))
     return rewrite(text, edits) if edits else (text, None)
 
 
 _AT = "at|AT|arroba|arobase|@"
-_DISGUISE = re.compile(
-    rf"[ ]{{0,2}}[\[({{<][ ]?(?:(?P<at>{_AT})|(?P<dot>{_DOT_NAME}|DOT|\.))[ ]?[\])}}>][ ]{{0,2}}"
-    rf"|(?<=[A-Za-z0-9]) (?P<bare>at|arroba|arobase) (?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}} (?:{_DOT_NAME}) [A-Za-z]{{2,24}}\b)"
-)
+_DISGUISE = re.compile(rf"[ ]{{0,2}}[\[({{<][ ]?(?:(?P<at>{_AT})|(?P<dot>{_DOT_NAME}|DOT|\.))[ ]?[\])}}>][ ]{{0,2}}")
+_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}} (?:{_DOT_NAME}) [A-Za-z]{{2,24}}\b"
+_BARE = re.compile(rf"(?<=[A-Za-z0-9])(?: (?:at|arroba|arobase) (?={_HOST})|@(?=[A-Za-z0-9]))|(?<=[0-9]) (?P<dot>{_DOT_NAME}) (?=[0-9])")
 _BARE_DOT = re.compile(rf" (?:{_DOT_NAME}) ")
 _BARE_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.| (?:{_DOT_NAME}) )[A-Za-z0-9-]{{1,63}})+")
+_BARE_HOST = re.compile(_HOST)
+_DOT_BEFORE = tuple(f" {name} " for name in _DOT_NAME.split("|"))
 
 
-def at_dot(text: str) -> tuple[str, Alignment | None]:
-    """Bracketed at and dot anywhere; bare words only as in 'name at host dot com'."""
-    edits = []
-    for m in _DISGUISE.finditer(text):
-        if edits and m.start() < edits[-1][1]:
+def bracketed(text: str) -> tuple[str, Alignment | None]:
+    """Bracketed at and dot anywhere."""
+    edits = [(*m.span(), "." if m["dot"] else "@") for m in _DISGUISE.finditer(text)]
+    return rewrite(text, edits) if edits else (text, None)
+
+
+def _dots_before(text: str, at: int, free: int) -> list[tuple[int, int, str]]:
+    """Bare dots of the local part that ends at `at`, none before `free`."""
+    edits: list[tuple[int, int, str]] = []
+    while True:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        dot = next((d for d in _DOT_BEFORE if text.endswith(d, free, start)), None) if start < at else None
+        if dot is None or start - len(dot) <= free or text[start - len(dot) - 1] not in _LOCAL:
+            return edits[::-1]
+        at = start - len(dot)
+        edits.append((at, start, "."))
+
+
+def bare(text: str) -> tuple[str, Alignment | None]:
+    """Bare words, as in 'first dot last at host dot com', on both sides of an at in any form, and dots between figures."""
+    edits: list[tuple[int, int, str]] = []
+    for m in _BARE.finditer(text):
+        free = edits[-1][1] if edits else 0
+        if m.start() < free:
+            continue
+        if m["dot"]:
+            edits.append((*m.span(), "."))
             continue
-        edits.append((*m.span(), "." if m["dot"] else "@"))
-        if m["bare"]:
+        edits += _dots_before(text, m.start(), free)
+        if m[0] != "@":
+            edits.append((*m.span(), "@"))
+        if _BARE_HOST.match(text, m.end()):
             domain = _BARE_DOMAIN.match(text, m.end())
             edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, m.end(), domain.end())]
     return rewrite(text, edits) if edits else (text, None)
 
 
-TRANSDUCERS = (homoglyphs, spelled_digits, at_dot)
+TRANSDUCERS = (homoglyphs, spelled_digits, bracketed, bare)
 
 
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -196,7 +230,8 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
             was = plain[start:end]
             for alignment in reversed(aligned):
                 start, end = alignment.back(start, end)
-            if text[start:end] != was and not any(s < end and start < e for s, e in spans[kind]):
+            near = bisect.bisect_right(base[kind], start, key=lambda span: span[0]) - 1
+            if text[start:end] != was and not (near >= 0 and end <= base[kind][near][1]):
                 spans[kind].append((start, end))
         spans[kind].sort()
     return base, spans
@@ -207,13 +242,15 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with each span replaced by its kind; of spans that overlap, the first and longest counts."""
+    """The text with each span replaced by its kind; spans that overlap go together, as the kind of the first and longest."""
     if not text:
         return text
     edits: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(((s, e, k) for k, found in find(text)[1].items() for s, e in found), key=lambda x: (x[0], -x[1])):
         if not edits or start >= edits[-1][1]:
             edits.append((start, end, PLACEHOLDER[kind]))
+        elif end > edits[-1][1]:
+            edits[-1] = (edits[-1][0], end, edits[-1][2])
     return rewrite(text, edits)[0] if edits else text
 
 
