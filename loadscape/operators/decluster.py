@@ -1,12 +1,13 @@
 """Small sets that cover a feature space evenly.
 
 The pool stays distributed; what reaches the driver is a set of fixed size, or the pool's bin numbers for the greedy
-exchange, of which a sample of at most POOL rows takes part.
+exchange, of which a sample of at most POOL rows takes part beside the chosen ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,9 +76,12 @@ def resized(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
 
 def remove_closest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """n rows left when, again and again, of the closest pair the row with the nearer second neighbour goes. df is a set of fixed size."""
-    drop = df.count() - n
+    size = df.count()
+    drop = size - n
     if drop <= 0:
         return df
+    if size > 20_000:  # each row's neighbours reach the driver
+        raise ValueError(f"{size} rows; a set of fixed size is to have at most 20000")
     near = nearest(df, df, columns, drop + 2).orderBy("q_id", "rank").toPandas()
     gone: set[int] = set()
     lists = {q: list(zip(g["dist"], g["ts_id"])) for q, g in near.groupby("q_id")}
@@ -94,8 +98,12 @@ def remove_closest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return df.filter(~F.col("ts_id").isin([int(g) for g in gone]))
 
 
-def _bins(df: DataFrame, columns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+def _bins(df: DataFrame, columns: list[str], most: int, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bin numbers of a sample of df, and of the chosen rows that are not in it."""
     rows = sample(df.select("ts_id", *columns), most).toPandas()
+    if len(rows) == most:
+        own = df.join(F.broadcast(chosen.select("ts_id").distinct()), "ts_id", "left_semi").select("ts_id", *columns).toPandas()
+        rows = pd.concat([rows, own[~own["ts_id"].isin(rows["ts_id"])].sort_values("ts_id")])
     return rows["ts_id"].to_numpy(), np.stack([np.searchsorted(EDGES, rows[c].to_numpy(), side="right") for c in columns], axis=1)
 
 
@@ -110,7 +118,7 @@ def equilize(df: DataFrame, pool: DataFrame, columns: list[str], n_swap: int = 5
     The score depends on counts by cell alone, so a try is a change of counts. Accepted only if the score falls;
     after most_failed failures fewer rows are exchanged with more tries.
     """
-    ids, bins = _bins(pool, columns, POOL)
+    ids, bins = _bins(pool, columns, POOL, df)
     chosen = {r["ts_id"] for r in df.select("ts_id").collect()}
     rng, n, d, b = np.random.default_rng(seed), len(chosen), len(columns), len(EDGES) + 1
     inside = np.isin(ids, list(chosen))

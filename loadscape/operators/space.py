@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,9 @@ from loadscape.operators.features import rounded
 from loadscape.plans.sql import EDGES
 from loadscape.sources.series import min_max
 
+#: Queries that are broadcast at once.
+QUERIES = 20_000
+
 
 def unpivoted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.unpivot(list(keep), columns, "feature", "v")
@@ -119,11 +124,15 @@ def nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, p
     """(q_id, rank, ts_id, dist): the k nearest other points in Minkowski distance; ties to the smaller id.
 
     Points meet the queries block by block: each of the points' partitions reduces to k rows a query before any
-    rows are ranked across partitions. The queries are to be a set of fixed size (a grid or a selection).
+    rows are ranked across partitions. A block is about QUERIES queries, by a hash of the id; each is broadcast by itself.
     """
-    size = queries.count()
-    if size > 20_000:
-        raise ValueError(f"{size} queries; split them into sets of at most 20000")
+    blocks = max(1, -(-queries.count() // QUERIES))
+    block = F.pmod(F.xxhash64("ts_id"), F.lit(blocks))
+    some = [queries.filter(block == i) for i in range(blocks)] if blocks > 1 else [queries]
+    return reduce(DataFrame.unionByName, [_nearest(q, points, columns, k, p) for q in some])
+
+
+def _nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, p: float) -> DataFrame:
     q = queries.select(F.col("ts_id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in columns])
     gap = sum((F.pow(F.abs(F.col(c) - F.col(f"q_{c}")), F.lit(p)) for c in columns), F.lit(0.0))
     d = points.join(F.broadcast(q), F.col("ts_id") != F.col("q_id")).select("q_id", "ts_id", F.pow(gap, F.lit(1 / p)).alias("dist"))
