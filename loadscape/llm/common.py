@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ def word_count(text: str) -> F.Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session may leave it unset and gets a new local one; a cluster may not."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -58,34 +61,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASES = (_BASE, np.uint64(0xD1B54A32D192ED03))
+_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Longer words are hashed whole, as polynomials over many bytes have structured collisions.
+_LONG_WORD = 256
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    have = _POWERS[kind]
+def _powers(which: int, up: bool, n: int) -> np.ndarray:
+    have = _POWERS.get((which, up), ())
     if len(have) < n:
-        size = 1 << (n - 1).bit_length()
-        have = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
+        have = np.full(1 << max(10, (n - 1).bit_length()), (_BASES if up else _INVERSES)[which], np.uint64)
         have[0] = 1
-        _POWERS[kind] = have = np.multiply.accumulate(have)
+        _POWERS[which, up] = have = np.multiply.accumulate(have)
     return have[:n]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of UTF-8 text: a polynomial over the bytes of each, mixed with its length."""
+def _word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate(([True], _SEPARATOR[raw], [True])).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _hashes_of(data: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(which, True, len(raw)), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * _powers(which, False, len(raw))[starts]
+    value = mix(value ^ mix((ends - starts + (which << 40)).astype(np.uint64)))
+    for i in np.flatnonzero(ends - starts > _LONG_WORD).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], which)
+    return value
+
+
+def word_hashes(data: bytes, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 text: a polynomial over the bytes of each, mixed with its length; which: one of two functions."""
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    gap = _SEPARATOR[raw]
-    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    starts, ends = _word_edges(raw)
+    return _hashes_of(data, raw, starts, ends, which) if len(starts) else np.zeros(0, np.uint64)
+
+
+def word_hash_pair(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of every word: 128 bits that do not depend on each other."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends = _word_edges(raw)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers("up", len(raw)), _powers("down", len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mix(value ^ mix((ends - starts).astype(np.uint64)))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return _hashes_of(data, raw, starts, ends, 0), _hashes_of(data, raw, starts, ends, 1)
 
 
 def run_hashes(words: np.ndarray, k: int, base: int) -> np.ndarray:

@@ -149,3 +149,23 @@ def test_sentencepiece():
     for i, t in enumerate([*texts, "\u2581 \ue000 \u2581x", "x \u2581"]):
         assert a.decode(many[i]) == (t or "") and a.encode(t, i).tolist() == many[i].tolist()
     assert a.encode("Hello hello world", 1).tolist() != b.encode("Hello hello world", 1).tolist()
+
+
+def test_substring_dedup_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(1000)}" for _ in range(300)]
+    text = lambda a, b: " ".join(words[a:b])
+    tail = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, text(0, 120)), (2, text(40, 180)), (2, text(40, 180)), (2, text(40, 180) + " " + tail), (2, text(40, 180).replace(" ", "\n")), (3, tail), (3, tail + " y"), (None, text(0, 100)), (None, text(0, 100)), (4, None), (4, ""), (5, text(60, 110)), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in substring_dedup.deduplicate(df).collect()), key=str)
+    assert got == sorted(brute.substring_dedup(rows), key=str)
+    kept = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], brute.sha(r["text"])) for r in substring_dedup.cleaned(df).collect())
+    assert kept == sorted((i or -1, *rest) for i, *rest in brute.substring_dedup(rows))
+
+
+def test_substring_dedup_in_many_shards(spark, docs, monkeypatch):
+    for name, value in (("PHRASES_PER_SHARD", 3), ("STREAM_WORDS", 500), ("MATCH_WORDS", 200), ("_FLUSH", 64)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = {tuple(r)[:4] for r in substring_dedup.deduplicate(docs).collect()}
+    assert got == set(brute.substring_dedup(corpus()))
