@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -87,3 +88,14 @@ def cosine(rows, c=0.9):
         union.join(ids[a], ids[b])
     n = dict(zip(ids, hit.sum(axis=1).tolist()))
     return {i: (n.get(i, 0), union.root(i)) for i, _ in rows}
+
+
+def topk(rows, every=20, k=20, scale=64):
+    """(query_id, rank, vec_id, score) of (vec_id, vector): every row whose id is divisible by `every` against all others."""
+    good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (i, q) in enumerate(good):
+        if i % every == 0:
+            ranked = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for m, (j, v) in enumerate(good) if m != n)
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(ranked[:k])]
+    return out

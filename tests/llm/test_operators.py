@@ -73,13 +73,29 @@ def test_cover_tree(spark):
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("size", (1.0, 1e6, 1e8))
+def test_topk(spark, size):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [(300, None), (301, [None] * 8), (302, [float("inf")] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = {i: np.floor(64 * np.array(v)) for i, v in rows[:200]}
-    want = [(i, r + 1, j, s) for i in q if i % 20 == 0 for r, (s, j) in enumerate((-s, j) for s, j in sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:20])]
-    assert sorted(map(tuple, topk.search(df).collect())) == sorted(want)
+    vector = lambda: [float(x) for x in rng.normal(size=8) * size]
+    rows = [(i, vector()) for i in range(200)] + [(300, None), (301, [None] * 8), (302, [float("inf")] * 8), (None, vector())]
+    rows += [(20, vector()), (20, rows[20][1]), (7, vector()), (7, rows[3][1]), (8, rows[3][1]), (1000, rows[40][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(brute.topk(rows))
+    assert sorted(map(tuple, topk.search(df).collect())) == want
+    rows = topk.quantised(df)
+    assert sorted(map(tuple, topk.topk(rows.filter("vec_id % 20 = 0"), rows, block=64, query_block=4).collect())) == want
+
+
+def test_topk_stops_reading():
+    rng = np.random.default_rng(4)
+    v = np.zeros((4000, 8), np.int64)
+    v[np.arange(4000), rng.integers(8, size=4000)] = rng.integers(1, 1000, size=4000)
+    rows, q = np.arange(4000), np.arange(0, 4000, 40)
+    at, c, s, read = topk.block_topk(q, v[q], rows, rows, v, 5)
+    assert (read < 1).mean() > 0.9
+    for i in range(len(q)):
+        want = sorted((-int(x), j) for j, x in enumerate(v @ v[q[i]]) if j != q[i])[:5]
+        assert [(-int(x), int(j)) for x, j in zip(s[at == i], c[at == i])] == want
 
 
 def test_pii_spans_map_back():
