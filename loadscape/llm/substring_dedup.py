@@ -39,6 +39,7 @@ from loadscape.llm.common import WORD, WORD_PATTERN, kept, run_hashes, word_hash
 WINDOW, PHRASE, PHRASES_PER_SHARD = 50, 20, 20_000
 #: Words that stream past one copy of a shard's automaton, and words whose windows are matched at once.
 STREAM_WORDS, MATCH_WORDS = 4_000_000, 1_000_000
+SALTS = 16
 _B1, _B2, _B3, _FLUSH = 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 1 << 21
 _SYMBOL = np.uint64((1 << 31) - 1)
 
@@ -264,10 +265,12 @@ def _judged(docs: DataFrame, texts: bool) -> DataFrame:
     profile = kept(_profile(rows), "phrase-profiles")
     long_enough = profile.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     same = ["same1", "same2"]
-    firsts = long_enough.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    # texts equal word for word: all but the first lose every word
-    marked = long_enough.join(firsts, same).select("doc_id", "row", "n_words", "p1", "p2", *same, "first")
-    copies = marked.filter("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("row").alias("copy_row")).distinct()
+    # texts equal word for word: all but the first lose every word. A group of copies is dealt to SALTS tasks.
+    slim = long_enough.select("doc_id", "row", *same, F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int").alias("salt"))
+    groups = slim.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
+    groups = groups.select(*same, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = kept(slim.join(groups, [*same, "salt"]).filter("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("row").alias("copy_row")).distinct(), "phrase-copies")
+    is_copy = (F.col("doc_id") == F.col("copy_id")) & (F.col("row") == F.col("copy_row"))
     phrase = F.explode(F.arrays_zip("p1", "p2")).alias("p")
     occurrences = long_enough.select("doc_id", *same, phrase).select("doc_id", *same, "p.p1", "p.p2")
     recurring = (
@@ -279,7 +282,7 @@ def _judged(docs: DataFrame, texts: bool) -> DataFrame:
     recurring = kept(recurring, "recurring-phrases")
     n_shards = max(1, -(-recurring.count() // PHRASES_PER_SHARD))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(n_shards))
-    wanted = marked.filter("doc_id = first").select("doc_id", "row", "n_words", phrase).select("doc_id", "row", "n_words", "p.p1", "p.p2")
+    wanted = long_enough.join(copies, is_copy, "left_anti").select("doc_id", "row", "n_words", phrase).select("doc_id", "row", "n_words", "p.p1", "p.p2")
     needs = kept(wanted.join(recurring, ["p1", "p2"]).select("doc_id", "row", "n_words", shard("origin").alias("shard")).distinct(), "phrase-needs")
     # a shard that many words stream past has several copies, each with all of its phrases
     loads = needs.groupBy("shard").agg(F.sum("n_words").alias("words")).withColumn("copies", F.greatest(F.lit(1), F.ceil(F.col("words") / STREAM_WORDS)).cast("long"))
@@ -300,7 +303,7 @@ def _judged(docs: DataFrame, texts: bool) -> DataFrame:
     cut = (cut if texts else cut.drop("kept")).dropDuplicates(["cut_id", "cut_row"])
     out = (
         profile.select("doc_id", "row", "n_words", "all_sha256")
-        .join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("row") == F.col("copy_row")), "left")
+        .join(copies, is_copy, "left")
         .join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("row") == F.col("cut_row")), "left")
     )
     copied = F.col("copy_id").isNotNull()
