@@ -295,7 +295,7 @@ def _judged(docs: DataFrame, texts: bool) -> DataFrame:
     own = own.join(loads.select(F.col("shard").alias("own_shard"), "copies"), "own_shard")
     found = rows.join(needs, ["doc_id", "row"]).join(own, "doc_id", "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "row", "text", "needs", "own", "own_shard", "copies")
     found = kept(found, "phrase-texts")
-    streams = _streams(found).repartition(min(n_streams, 100_000), "shard", "sub").sortWithinPartitions("shard", "sub", F.col("rid").asc_nulls_first())
+    streams = _streams(found).repartition(min(4 * n_streams, 100_000), "shard", "sub").sortWithinPartitions("shard", "sub", F.col("rid").asc_nulls_first())
     windows = kept(_located(streams, min(n_matches, 1 << 30)), "phrase-windows")
     removed = windows.filter("p is null").select("rid", "starts").unionByName(_matched(windows, min(n_matches, 100_000)))
     starts = removed.groupBy("rid").agg(F.collect_list("starts").alias("starts"))
