@@ -8,14 +8,20 @@ global order, they share one that is equal in both: an equi-join of parts finds
 puts parts made of frequent shingles last; frequent ones are counted over all documents, and a wrong or missing
 count costs time, never a link. A set is joined in its own band and in the next if a partner may be there.
 
-Equal sets are one class from the start: parts carry the class, not the document. Parts travel packed, one row for
-each batch and target partition, and are matched there by sorting. A bucket of many classes is not paired off:
-its members are held against each other by the Hamming distance of folded sketches; what passes with one member is
-verified against that one, and only members that are then still in different components are compared further.
+Equal sets are one class from the start: parts carry the class, not the document. A class is named by 64 bits of its
+shingles' hashes; where a second, independent 64 bits show that two sets share a name, those take both. Parts travel
+packed, one row for each batch and target partition, and are matched there by sorting; the number of partitions follows
+the number of parts. A bucket of many classes is not paired off: it is cut into blocks of BLOCK, and pairs of blocks
+are tasks of their own, in which members of different components are held against each other by the Hamming distance
+of folded sketches. What passes with one member is verified against that one, and only members that are then still
+in different components are compared further, all of them in the end.
 
 Defined results: A-Z is lower-cased, nothing else; a document with fewer words than a shingle has one, the whole
-sequence; one without words or text has an empty set and links with nothing; repeated rows are one document; a null
-doc_id takes no part in links and is its own row with a null component.
+sequence; one without words or text has an empty set and links with nothing; a link at exactly the least similarity
+counts; rows that share a doc_id are one document, linked as any of their texts is, and each is reported with the
+size of its own set; a null doc_id takes no part in links and is its own row with a null component; a text of any
+length is read whole (the parts of a long one are dealt to several tasks); no rows give no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.common import kept, lowered, mix, partitions, run_hashes, word_hashes
+from loadscape.llm.common import kept, lowered, mix, run_hashes, word_hash_pair, word_hashes
 from loadscape.llm.components import components
 
 WORDS, PERCENT, FREQUENT, LOCAL_FREQUENT, SKETCH = 5, 75, 1 << 16, 6, 512
-_BASE, _FLUSH = 0x9E6C63D0876A9A47, 1 << 21
+#: Members of a bucket that one task holds against each other, parts that are matched at once, shingles of a class whose parts go to one task, and pairs that share a copy of a text.
+BLOCK, MATCH_PARTS, LONG_SET, PAIRS = 1024, 2_000_000, 1024, 128
+SALTS = 16
+_BASE, _SECOND, _FLUSH = 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 1 << 21
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -41,10 +50,34 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(run_hashes(words, min(k, len(words)), _BASE)) if len(words) else words
 
 
+def shingles_and_check(text: str | None, k: int = WORDS) -> tuple[np.ndarray, int]:
+    """The shingles, and a hash of the set that does not depend on theirs."""
+    first, second = word_hash_pair(lowered(text)) if text else (np.zeros(0, np.uint64),) * 2
+    if not len(first):
+        return first, 0
+    n = min(k, len(first))
+    first, second = run_hashes(first, n, _BASE), run_hashes(second, n, _SECOND)
+    found = np.unique(first)
+    if len(found) < len(first):
+        second = second[np.unique(first, return_index=True)[1]]
+    return found, int(second.sum(dtype=np.uint64).view(np.int64))
+
+
 def set_class(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+class Names:
+    """The class of a text's set: 64 bits, or both hashes where two sets share these."""
+
+    def __init__(self, shared: list[int], k: int, name):
+        self.shared, self.k, self.name = frozenset(shared), k, name
+
+    def __call__(self, hashes: np.ndarray, text: str) -> int:
+        name = self.name(hashes)
+        return name ^ shingles_and_check(text, self.k)[1] if name in self.shared else name
+
+
 def sketches(sets: list[np.ndarray]) -> pa.ListArray:
     """The parity sketch of each set, folded to two to four bits a shingle (a power of two, SKETCH at least): one bit flipped by each shingle."""
     rows = []
@@ -67,16 +100,19 @@ def _near(a: np.ndarray, b: np.ndarray, total: int, percent: int) -> bool:
     return int(np.bitwise_count((folded(a, words) ^ folded(b, words)).view(np.uint64)).sum()) * (100 + percent) <= total * (100 - percent)
 
 
+_PAIR = "a long, b long, a_rep long, b_rep long, part long"
+
+
 def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs (a, b, a_size, b_size, a_sketch, b_sketch) whose sketches admit a link."""
+    """The pairs (a, b, both sizes, sketches and reps, part) whose sketches admit a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = (batch["a_size"].to_numpy() + batch["b_size"].to_numpy()).tolist()
+            sizes = (batch["a_size"].to_numpy().astype(np.int64) + batch["b_size"].to_numpy()).tolist()
             keep = [_near(x.values.to_numpy(), y.values.to_numpy(), n, percent) for x, y, n in zip(batch["a_sketch"], batch["b_sketch"], sizes)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "a_rep", "b_rep", "part"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, _PAIR)
 
 
 def most_different(a: int, percent: int = PERCENT) -> int:
@@ -111,25 +147,25 @@ def part_keys(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size, class and sketch of every document; and, here and there, shingles frequent in a batch with their counts."""
+    """doc_id, size, class and sketch of every document, and check, which tells sets of one class apart; and, here and there, shingles frequent in a batch with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), k) for t in batch["text"]]
+            sets, checks = zip(*(shingles_and_check(t.as_py(), k) for t in batch["text"])) if batch.num_rows else ((), ())
             hot, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             hot, counts = hot[counts >= LOCAL_FREQUENT], counts[counts >= LOCAL_FREQUENT]
             at = np.full(len(sets) + 1, 0, np.int32)
             at[1:] = len(hot)  # with the batch's first document
             lists = lambda x: pa.ListArray.from_arrays(at, pa.array(x, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), sketches(sets), lists(hot.view(np.int64)), lists(counts)],
-                names=["doc_id", "size", "class", "sketch", "hot", "counts"],
+                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64()), pa.array(checks, pa.int64()), sketches(sets), lists(hot.view(np.int64)), lists(counts)],
+                names=["doc_id", "size", "class", "check", "sketch", "hot", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, sketch array<long>, hot array<long>, counts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, check long, sketch array<long>, hot array<long>, counts array<long>")
 
 
-def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, n: int) -> DataFrame:
+def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names, n: int) -> DataFrame:
     """p and, packed: classes, their sizes, numbers of keys, and keys that belong to partition p."""
 
     def pack(classes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -152,7 +188,7 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, n: int) -> Da
         for batch in batches:
             for text, doc_id in zip(batch["text"], batch["doc_id"].to_pylist()):
                 s = shingles(text.as_py(), k) if doc_id is not None else ()
-                if not len(s) or (c := set_class(s)) in met:
+                if not len(s) or (c := names(s, text.as_py())) in met:
                     continue  # equal sets of a batch travel once
                 met.add(c)
                 own = part_keys(s, hot, percent)
@@ -170,7 +206,8 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, n: int) -> Da
 
 
 def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
-    """The classes that share a part; equal lists of a partition come once. Two: class, other; more: bucket, class, size."""
+    """The classes that share a part; equal lists of a partition come once. Two: class, size, other, other_size; more: bucket, class, size, and the block of the bucket's blocks."""
+    names = ["bucket", "class", "size", "block", "blocks", "other", "other_size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -197,14 +234,18 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
             two = starts[lengths == 2]
             small, large = sizes[who[two]], sizes[who[two + 1]]
             two = two[np.minimum(small, large).astype(np.int64) * 100 >= np.maximum(small, large).astype(np.int64) * percent]
+            small, large = sizes[who[two]], sizes[who[two + 1]]
             none = lambda kind: pa.nulls(len(two), kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), none(pa.int32()), pa.array(cls[two + 1])], names=["bucket", "class", "size", "other"])
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), pa.array(small), none(pa.int32()), none(pa.int32()), pa.array(cls[two + 1]), pa.array(large)], names=names)
             starts, lengths, digests = starts[lengths > 2], lengths[lengths > 2], digests[lengths > 2]
             for at in range(0, len(starts), 20_000):
                 st, ln = starts[at : at + 20_000], lengths[at : at + 20_000]
-                pos = np.repeat(st - np.concatenate(([0], np.cumsum(ln)[:-1])), ln) + np.arange(ln.sum())
+                nth = np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
+                pos = np.repeat(st, ln) + nth
                 bucket = np.repeat(mix(digests[at : at + 20_000] ^ ln.astype(np.uint64)).view(np.int64), ln)  # the same for the same list anywhere
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[pos]), pa.array(sizes[who[pos]]), pa.nulls(len(pos), pa.int64())], names=["bucket", "class", "size", "other"])
+                block, blocks = (nth // BLOCK).astype(np.int32), np.repeat(-(-ln // BLOCK), ln).astype(np.int32)
+                none = lambda kind: pa.nulls(len(pos), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[pos]), pa.array(sizes[who[pos]]), pa.array(block), pa.array(blocks), none(pa.int64()), none(pa.int32())], names=names)
 
         for batch in batches:
             for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -215,155 +256,215 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
         if key_now is not None:
             yield from match(key_now, held.pop(key_now))
 
-    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, other long")
+    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, other long, other_size int")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFrame:
     """class and text of each class's representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), k) for t in batch["text"]]
-            right = pa.array([len(x) > 0 and set_class(x) == c for x, c in zip(found, batch["class"].to_pylist())], pa.bool_())  # an id may repeat with another text
+            right = pa.array([len(x) > 0 and names(x, t.as_py()) == c for x, c, t in zip(found, batch["class"].to_pylist(), batch["text"])], pa.bool_())  # an id may repeat with another text
             yield pa.RecordBatch.from_arrays([batch["class"], batch["text"]], names=["class", "text"]).filter(right)
 
     reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
-    return reps.mapInArrow(run, "class long, text string")
+    return reps.mapInArrow(run, "class long, text string").dropDuplicates(["class"])
 
 
-def _candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """For buckets (bucket, class, size, component, sketch): pairs to verify (class, other), and (bucket, class, size) for the next round.
+def _candidates(members: DataFrame, percent: int, most: int, first: bool) -> DataFrame:
+    """For buckets (bucket, class, size, block, blocks, rep, component, sketch): pairs to verify, and members for the next round.
 
     One after another, members are held against all others of other components by size and by the Hamming distance
-    of their sketches; those that pass are verified. A member that already is in `most` of a round's pairs waits for
-    the next, when many of these are in one component; one that has been held against all is done.
+    of their sketches; those that pass are verified, up to `most` for the same two components. A member that already
+    is in `most` of a round's pairs, or has more than these with one component, waits for the next, when many are in
+    one component; one that does not wait has been held against all. In the first round blocks of a bucket are held
+    against themselves only, later all pairs of blocks.
     """
+    names = ["bucket", "class", "size", "block", "blocks", "a", "b", "a_rep", "b_rep", "part"]
 
-    def pairs_of(bucket: int, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> tuple[list, np.ndarray]:
-        paired, waits, out = np.zeros(len(cls), int), np.zeros(len(cls), bool), []
+    def pairs_of(cls, size, block, comp, sk, crossing: bool) -> tuple[list, np.ndarray]:
+        paired, waits, out, met = np.zeros(len(cls), int), np.zeros(len(cls), bool), [], {}
         for i in range(len(cls)):
             if paired[i] >= most:
                 waits[i] = True
                 continue
-            total = size + size[i]
             near = (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (comp != comp[i])
-            near[i] = False
+            near[:i] &= waits[:i]  # the others before were held against this one
+            if crossing:
+                near &= block != block[i]
             rows = np.flatnonzero(near)
-            rows = rows[np.bitwise_count(sk[rows] ^ sk[i]).sum(axis=1) * (100 + percent) <= total[rows] * (100 - percent)]
-            if len(rows):
-                out.append((np.minimum(cls[rows], cls[i]), np.maximum(cls[rows], cls[i])))
-                paired[rows] += 1
+            rows = rows[np.bitwise_count(sk[rows] ^ sk[i]).sum(axis=1) * (100 + percent) <= (size[rows] + size[i]) * (100 - percent)]
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(comp[rows], kind="stable")]
+            at = np.flatnonzero(np.append(True, np.diff(comp[rows]) != 0))
+            ends = np.append(at[1:], len(rows))
+            keep = []
+            for c, x, y in zip(comp[rows[at]].tolist(), at.tolist(), ends.tolist()):
+                pair = (min(c, comp[i]), max(c, comp[i]))
+                used = met.get(pair, 0)
+                some = rows[x : min(y, x + most - used)]
+                met[pair] = used + len(some)
+                waits[i] |= len(some) < y - x
+                keep.append(some)
+            rows = np.concatenate(keep)
+            paired[rows] += 1
+            out.append((np.full(len(rows), i), rows))
         return out, waits
 
-    def flush(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+    def flush(key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        bucket, x, y = key
         rows.sort(key=lambda r: r[0])
-        cls, size, comp = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        words = min(len(r[3]) for r in rows)
-        sk = np.stack([folded(r[3], words) for r in rows]).view(np.uint64)
-        out, waits = pairs_of(bucket, cls, size, comp, sk)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
-        n, m = len(a), int(waits.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([None] * n + [bucket] * m, pa.int64()), pa.array(np.concatenate((a, cls[waits]))), pa.array([None] * n + size[waits].tolist(), pa.int32()), pa.array(b.tolist() + [None] * m, pa.int64())], names=["bucket", "class", "size", "other"])
+        cls, size, block, blocks, rep, comp = (np.array([r[i] for r in rows], np.int64) for i in range(6))
+        words = min(len(r[6]) for r in rows)
+        sk = np.stack([folded(r[6], words) for r in rows]).view(np.uint64)
+        out, waits = pairs_of(cls, size, block, comp, sk, x != y)
+        if first:
+            waits |= blocks > 1
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+        part = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(o[1])) // PAIRS for o in out)])
+        i, j = np.minimum(i, j), np.maximum(i, j)  # in the order of classes
+        n, m = len(i), int(waits.sum())
+        stay = [pa.array([bucket] * m, pa.int64()), pa.array(cls[waits]), pa.array(size[waits].astype(np.int32)), pa.array(block[waits].astype(np.int32)), pa.array(blocks[waits].astype(np.int32))]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        if m:
+            yield pa.RecordBatch.from_arrays([*stay, *(pa.nulls(m, pa.int64()) for _ in range(5))], names=names)
+        if n:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds), pa.array(cls[i]), pa.array(cls[j]), pa.array(rep[i]), pa.array(rep[j]), pa.array(part + (bucket & 0xFFFFFFFF) * (1 << 24))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, *row, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "class", "size", "component")), batch["sketch"]):
-                row.append(bits.values.to_numpy())
-                if bucket != now:
+            for *key, cls, size, block, blocks, rep, component, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "x", "y", "class", "size", "block", "blocks", "rep", "component")), batch["sketch"]):
+                if key != now:
                     if rows:
                         yield from flush(now, rows)
-                    now, rows = bucket, []
-                rows.append(row)
+                    now, rows = key, []
+                rows.append((cls, size, block, blocks, rep, component, bits.values.to_numpy()))
         if rows:
             yield from flush(now, rows)
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, class long, size int, other long")
+    if first:
+        tasks = members.withColumn("x", F.col("block")).withColumn("y", F.col("block"))
+    else:
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        tasks = members.select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    key = ["bucket", "x", "y"]
+    return tasks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "bucket long, class long, size int, block int, blocks int, a long, b long, a_rep long, b_rep long, part long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """a, b, inter, either (sizes of intersection and union) of pairs of classes; sets: class, text."""
-    joined = (
-        pairs.join(sets.select(F.col("class").alias("a"), F.col("text").alias("a_text")), "a")
-        .join(sets.select(F.col("class").alias("b"), F.col("text").alias("b_text")), "b")
-        .select("a", "b", "a_text", "b_text")
-    )
+    """The pairs with inter and either, the sizes of their sets' intersection and union; sets: class, text.
+
+    The text of a travels once for all pairs of its part, then come those of the partners.
+    """
+    heads = pairs.select("a", "part").distinct().join(sets.select(F.col("class").alias("a"), "text"), "a")
+    heads = heads.select("a", "part", *(F.lit(None).cast("long").alias(c) for c in ("b", "a_rep", "b_rep")), "text")
+    stream = heads.unionByName(pairs.join(sets.select(F.col("class").alias("b"), "text"), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            found = []
-            for a, b, a_text, b_text in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["a_text"], batch["b_text"]):
-                if len(known) > 256:
-                    known.clear()
-                x = known[a] if a in known else known.setdefault(a, shingles(a_text.as_py(), k))
-                y = known[b] if b in known else known.setdefault(b, shingles(b_text.as_py(), k))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append((both, len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], names=["a", "b", "inter", "either"])
-
-    return joined.mapInArrow(run, "a long, b long, inter long, either long")
-
-
-def profiles(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, size and class of every document, and the frequent shingles (sorted, at most FREQUENT)."""
+            at, found = [], []
+            for i, (b, text) in enumerate(zip(batch["b"].to_pylist(), batch["text"])):
+                own = shingles(text.as_py(), k)
+                if b is None:
+                    x = own
+                else:
+                    both = len(np.intersect1d(x, own, assume_unique=True))
+                    at.append(i)
+                    found.append((both, len(x) + len(own) - both))
+            rows = batch.select(["a", "b", "a_rep", "b_rep"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], names=["a", "b", "a_rep", "b_rep", "inter", "either"])
+
+    key = ["a", "part"]
+    return stream.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, a_rep long, b_rep long, inter long, either long")
+
+
+def profiles(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray, Names]:
+    """doc_id, size, class and sketch of every document, the frequent shingles (sorted, at most FREQUENT), and what names a class."""
     found = kept(_profile(docs, k), "shingle-profiles")
     hot = found.select(F.explode(F.arrays_zip("hot", "counts")).alias("h")).groupBy("h.hot").agg(F.sum("h.counts").alias("n"))
     top = hot.orderBy(F.col("n").desc(), F.col("hot")).limit(FREQUENT).toPandas()["hot"].to_numpy()
-    return found.select("doc_id", "size", "class", "sketch"), np.sort(top.astype(np.int64).view(np.uint64))
+    # of n different sets about n^2 / 2^65 share a name: none as a rule, a few at 1e10
+    shared = [r["class"] for r in found.filter("class is not null").groupBy("class").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1").collect()]
+    if shared:
+        found = found.withColumn("class", F.when(F.col("class").isin(shared), F.col("class").bitwiseXOR(F.col("check"))).otherwise(F.col("class")))
+    return found.select("doc_id", "size", "class", "sketch"), np.sort(top.astype(np.int64).view(np.uint64)), Names(shared, k, set_class)
 
 
-def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _salted(rows: DataFrame, classes: DataFrame, name: str = "class") -> DataFrame:
+    """rows (name, {name}_size, salt_by) joined with classes; a long set is in many buckets, so its rows are dealt to several tasks."""
+    spread = lambda size: 1 + F.floor(size / LONG_SET)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("salt_by"), spread(F.col(f"{name}_size")))).drop("salt_by")
+    right = classes.select(F.col("class").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("sketch").alias(f"{name}_sketch"), F.explode(F.sequence(F.lit(0).cast("long"), spread(F.col("size")) - 1)).alias("_salt"))
+    return left.join(right, [name, "_salt"]).drop("_salt")
+
+
+def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, names: Names, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, component of the representatives (smallest doc_id) of classes that have links."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    packed = _packed_parts(docs, k, percent, spark.sparkContext.broadcast(frequent), 2 * n)
-    shared = kept(_buckets(packed, percent, n).distinct(), "jaccard-buckets")
-    known_classes = profile.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    # a set has at most so many parts: those on which it may differ and one, in two bands
+    total = profile.agg(F.coalesce(F.sum(2 * (F.col("size") * (200 - percent) / (100 + percent) + 1)), F.lit(0.0))).first()[0]
+    n = max(1, int(total // MATCH_PARTS))
+    packed = _packed_parts(docs, k, percent, spark.sparkContext.broadcast(frequent), names, min(n, 1 << 30))
+    shared = kept(_buckets(packed, percent, min(2 * n, 100_000)).distinct(), "jaccard-buckets")
+    known_classes = profile.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").cast("int").alias("size"), F.first("sketch").alias("sketch"))
     met = shared.select("class").unionByName(shared.select(F.col("other").alias("class"))).distinct()
     classes = kept(met.join(known_classes, "class"), "jaccard-classes")
-    rep = lambda df, c: df.join(classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep")), c)
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
-    pairs = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    pairs = _near_pairs(pairs, percent)
-    sets = None
+    twos = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("other").alias("b"), F.col("other_size").alias("b_size"), F.pmod(F.xxhash64("other"), F.lit(8)).alias("part"))
+    twos = _salted(_salted(twos.withColumn("salt_by", F.col("b")), classes, "a").withColumn("salt_by", F.col("a")), classes, "b")
+    pairs = _near_pairs(twos, percent)
+    members = shared.filter("bucket is not null").select("bucket", "class", F.col("size").alias("class_size"), "block", "blocks", F.col("bucket").alias("salt_by"))
+    members = _salted(members, classes).select("bucket", "class", F.col("class_size").alias("size"), "block", "blocks", F.col("class_rep").alias("rep"), F.col("class_sketch").alias("sketch"))
     # at first every class is its own component
-    members = shared.filter("bucket is not null").select("bucket", "class", "size", F.col("class").alias("component"))
-    found = known = None
-    most = 1
+    members = members.withColumn("component", F.col("rep"))
+    sets = found = known = None
+    most, first = 1, True
     while True:
-        round_ = kept(_candidates(members.join(classes.select("class", "sketch"), "class"), percent, most), "jaccard-round")
-        pairs = pairs.unionByName(round_.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        if sets is None:
+        round_ = kept(_candidates(members, percent, most, first), "jaccard-round")
+        made = round_.filter("a is not null").select("a", "b", "a_rep", "b_rep", "part")
+        made = (pairs.unionByName(made) if first else made).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("a_rep", "b_rep", "part")))
+        if first:
             # later rounds pair only classes that this one has paired
-            pairs = kept(pairs, "jaccard-first-pairs")
-            paired = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-            sets = kept(_sets(docs, paired.join(classes.select("class", "rep"), "class"), k), "jaccard-sets")
-        checked = kept(_verify(pairs, sets, k), "jaccard-pairs")
+            made = kept(made, "jaccard-first-pairs")
+            paired = made.select(F.col("a").alias("class"), F.col("a_rep").alias("rep")).unionByName(made.select(F.col("b").alias("class"), F.col("b_rep").alias("rep")))
+            waiting = round_.filter("bucket is not null").select("class").distinct().join(classes.select("class", "rep"), "class")
+            sets = kept(_sets(docs, paired.unionByName(waiting).distinct(), names, k), "jaccard-sets")
+        else:
+            made = made.join(known, ["a", "b"], "left_anti")
+        checked = kept(_verify(made, sets, k), "jaccard-pairs")
         known = checked.select("a", "b") if known is None else known.unionByName(checked.select("a", "b"))
-        linked = rep(rep(checked.filter(F.col("inter") * 100 >= F.col("either") * percent), "a"), "b").select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
+        linked = checked.filter(F.col("inter") * 100 >= F.col("either") * percent).select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
         # the components so far stand for all links so far
         found = kept(components(linked if found is None else found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(linked)), "jaccard-components")
-        waiting = round_.filter("bucket is not null").select("bucket", "class", "size")
+        waiting = round_.filter("bucket is not null").select("bucket", "class", F.col("size").alias("class_size"), "block", "blocks", F.col("bucket").alias("salt_by")).distinct()
         if waiting.isEmpty():
             return found
-        named = rep(waiting, "class").join(found, F.col("class_rep") == F.col("id"), "left")
-        named = kept(named.select("bucket", "class", "size", F.coalesce("component", "class_rep").alias("component")), "jaccard-waiting")
+        named = _salted(waiting, classes.join(found, F.col("rep") == F.col("id"), "left").select("class", "size", F.struct("rep", F.coalesce("component", "rep").alias("component")).alias("rep"), "sketch"))
+        named = named.select("bucket", "class", F.col("class_size").alias("size"), "block", "blocks", F.col("class_rep.rep").alias("rep"), F.col("class_sketch").alias("sketch"), F.col("class_rep.component").alias("component"))
+        named = kept(named, "jaccard-waiting")
         several = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
         members = kept(named.join(several, "bucket", "left_semi"), "jaccard-rest")
         if members.isEmpty():
             return found
-        pairs, most = pairs.limit(0), 8 * most
+        most, first = 8 * most, False
 
 
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    profile, frequent = profiles(docs, k)
-    labels = linked_classes(docs, profile, frequent, k, percent)
-    reps = profile.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    of_class = reps.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("class").alias("c"), F.coalesce("component", "rep").alias("component_id"))
-    return profile.join(of_class, F.col("class") == F.col("c"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
+    profile, frequent, names = profiles(docs, k)
+    labels = linked_classes(docs, profile, frequent, names, k, percent)
+    named = profile.filter("class is not null and doc_id is not null").select("doc_id", "class")
+    reps = named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    # a doc_id with several texts is one node in all their classes
+    several = named.groupBy("doc_id").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1").select("doc_id")
+    ties = kept(named.join(several, "doc_id").distinct().join(reps, "class").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "jaccard-ties")
+    if not ties.isEmpty():
+        labels = kept(components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(ties)), "jaccard-components")
+    # only classes that have a smaller doc_id to point to; a class of very many copies is dealt to SALTS tasks
+    of_class = reps.join(labels, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component", "rep").alias("component_id"), "last").filter("component_id <> last").drop("last")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = profile.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(of_class.select("class", "component_id", salts), ["class", "salt"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -62,6 +62,27 @@ def test_jaccard(docs, empty):
     assert jaccard_join.components_of(empty).count() == 0
 
 
+def test_jaccard_in_blocks(spark, docs, monkeypatch):
+    for name, value in (("BLOCK", 4), ("MATCH_PARTS", 50), ("LONG_SET", 16), ("PAIRS", 2), ("_FLUSH", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components_of(docs).collect()}
+    assert got == brute.jaccard(corpus())
+
+
+def test_jaccard_tells_sets_of_one_name_apart(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "set_class", lambda hashes: len(hashes) % 7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components_of(docs).collect()}
+    assert got == brute.jaccard(corpus())
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, a), (6, a), (6, b), (7, b), (8, b + " x"), (9, "other"), (9, "other"), (None, a), (3, "z " + b), (10, "x y"), (11, "X Y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.components_of(df).collect()), key=str)
+    assert got == sorted([(5, 26, 3), (6, 26, 3), (6, 26, 3), (7, 26, 3), (8, 27, 3), (9, 1, 9), (9, 1, 9), (None, 26, None), (3, 27, 3), (10, 1, 10), (11, 1, 10)], key=str)
+
+
 def test_cover_tree(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
