@@ -206,8 +206,8 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names,
 
 
 def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
-    """The classes that share a part; equal lists of a partition come once. Two: class, size, other, other_size; more: bucket, class, size, and the block of the bucket's blocks."""
-    names = ["bucket", "class", "size", "block", "blocks", "other", "other_size"]
+    """The classes that share a part; equal lists of a partition come once. Two: class, size, other, other_size; more: bucket, class, size, and the block of the bucket's blocks (own; the bucket's first class visits the other blocks too)."""
+    names = ["bucket", "class", "size", "block", "blocks", "own", "other", "other_size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -236,7 +236,7 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
             two = two[np.minimum(small, large).astype(np.int64) * 100 >= np.maximum(small, large).astype(np.int64) * percent]
             small, large = sizes[who[two]], sizes[who[two + 1]]
             none = lambda kind: pa.nulls(len(two), kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), pa.array(small), none(pa.int32()), none(pa.int32()), pa.array(cls[two + 1]), pa.array(large)], names=names)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), pa.array(small), none(pa.int32()), none(pa.int32()), none(pa.bool_()), pa.array(cls[two + 1]), pa.array(large)], names=names)
             starts, lengths, digests = starts[lengths > 2], lengths[lengths > 2], digests[lengths > 2]
             for at in range(0, len(starts), 20_000):
                 st, ln = starts[at : at + 20_000], lengths[at : at + 20_000]
@@ -244,8 +244,10 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
                 pos = np.repeat(st, ln) + nth
                 bucket = np.repeat(mix(digests[at : at + 20_000] ^ ln.astype(np.uint64)).view(np.int64), ln)  # the same for the same list anywhere
                 block, blocks = (nth // BLOCK).astype(np.int32), np.repeat(-(-ln // BLOCK), ln).astype(np.int32)
-                none = lambda kind: pa.nulls(len(pos), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[pos]), pa.array(sizes[who[pos]]), pa.array(block), pa.array(blocks), none(pa.int64()), none(pa.int32())], names=names)
+                visit = (nth % BLOCK == 0) & (nth > 0)  # once for every further block
+                head = (pos - nth)[visit]
+                at_once = [np.append(a, b) for a, b in ((bucket, bucket[visit]), (cls[pos], cls[head]), (sizes[who[pos]], sizes[who[head]]), (block, block[visit]), (blocks, blocks[visit]), (np.ones(len(pos), bool), np.zeros(len(head), bool)))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, at_once), pa.nulls(len(pos) + len(head), pa.int64()), pa.nulls(len(pos) + len(head), pa.int32())], names=names)
 
         for batch in batches:
             for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -256,7 +258,7 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
         if key_now is not None:
             yield from match(key_now, held.pop(key_now))
 
-    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, other long, other_size int")
+    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, own boolean, other long, other_size int")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFrame:
@@ -272,39 +274,36 @@ def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFram
     return reps.mapInArrow(run, "class long, text string").dropDuplicates(["class"])
 
 
-def _candidates(members: DataFrame, percent: int, most: int, first: bool) -> DataFrame:
-    """For buckets (bucket, class, size, block, blocks, rep, component, sketch): pairs to verify, and members for the next round.
+def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
+    """For blocks of buckets (bucket, block, class, size, own, active, rep, component, sketch): pairs to verify, and the active members that wait for the next round (bucket, class).
 
-    One after another, members are held against all others of other components by size and by the Hamming distance
-    of their sketches; those that pass are verified, up to `most` for the same two components. A member that already
-    is in `most` of a round's pairs, or has more than these with one component, waits for the next, when many are in
-    one component; one that does not wait has been held against all. In the first round blocks of a bucket are held
-    against themselves only, later all pairs of blocks.
+    One after another, active members are held against the block's own of other components by size and by the
+    Hamming distance of their sketches; those that pass are verified, up to 8 x `most` for the same two components. An
+    active member that already is in `most` of a round's pairs, or has more than these with one component, waits, as many are in
+    one component by then; one that does not wait in any block has been held against all.
     """
-    names = ["bucket", "class", "size", "block", "blocks", "a", "b", "a_rep", "b_rep", "part"]
+    names = ["bucket", "class", "a", "b", "a_rep", "b_rep", "part"]
 
-    def pairs_of(cls, size, block, comp, sk, crossing: bool) -> tuple[list, np.ndarray]:
+    def pairs_of(cls, size, own, active, comp, sk) -> tuple[list, np.ndarray]:
         paired, waits, out, met = np.zeros(len(cls), int), np.zeros(len(cls), bool), [], {}
-        for i in range(len(cls)):
+        for i in np.flatnonzero(active).tolist():
             if paired[i] >= most:
                 waits[i] = True
                 continue
-            near = (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (comp != comp[i])
-            near[:i] &= waits[:i]  # the others before were held against this one
-            if crossing:
-                near &= block != block[i]
+            near = own & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (comp != comp[i])
+            if own[i]:
+                near[:i] &= waits[:i] | ~active[:i]  # the others before were held against this one
             rows = np.flatnonzero(near)
             rows = rows[np.bitwise_count(sk[rows] ^ sk[i]).sum(axis=1) * (100 + percent) <= (size[rows] + size[i]) * (100 - percent)]
             if not len(rows):
                 continue
             rows = rows[np.argsort(comp[rows], kind="stable")]
             at = np.flatnonzero(np.append(True, np.diff(comp[rows]) != 0))
-            ends = np.append(at[1:], len(rows))
             keep = []
-            for c, x, y in zip(comp[rows[at]].tolist(), at.tolist(), ends.tolist()):
+            for c, x, y in zip(comp[rows[at]].tolist(), at.tolist(), [*at[1:].tolist(), len(rows)]):
                 pair = (min(c, comp[i]), max(c, comp[i]))
                 used = met.get(pair, 0)
-                some = rows[x : min(y, x + most - used)]
+                some = rows[x : min(y, x + 8 * most - used)]
                 met[pair] = used + len(some)
                 waits[i] |= len(some) < y - x
                 keep.append(some)
@@ -314,44 +313,50 @@ def _candidates(members: DataFrame, percent: int, most: int, first: bool) -> Dat
         return out, waits
 
     def flush(key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
-        bucket, x, y = key
         rows.sort(key=lambda r: r[0])
-        cls, size, block, blocks, rep, comp = (np.array([r[i] for r in rows], np.int64) for i in range(6))
+        cls, size, own, active, rep, comp = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.int64, np.int64, bool, bool, np.int64, np.int64)))
         words = min(len(r[6]) for r in rows)
         sk = np.stack([folded(r[6], words) for r in rows]).view(np.uint64)
-        out, waits = pairs_of(cls, size, block, comp, sk, x != y)
-        if first:
-            waits |= blocks > 1
+        out, waits = pairs_of(cls, size, own, active, comp, sk)
         i, j = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
-        part = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(o[1])) // PAIRS for o in out)])
+        part = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(o[1])) // PAIRS for o in out)]) + hash(key) % (1 << 32) * (1 << 24)
         i, j = np.minimum(i, j), np.maximum(i, j)  # in the order of classes
         n, m = len(i), int(waits.sum())
-        stay = [pa.array([bucket] * m, pa.int64()), pa.array(cls[waits]), pa.array(size[waits].astype(np.int32)), pa.array(block[waits].astype(np.int32)), pa.array(blocks[waits].astype(np.int32))]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         if m:
-            yield pa.RecordBatch.from_arrays([*stay, *(pa.nulls(m, pa.int64()) for _ in range(5))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * m, pa.int64()), pa.array(cls[waits]), *(pa.nulls(m, pa.int64()) for _ in range(5))], names=names)
         if n:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds), pa.array(cls[i]), pa.array(cls[j]), pa.array(rep[i]), pa.array(rep[j]), pa.array(part + (bucket & 0xFFFFFFFF) * (1 << 24))], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(2)), pa.array(cls[i]), pa.array(cls[j]), pa.array(rep[i]), pa.array(rep[j]), pa.array(part)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for *key, cls, size, block, blocks, rep, component, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "x", "y", "class", "size", "block", "blocks", "rep", "component")), batch["sketch"]):
-                if key != now:
+            for bucket, block, *row, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "class", "size", "own", "active", "rep", "component")), batch["sketch"]):
+                if (bucket, block) != now:
                     if rows:
                         yield from flush(now, rows)
-                    now, rows = key, []
-                rows.append((cls, size, block, blocks, rep, component, bits.values.to_numpy()))
+                    now, rows = (bucket, block), []
+                rows.append((*row, bits.values.to_numpy()))
         if rows:
             yield from flush(now, rows)
 
-    if first:
-        tasks = members.withColumn("x", F.col("block")).withColumn("y", F.col("block"))
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        tasks = members.select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    key = ["bucket", "x", "y"]
-    return tasks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "bucket long, class long, size int, block int, blocks int, a long, b long, a_rep long, b_rep long, part long")
+    return tasks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket long, class long, a long, b long, a_rep long, b_rep long, part long")
+
+
+def _block_tasks(named: DataFrame, second: bool) -> DataFrame:
+    """What the blocks hold in a later round: their own members, and the active ones of the bucket's other blocks.
+
+    Members of a bucket's largest component are held by all others, so in the second round only these are active;
+    from then on, those that waited. Buckets in one component, or with no active member, are done.
+    """
+    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks"), F.max("active").alias("any"))
+    tops = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("components"), F.max("blocks").alias("blocks"), F.max("any").alias("any")).filter("components > 1 and any")
+    # a bucket's blocks meet its row apart
+    tops = tops.select("bucket", "major", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    members = named.join(tops, ["bucket", "block"])
+    members = kept(members.withColumn("active", F.col("component") != F.col("major") if second else F.col("active")).drop("major"), "jaccard-members")
+    visit = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("to")
+    visitors = members.filter("active and blocks > 1").select("*", visit).withColumn("block", F.col("to")).drop("to")
+    return members.withColumn("own", F.lit(True)).unionByName(visitors.withColumn("own", F.lit(False)))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -398,7 +403,8 @@ def _salted(rows: DataFrame, classes: DataFrame, name: str = "class") -> DataFra
     """rows (name, {name}_size, salt_by) joined with classes; a long set is in many buckets, so its rows are dealt to several tasks."""
     spread = lambda size: 1 + F.floor(size / LONG_SET)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64("salt_by"), spread(F.col(f"{name}_size")))).drop("salt_by")
-    right = classes.select(F.col("class").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("sketch").alias(f"{name}_sketch"), F.explode(F.sequence(F.lit(0).cast("long"), spread(F.col("size")) - 1)).alias("_salt"))
+    rest = [F.col(c).alias(f"{name}_{c}") for c in classes.columns if c not in ("class", "size")]
+    right = classes.select(F.col("class").alias(name), *rest, F.explode(F.sequence(F.lit(0).cast("long"), spread(F.col("size")) - 1)).alias("_salt"))
     return left.join(right, [name, "_salt"]).drop("_salt")
 
 
@@ -416,40 +422,42 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
     twos = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("other").alias("b"), F.col("other_size").alias("b_size"), F.pmod(F.xxhash64("other"), F.lit(8)).alias("part"))
     twos = _salted(_salted(twos.withColumn("salt_by", F.col("b")), classes, "a").withColumn("salt_by", F.col("a")), classes, "b")
     pairs = _near_pairs(twos, percent)
-    members = shared.filter("bucket is not null").select("bucket", "class", F.col("size").alias("class_size"), "block", "blocks", F.col("bucket").alias("salt_by"))
-    members = _salted(members, classes).select("bucket", "class", F.col("class_size").alias("size"), "block", "blocks", F.col("class_rep").alias("rep"), F.col("class_sketch").alias("sketch"))
+    with_class = lambda rows, labelled: _salted(rows.withColumnRenamed("size", "class_size").withColumn("salt_by", F.col("bucket")), labelled).withColumnsRenamed({f"class_{c}": c for c in ("size", "rep", "sketch", "component")})
+    buckets = shared.filter("bucket is not null").drop("other", "other_size")
     # at first every class is its own component
-    members = members.withColumn("component", F.col("rep"))
-    sets = found = known = None
-    most, first = 1, True
+    tasks = with_class(buckets, classes.withColumn("component", F.col("rep"))).withColumn("active", F.lit(True))
+    sets = found = known = pool = None
+    most = 1
     while True:
-        round_ = kept(_candidates(members, percent, most, first), "jaccard-round")
+        round_ = kept(_candidates(tasks, percent, most), "jaccard-round")
         made = round_.filter("a is not null").select("a", "b", "a_rep", "b_rep", "part")
-        made = (pairs.unionByName(made) if first else made).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("a_rep", "b_rep", "part")))
-        if first:
-            # later rounds pair only classes that this one has paired
+        made = (pairs.unionByName(made) if pool is None else made).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("a_rep", "b_rep", "part")))
+        waits = round_.filter("bucket is not null").select("bucket", "class").distinct()
+        if pool is None:
+            # members that wait, and of buckets of several blocks all; later rounds pair only these
+            pool = buckets.filter("own").join(waits.withColumn("waits", F.lit(True)), ["bucket", "class"], "left").filter("waits or blocks > 1")
+            pool = kept(pool.drop("own", "waits").withColumn("active", F.lit(True)), "jaccard-waiting")
             made = kept(made, "jaccard-first-pairs")
             paired = made.select(F.col("a").alias("class"), F.col("a_rep").alias("rep")).unionByName(made.select(F.col("b").alias("class"), F.col("b_rep").alias("rep")))
-            waiting = round_.filter("bucket is not null").select("class").distinct().join(classes.select("class", "rep"), "class")
-            sets = kept(_sets(docs, paired.unionByName(waiting).distinct(), names, k), "jaccard-sets")
+            paired = paired.unionByName(pool.select("class").distinct().join(classes.select("class", "rep"), "class")).distinct()
+            sets = kept(_sets(docs, paired, names, k), "jaccard-sets")
         else:
             made = made.join(known, ["a", "b"], "left_anti")
+            pool = pool.drop("active").join(waits.withColumn("active", F.lit(True)), ["bucket", "class"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+            pool = kept(pool, "jaccard-waiting")
         checked = kept(_verify(made, sets, k), "jaccard-pairs")
         known = checked.select("a", "b") if known is None else known.unionByName(checked.select("a", "b"))
         linked = checked.filter(F.col("inter") * 100 >= F.col("either") * percent).select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
         # the components so far stand for all links so far
         found = kept(components(linked if found is None else found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(linked)), "jaccard-components")
-        waiting = round_.filter("bucket is not null").select("bucket", "class", F.col("size").alias("class_size"), "block", "blocks", F.col("bucket").alias("salt_by")).distinct()
-        if waiting.isEmpty():
+        if pool.filter("active").isEmpty():
             return found
-        named = _salted(waiting, classes.join(found, F.col("rep") == F.col("id"), "left").select("class", "size", F.struct("rep", F.coalesce("component", "rep").alias("component")).alias("rep"), "sketch"))
-        named = named.select("bucket", "class", F.col("class_size").alias("size"), "block", "blocks", F.col("class_rep.rep").alias("rep"), F.col("class_sketch").alias("sketch"), F.col("class_rep.component").alias("component"))
-        named = kept(named, "jaccard-waiting")
-        several = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
-        members = kept(named.join(several, "bucket", "left_semi"), "jaccard-rest")
-        if members.isEmpty():
+        labelled = classes.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
+        named = with_class(pool, labelled)
+        tasks = _block_tasks(kept(named, "jaccard-named"), most == 1)
+        if tasks.isEmpty():
             return found
-        most, first = 8 * most, False
+        most *= 8
 
 
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
