@@ -99,3 +99,62 @@ def topk(rows, every=20, k=20, scale=64):
             ranked = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for m, (j, v) in enumerate(good) if m != n)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(ranked[:k])]
     return out
+
+
+def url_model(pages, host_path, verdict_of, max_word=63, smoothing=0.5, letter=2.3):
+    """(words of the host, score) of each of pages (url, html); host_path: of a url; verdict_of: the rules' verdict or None."""
+    counts = Counter(w for _, html in pages for w in re.findall("[a-z]+", ascii_lower(html or "")) if len(w) <= max_word)
+    total = max(1, sum(counts.values()))
+
+    def split(run):
+        best = {0: (0.0, ())}
+        for end in range(1, len(run) + 1):
+            options = []
+            for size in range(1, min(max_word, end) + 1):
+                w = run[end - size : end]
+                cost = math.log(total / counts[w]) if w in counts else math.log(total * 10) + letter * size
+                options.append((best[end - size][0] + cost, -size, best[end - size][1] + (w,)))
+            cost, _, words = min(options)
+            best[end] = (cost, words)
+        return best[len(run)][1]
+
+    def tokens(host, path):
+        return [f"{side}:{w}" for side, text in (("h", host), ("p", ascii_lower(path))) for part in re.findall("[a-z]+|[0-9]+", text) for w in (split(part) if part[0] > "9" else (f"#{min(len(part), 9)}",))]
+
+    rows = [(tokens(*host_path(u)), verdict_of(*host_path(u))) for u, _ in pages]
+    seen = {v: Counter(t for found, own in rows if own == v for t in found) for v in ("allow", "block")}
+    both = seen["allow"].keys() | seen["block"].keys()
+    rate = lambda t, v: math.log((seen[v][t] + smoothing) / (sum(seen[v].values()) + smoothing * (len(both) + 1)))
+    n = Counter(v for _, v in rows)
+    prior = math.log((n["block"] + 1) / (n["allow"] + 1))
+    return [(" ".join(t[2:] for t in found if t[0] == "h"), prior + sum(rate(t, "block") - rate(t, "allow") for t in found if t in both)) for found, _ in rows]
+
+
+def ascii_lower(text):
+    return text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def language_model(rows, bucket, buckets, smoothing=0.5):
+    """text to (language, score), by plain multinomial naive Bayes fitted on rows (text, lang); bucket: of three characters."""
+    memo = {}
+
+    def grams(text):
+        text = f" {text.lower()} "
+        cut = [text[i : i + 3] for i in range(len(text) - 2)]
+        memo.update((g, bucket(g)) for g in set(cut) - memo.keys())
+        return [memo[g] for g in cut]
+
+    counts, docs = defaultdict(Counter), Counter(lang for _, lang in rows)
+    for text, lang in rows:
+        counts[lang].update(grams(text))
+    langs = sorted(docs)
+
+    def predict(text):
+        if not any(map(str.isalpha, text or "")):
+            return "und", 0.0
+        own = grams(text)
+        total = [math.log(docs[x] / len(rows)) + sum(n * math.log((counts[x][g] + smoothing) / (counts[x].total() + smoothing * buckets)) for g, n in Counter(own).items()) for x in langs]
+        best = total.index(max(total))
+        return langs[best], 1 / sum(math.exp((t - total[best]) * min(1, 50 / len(own))) for t in total)
+
+    return predict

@@ -2,6 +2,8 @@
 
 import io
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -140,6 +142,27 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_id_against_a_plain_model(spark):
+    rng = random.Random(6)
+    letters = {"en": "etaoinshr E", "fr": "esaitnru éà", "de": "enisratdh üß"}
+    make = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    rows = [(i, make(lang, rng.randint(1, 80)), lang, "s", 0) for i in range(150) for lang in [rng.choice(list(letters))]]
+    rows += [(200, "ÀB\n\tc \u0130 \U0001f600 xyz", None, "s", 0), (201, "\U0001f600 12", None, None, None), (202, "a", None, None, None), (203, None, "en", None, None), (7, make("en", 9), None, "s", 0), (None, make("de", 30), "de", "s", 0), (204, "ab é" * 300_000, None, "s", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+
+    def bucket(gram):
+        return int(next(language_id.trigrams(gram))[1])
+
+    plain = brute.language_model([(t, lang) for i, t, lang, *_ in rows if t is not None and lang and not held(i)], bucket, language_id.BUCKETS)
+    got = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language_id.identify(df).collect()), key=str)
+    want = [(i, held(i), *(lambda x: (x[0], round(x[1], 6)))(plain(t))) for i, t, *_ in rows]
+    assert got == sorted(want, key=str)
+    known = [r for r in want if r[0] is not None and r[0] < 150 and r[1]]
+    right = {i: lang for i, _, lang, *_ in rows}
+    assert sum(right[r[0]] == r[2] for r in known) >= 0.8 * len(known) > 20
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs, word_count("text")).collect()
     assert len(rows) == len(corpus()) and all(r["taken"] <= 2 * r["size"] for r in rows)
@@ -171,7 +194,35 @@ def test_urls(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i][:3] for i in range(8)] == [("", "", None), ("", "", None), ("foo.com", "/x", "com/"), ("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("a.net", "/es/", "net/es/"), ("a.org", "", None), ("a.net", "", None)]
     assert [got[i][3] for i in (2, 3, 4, 5)] == ["allow", "block", "allow", "block"]
-    assert url_filter.Segmenter({"foo": 5, "bar": 5, "foobar": 1}).split("barfoo") == ("bar", "foo")
+    assert url_filter.split("barfoo", {"foo": 5, "bar": 5}, 11) == ["bar", "foo"]
+
+
+def test_urls_against_a_plain_model(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["cat", "dog", "catalog", "log", "blue", "sky", "news", "farm", "ing", "a", "run", "w" * 70]
+    html = lambda: "<P>" + " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + "</p>"
+    name = lambda: "".join(rng.choice(words[:-1]) for _ in range(rng.randint(1, 4)))
+    urls = [f"http://{name()}.{rng.choice(('com', 'net', 'org', 'example.com'))}/{rng.choice(('es', 'fr', 'en', 'x'))}/{name()}{rng.randint(0, 3000)}-{name().upper()}?q" for _ in range(150)]
+    urls += [None, "", "nothing", urls[0], urls[0], "http://" + "zq" * 3000 + ".org/" + "catdog" * 500, "http://A" + "\u212a" + "b.org/É1"]
+    pages = [(u, None if i % 20 == 3 else html()) for i, u in enumerate(urls)]
+    rows = [(None if i % 50 == 7 else i // 2, u, h, "x") for i, (u, h) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, words string").repartition(3)
+    got = url_filter.judge(df).collect()
+
+    def host_path(url):
+        if url is None or "://" not in url:
+            return "", ""
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
+        return brute.ascii_lower(m[1]), m[2]
+
+    def verdict_of(host, path):
+        fits = [(len(n + p), len(n), v) for v, n, p in url_filter.RULES if (host == n or host.endswith("." + n)) and path.startswith(p)]
+        return max(fits)[2] if fits else None
+
+    model = brute.url_model(pages, host_path, verdict_of)
+    want = [(i, *host_path(u), verdict_of(*host_path(u)) or ("block" if score > 1e-9 else "allow"), said, round(score, 6)) for (i, u, *_), (said, score) in zip(rows, model)]
+    assert sorted(((r["page_id"], r["host"], r["path"], r["verdict"], r["words"], round(r["score"], 6)) for r in got), key=str) == sorted(want, key=str)
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
 
 
 def test_sentencepiece():
