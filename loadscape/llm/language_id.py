@@ -5,9 +5,16 @@ batches, as sums over rows of one matrix of log-probabilities that is broadcast
 is fixed by the parameters).
 
 Parameter BOUND: at most about so many labelled documents of each language, chosen by a hash of the id, are
-counted; a language with fewer gives all it has. Defined results: a null text, an empty one and one without a
-letter is `und` with score 0; ties go to the first language by code point; with nothing to learn from, all are
-`und`; a null id is not held out and trains as any other.
+counted; a language with fewer gives all it has. Parameter LANGS: the model learns at most so many languages, those
+with the most labelled documents, so its matrix has a fixed size also where the labels are dirty.
+
+Texts are scored many at once: the trigrams of a batch are the columns of a sparse matrix with a row for each text,
+whose product with the log-probabilities is a gather and a sum by row.
+
+Defined results: a null text, an empty one and one without a letter is `und` with score 0; ties go to the first
+language by code point; with nothing to learn from, all are `und`; a null id is not held out and trains as any other;
+rows that repeat or share an id are each judged (and each count in training); a text of any length is read whole, in
+pieces of fixed size; no rows give no rows; other columns are ignored, whatever their names, or kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, BOUND, SMOOTHING = 1 << 15, 4000, 0.5
+BUCKETS, BOUND, LANGS, SMOOTHING = 1 << 15, 4000, 256, 0.5
 _CHUNK = 1 << 20
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _SPACE, _M1, _M2, _M3 = 32, np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -38,38 +45,80 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    """Of UTF-32 codes, the buckets of the trigrams."""
+    codes = np.where(codes < 128, _FOLD[np.minimum(codes, 127)], codes)
+    h = codes[:-2] * _M1 + codes[1:-1] * _M2 + codes[2:] * _M3
+    return (h ^ (h >> np.uint32(15))) * _M1 >> np.uint32(17)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def trigrams(text: str) -> Iterator[np.ndarray]:
     """Buckets of the trigrams of a lower-cased text with a blank at either end, some at a time."""
     for at in range(0, len(text), _CHUNK):
         # each piece but the first starts with the two characters before it
-        piece = (text[at - 2 : at + _CHUNK] if at else " " + text[:_CHUNK]).lower() + " " * (at + _CHUNK >= len(text))
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes < 128, _FOLD[np.minimum(codes, 127)], codes)
-        h = codes[:-2] * _M1 + codes[1:-1] * _M2 + codes[2:] * _M3
-        yield (h ^ (h >> np.uint32(15))) * _M1 >> np.uint32(17)
+        yield _buckets(_codes((text[at - 2 : at + _CHUNK] if at else " " + text[:_CHUNK]).lower() + " " * (at + _CHUNK >= len(text))))
 
 
 class Model:
     def __init__(self, langs: list[str], log_p: np.ndarray, prior: np.ndarray):
         self.langs, self.log_p, self.prior = langs, log_p, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        total, n = self.prior.copy(), 0
-        for ids in trigrams(text):
-            counts = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS else None
-            total += counts @ self.log_p if counts is not None else self.log_p[ids].sum(axis=0)
-            n += len(ids)
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For texts of a batch, the sums of their trigrams' log-probabilities, and how many trigrams they have."""
+        pieces = [f" {t.lower()} " for t in texts]
+        n = np.array([len(p) for p in pieces]) - 2
+        ids = _buckets(_codes("".join(pieces)))
+        ends = np.cumsum(n + 2)
+        # the two trigrams that reach into the next text belong to none
+        across = (ends[:-1, None] + np.array([-2, -1])).ravel()
+        return np.add.reduceat(self.log_p[np.delete(ids, across)], np.cumsum(n) - n, axis=0), n
+
+    def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        found, batch, held = [("und", 0.0)] * len(texts), [], 0
+
+        def settle() -> None:
+            total, n = self._sums([texts[i] for i in batch])
+            for i, row, many in zip(batch, total, n.tolist()):
+                found[i] = self._best(row, many)
+
+        for i, text in enumerate(texts):
+            if not self.langs or not has_letter(text):
+                continue
+            if len(text) > _CHUNK:
+                total, many = np.zeros(len(self.langs)), 0
+                for ids in trigrams(text):
+                    total, many = total + np.bincount(ids, minlength=BUCKETS) @ self.log_p, many + len(ids)
+                found[i] = self._best(total, many)
+                continue
+            batch.append(i)
+            held += len(text)
+            if held >= _CHUNK:
+                settle()
+                batch, held = [], 0
+        if batch:
+            settle()
+        return found
+
+    def _best(self, total: np.ndarray, n: int) -> tuple[str, float]:
+        total = total + self.prior
         best = int(total.argmax())
         # the posterior of a text as sure as this one in every trigram, but of at most 50 trigrams
         gap = (total - total[best]) * min(1.0, 50 / max(n, 1))
         return self.langs[best], float(1 / np.exp(gap).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_many([text])[0]
+
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = BOUND) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = BOUND, langs: int = LANGS) -> Model:
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(langs)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     langs = sorted(sizes, key=lambda x: x.encode())
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -105,7 +154,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch["_text"]]
+            found = own.predict_many(batch["_text"].to_pylist())
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.fieldNames())
 
@@ -124,7 +173,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sure(texts: pd.Series) -> pd.Series:
-        found = map(shared.value.predict, texts)
+        found = shared.value.predict_many(texts.tolist())
         return pd.Series([lang != "und" and score >= least for lang, score in found], dtype=bool)
 
     return docs.filter(F.pandas_udf(sure, "boolean")(F.col(text_col)))
