@@ -63,14 +63,14 @@ def quarter_sine(v: np.ndarray, safety: float = 1.001) -> np.ndarray:
     return out
 
 
-def fix_bounds(v: np.ndarray, most: int = 1000) -> np.ndarray:
-    """Both directions in turn until every prefix and suffix sum is at most 0; then by largest magnitude. Null after `most` rounds."""
-    for _ in range(most):
-        if bounds_valid(v):
-            m = np.abs(v).max()
-            return v / m if m else v
-        v = quarter_sine(quarter_sine(v)[::-1])[::-1]
-    return np.full(len(v), np.nan)
+def fix_bounds(v: np.ndarray) -> np.ndarray:
+    """Both directions in turn until every prefix and suffix sum is at most 0, or nothing changes any more; then by largest magnitude."""
+    while not bounds_valid(v):
+        before, v = v, quarter_sine(quarter_sine(v)[::-1])[::-1]
+        if (v == before).all():
+            break
+    m = np.abs(v).max()
+    return v / m if m else v
 
 
 def halton(n: int, dims: int, start: int = 1) -> np.ndarray:

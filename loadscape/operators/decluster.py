@@ -27,7 +27,8 @@ def with_kind(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, n: int, seed: int = 12345) -> DataFrame:
     """n rows by the order of a generator over the id: the same rows however df is partitioned."""
-    order = (F.col("ts_id") * 1103515245 + seed) % 2147483648
+    # the id is reduced first, which leaves the order as it is and keeps the product of any id within a long
+    order = (F.pmod(F.col("ts_id"), F.lit(2147483648)) * 1103515245 + seed) % 2147483648
     return df.orderBy(order, "ts_id").limit(n)
 
 

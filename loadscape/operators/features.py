@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,18 +105,21 @@ def histogram_mode(points: DataFrame, bins: int) -> DataFrame:
     return full.groupBy("ts_id").agg(rounded(F.avg(F.col("lo") + (F.col("b") + 0.5) * F.col("w"))).alias(f"mode{bins}"))
 
 
-def autocorrelations(points: DataFrame, lags: int) -> DataFrame:
-    """(ts_id, lag, r) up to a number of lags; r is null for a constant series."""
-    c = points.withColumn("x", F.col("v") - F.avg("v").over(_s()))
-    energy = c.groupBy("ts_id").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
-    each = c.select("ts_id", *[(F.col("x") * F.lead("x", k).over(_t())).alias(f"r{k}") for k in range(1, lags + 1)])
-    sums = each.groupBy("ts_id").agg(*[F.coalesce(F.sum(f"r{k}"), F.lit(0.0)).alias(f"r{k}") for k in range(1, lags + 1)])
-    long = sums.unpivot("ts_id", [f"r{k}" for k in range(1, lags + 1)], "name", "sum")
-    return long.join(energy, "ts_id").select("ts_id", F.substring("name", 2, 9).cast("int").alias("lag"), F.try_divide("sum", "e").alias("r"))
+def autocorrelations(points: DataFrame, lags: int | None = None) -> DataFrame:
+    """(ts_id, lag, r) of every lag of a series, or of the first ones; r is null for a constant series."""
+    # one array a series: all its lags are sums over shifted slices, with no window and no join
+    rows = points.groupBy("ts_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("v"))
+    rows = rows.select("ts_id", A.let(A.mean(F.col("v")), lambda m: F.transform("v", lambda x: x - m)).alias("x"))
+    n, total = F.size("x"), lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
+    last = n - 1 if lags is None else F.least(n - 1, F.lit(lags))
+    shifted = lambda k: total(F.zip_with(F.slice("x", F.lit(1), n - k), F.slice("x", k + 1, n - k), lambda p, q: p * q))
+    every = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: shifted(k)))
+    found = rows.select("ts_id", total(F.transform("x", lambda x: x * x)).alias("e"), F.posexplode(every).alias("lag", "sum"))
+    return found.select("ts_id", (F.col("lag") + 1).alias("lag"), F.try_divide("sum", "e").alias("r"))
 
 
-def acf_features(points: DataFrame, lags: int = 20) -> DataFrame:
-    """First lag under 1/e, first lag at or under 0, first local minimum; null if beyond the lags looked at."""
+def acf_features(points: DataFrame, lags: int | None = None) -> DataFrame:
+    """First lag under 1/e, first lag at or under 0, first local minimum, over all lags; null where there is none."""
     w = Window.partitionBy("ts_id").orderBy("lag")
     r = autocorrelations(points, lags).withColumn("before", F.coalesce(F.lag("r").over(w), F.lit(1.0))).withColumn("after", F.lead("r").over(w))
     first = lambda c, n: F.min(F.when(c, F.col("lag"))).alias(n)
@@ -181,8 +185,11 @@ def shapes(series: DataFrame) -> DataFrame:
 
 
 def all_features(series: DataFrame, points: DataFrame) -> DataFrame:
-    """The native and the numerical features of every series, joined on ts_id."""
-    out = amplitude(series)
-    for part in (differences(points), locations(points), levels(points), longest_runs(points), trend(points), numeric(series), shapes(series)):
-        out = out.join(part, "ts_id")
-    return out
+    """All features of every series; each family gives its own columns, and one aggregate by ts_id puts them together, with no join."""
+    families = [
+        amplitude(series), differences(points), locations(points), levels(points), longest_runs(points), histogram_mode(points, 5), histogram_mode(points, 10),
+        acf_features(points), trend(points), forecast_error(points), motif_entropy(points), mutual_information(points), numeric(series), shapes(series),
+    ]
+    names = [c for f in families for c in f.columns if c != "ts_id"]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), families)
+    return rows.groupBy("ts_id").agg(*[F.max(c).alias(c) for c in names])

@@ -65,11 +65,12 @@ def vary_selections(selections: DataFrame, lengths: DataFrame, copies: int, seed
     return moved.select("name", F.when(F.col("copy") == 0, F.col("start")).otherwise(F.col("at")).alias("start"), F.when(F.col("copy") == 0, F.col("stop")).otherwise(F.least(F.col("at") + F.col("size"), F.col("n"))).alias("stop"))
 
 
-def cut_selections(raw: DataFrame, selections: DataFrame, samples: int = 1000) -> DataFrame:
-    """Series from raw (name, values): the selected slice, nulls and NaN as 0, resampled, mean removed, scaled."""
+def cut_selections(raw: DataFrame, selections: DataFrame, samples: int = 1000, seed: int = 3) -> DataFrame:
+    """Series from raw (name, values): the selected slice, nulls and NaN as 0, resampled, mean removed, scaled. A constant slice has no shape: a hundred draws take its place."""
     s = raw.join(selections, "name").select(F.xxhash64("name", "start", "stop").alias("ts_id"), F.slice("values", F.col("start") + 1, F.col("stop") - F.col("start")).alias("values"))
     filled = s.withColumn("values", F.transform("values", lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))
-    lively = filled.filter(F.size(F.array_distinct("values")) > 1)  # a constant slice has no shape to scale
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: draw(seed, "ts_id", i))
+    lively = filled.withColumn("values", F.when(F.size(F.array_distinct("values")) > 1, F.col("values")).otherwise(drawn))
     return resampled(lively, samples).select("ts_id", A.norm_meanmaxabs(F.col("values")).alias("values"))
 
 
@@ -134,7 +135,7 @@ def chain_recipes(series: DataFrame, per_series: int = 8, seed: int = 44) -> Dat
     shuffled = F.array_sort(F.filter(F.array(*picks), lambda x: x.isNotNull()))
     steps = F.transform(shuffled, lambda x: F.struct(x["tag"].alias("tag"), x["val"].alias("val")))
     first = F.array(F.struct(F.lit("shift").alias("tag"), F.round(-(draw(seed, "key", 99) * 0.14 + 0.03), 2).alias("val")))
-    return base.select((F.col("src_id") * per_series + F.col("nth")).alias("out_id"), "src_id", F.when(F.col("nth") == 0, first).otherwise(steps).cast(CHAIN).alias("steps"))
+    return base.select(F.col("key").alias("out_id"), "src_id", F.when(F.col("nth") == 0, first).otherwise(steps).cast(CHAIN).alias("steps"))
 
 
 def modify(series: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -284,13 +285,12 @@ def verify_series(series: DataFrame, kind: str) -> DataFrame:
 
 
 def manifold(initial: DataFrame, kind: str, seed: int = 42, samples: int = 1000, n_concat: int = 1 << 13, n_superpos: int = 1 << 15, per_series: int = 8) -> DataFrame:
-    """ts_id, kind, values: the initial pool recombined, modified, fixed and verified. The pools get adjoining id ranges."""
+    """ts_id, kind, values: the initial pool recombined, modified, fixed and verified. New series are named by hashes of what they are made of, so any ids will do."""
     spark = initial.sparkSession
     start = initial.select("ts_id", "values")
-    n0 = (start.agg(F.max("ts_id")).first()[0] or 0) + 1
+    named = lambda df, pool: df.withColumn("ts_id", F.xxhash64(F.lit(pool), "ts_id"))
     joined = concatenated(resampled(start, 1000), concat_recipes(spark, start, n_concat, seed))
-    pool = start.unionByName(resampled(joined, samples).withColumn("ts_id", F.col("ts_id") + n0))
-    summed = superpose(pool, random_superpositions(spark, pool, n_superpos, seed + 1)).withColumn("ts_id", F.col("ts_id") + n0 + n_concat)
-    recombined = pool.unionByName(summed)
+    pool = start.unionByName(named(resampled(joined, samples), "concat"))
+    recombined = pool.unionByName(named(superpose(pool, random_superpositions(spark, pool, n_superpos, seed + 1)), "superpos"))
     changed = modify(recombined, chain_recipes(recombined, per_series, seed + 2))
     return verify_series(fix_constraints(changed, kind, seed), kind).select("ts_id", F.lit(kind).alias("kind"), "values")

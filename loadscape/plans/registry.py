@@ -144,7 +144,7 @@ for _b in (5, 10):
 c AS (SELECT ts_id, coalesce(least(floor((v - lo) / nullif(w, 0)), {_b - 1}), 0) AS b, count(*) AS n, min(lo) AS lo, min(w) AS w FROM x GROUP BY 1, 2), f AS (SELECT *, max(n) {P} AS most FROM c)
 SELECT ts_id, round(avg(lo + (b + 0.5e0) * w), 6) + 0e0 AS mode{_b} FROM f WHERE n = most GROUP BY ts_id""")
 _add("acf_features", lambda s, d: X.acf_features(_znorm(s, d)), f"""WITH {ZSALES}, x AS (SELECT ts_id, t, v - avg(v) {P} AS x FROM s), e AS (SELECT ts_id, sum(x * x) AS e FROM x GROUP BY ts_id),
-r AS (SELECT a.ts_id, k AS lag, sum(a.x * b.x) / nullif(any_value(e.e), 0) AS r FROM x a CROSS JOIN range(1, 21) l(k) JOIN x b ON b.ts_id = a.ts_id AND b.t = a.t + k JOIN e ON e.ts_id = a.ts_id GROUP BY 1, 2),
+r AS (SELECT a.ts_id, b.t - a.t AS lag, sum(a.x * b.x) / nullif(any_value(e.e), 0) AS r FROM x a JOIN x b ON b.ts_id = a.ts_id AND b.t > a.t JOIN e ON e.ts_id = a.ts_id GROUP BY 1, 2),
 y AS (SELECT *, coalesce(lag(r) OVER w, 1e0) AS before, lead(r) OVER w AS after FROM r WINDOW w AS (PARTITION BY ts_id ORDER BY lag))
 SELECT ts_id, min(CASE WHEN r < 1 / exp(1e0) THEN lag END)::INT AS acf_timescale, min(CASE WHEN r <= 0 THEN lag END)::INT AS acf_first_zero, min(CASE WHEN r < before AND r < after THEN lag END)::INT AS acf_first_min FROM y GROUP BY ts_id""")
 _add("trend_linearity", lambda s, d: X.trend(_znorm(s, d)), f"WITH {ZSALES} SELECT ts_id, round(regr_r2(v, t), 6) + 0e0 AS linearity FROM s GROUP BY ts_id")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from loadscape.functions import arrays as A
 from loadscape.functions import kernels as K
+from loadscape.operators import decluster as D
+from loadscape.operators import features as X
 from loadscape.operators import recombine as R
 from loadscape.operators import space as S
 from loadscape.sources import series as src
@@ -86,3 +88,33 @@ def test_manifold_keeps_its_constraints(spark):
 def test_sources_reject_other_types(spark):
     with pytest.raises(ValueError):
         src.as_df(spark, 3)
+
+
+def test_constant_slices_and_hashed_ids(spark):
+    rng = np.random.default_rng(2)
+    raw = spark.createDataFrame([("a", [1.0] * 80), ("b", rng.normal(0, 1, 80).tolist()), ("c", [None, float("nan")] * 40)], "name string, values array<double>")
+    picked = spark.createDataFrame([(n, 0, 60) for n in "abc"], "name string, start int, stop int")
+    cut = R.cut_selections(raw, picked, 50)
+    rows = cut.collect()
+    assert len(rows) == 3 and all(abs(np.mean(r["values"])) < 1e-9 and np.abs(r["values"]).max() == 1 for r in rows)
+    assert rows and cut.collect() == rows
+    recipes = R.chain_recipes(cut, 8)
+    assert recipes.select("out_id").distinct().count() == 24 and R.modify(cut, recipes).count() == 24
+    assert D.sample(cut.select("ts_id"), 2).count() == 2
+
+
+def test_every_lag_is_looked_at(spark):
+    slow = [float(np.cos(2 * np.pi * t / 200)) for t in range(400)]
+    points = src.to_long(spark.createDataFrame([(1, slow), (2, [1.0, 1.0]), (3, [2.0])], "ts_id long, values array<double>"))
+    got = {r["ts_id"]: (r["acf_timescale"], r["acf_first_zero"], r["acf_first_min"]) for r in X.acf_features(points).collect()}
+    x = np.array(slow) - np.mean(slow)
+    r = [float(x[:-k] @ x[k:] / (x @ x)) for k in range(1, 400)]
+    assert got[1][:2] == (next(k + 1 for k, v in enumerate(r) if v < 1 / np.e), next(k + 1 for k, v in enumerate(r) if v <= 0)) and got[1][0] > 20 and got[1][2] > 60
+
+
+def test_bounds_are_fixed_without_a_limit_of_rounds():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        v = K.fix_bounds(rng.normal(-0.05, 1, 200))
+        assert np.isfinite(v).all() and abs(np.abs(v).max() - 1) < 1e-12
+        assert K.bounds_valid(v)
