@@ -11,7 +11,9 @@ member. It owns the records that start inside its range and reads past the range
 Defined results: a null html is an empty payload; payloads under MIN_BYTES are always responses; rows that share
 page_id and payload are each written, and those with the largest page_id of a group are all responses; a null
 page_id is never the largest, and a group that has no other is all responses; a null url is a record without a target;
-blanks and control characters leave a url, as a header line can't hold them; no pages give no archives and no rows.
+blanks and control characters leave a url, as a header line can't hold them; a payload of any length is one record, held
+by one task; a response whose payload does not have the length and digest of its header is an error; no pages give no
+archives and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +39,15 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def _filesystem(place: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in place or place.startswith("file:"):
-        return pafs.FileSystem.from_uri(place)
-    return pafs.LocalFileSystem(), place
+    return pafs.FileSystem.from_uri(place)
+
+
+def _located(spark: SparkSession, place: str) -> str:
+    """The folder with its scheme: what Spark takes a path without one to be, so that its tables and the archives share a file system."""
+    if "://" not in place:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        place = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return place.replace("file:/", "file:///", 1) if place.startswith("file:/") and not place.startswith("file://") else place
 
 
 def record_id(page_id: int | None) -> str:
@@ -92,14 +100,19 @@ def with_responses(pages: DataFrame) -> DataFrame:
         .filter("n > 1")
         .drop("n")
     )
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= MIN_BYTES, F.sha2("payload", 256)))
+    # small payloads have no key and take no part in the join
+    small = F.octet_length("payload") < MIN_BYTES
     revisit = ~F.coalesce(F.col("page_id") == F.col("largest"), F.lit(False))
-    return rows.join(repeated, F.col("key") == F.col("same"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("largest").isNotNull() & revisit, F.col("largest")).alias("response_id"))
+    joined = rows.filter(~small).withColumn("same", F.sha2("payload", 256)).join(repeated, "same", "left")
+    alone = rows.filter(small).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("response_id"))
+    return alone.unionByName(joined.select("page_id", "url", "payload", "digest", F.when(F.col("largest").isNotNull() & revisit, F.col("largest")).cast("long").alias("response_id")))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives; path, bytes and records of each."""
 
+    folder = _located(pages.sparkSession, folder)
+
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         path = f"{root}/part-{uuid.uuid4().hex}.warc.gz"
@@ -179,6 +192,8 @@ def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 def read(spark: SparkSession, files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """RECORDS of all archives; payload is null unless asked for."""
 
+    folder = _located(spark, folder)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _filesystem(folder)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -188,6 +203,8 @@ def read(spark: SparkSession, files: DataFrame, folder: str, range_bytes: int =
                 with store.open_input_file(path) as source:
                     for _, raw in members(source, start, end, size):
                         row = decode_record(raw)
+                        if row[2] == "response" and (len(row[6]), sha1_hex(row[6])) != row[4:6]:
+                            raise ValueError(f"the payload of page {row[0]} in {path} is not what its header says")
                         rows.append(row if payloads else (*row[:6], None))
                         held += len(raw)
                         if held > 16 << 20:

@@ -257,3 +257,18 @@ def test_substring_dedup_in_many_shards(spark, docs, monkeypatch):
         monkeypatch.setattr(substring_dedup, name, value)
     got = {tuple(r)[:4] for r in substring_dedup.deduplicate(docs).collect()}
     assert got == set(brute.substring_dedup(corpus()))
+
+
+def test_warc_payloads_are_hashed_on_reading(spark, tmp_path):
+    bodies = [b"x" * 1500, b"y" * 900]
+    for name, digests in (("good", [warc.sha1_hex(b) for b in bodies]), ("bad", [warc.sha1_hex(b"z"), warc.sha1_hex(bodies[1])])):
+        blob = b"".join(warc.encode_record(i, "u", b, d, None) for i, (b, d) in enumerate(zip(bodies, digests)))
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(blob)
+        files = spark.createDataFrame([(str(tmp_path / name / "a.warc.gz"), len(blob), 2)], warc.FILES)
+        found = warc.read(spark, files, str(tmp_path / name))
+        if name == "good":
+            assert [(r["page_id"], bytes(r["payload"])) for r in found.orderBy("page_id").collect()] == list(enumerate(bodies))
+        else:
+            with pytest.raises(Exception, match="not what its header says"):
+                found.collect()
