@@ -342,8 +342,8 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
     return tasks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket long, class long, a long, b long, a_rep long, b_rep long, part long")
 
 
-def _block_tasks(named: DataFrame, second: bool) -> DataFrame:
-    """What the blocks hold in a later round: their own members, and the active ones of the bucket's other blocks.
+def _block_tasks(named: DataFrame, second: bool) -> tuple[DataFrame, DataFrame]:
+    """What the blocks hold in a later round: their own members, and the active ones of the bucket's other blocks; and these members, without what is done.
 
     Members of a bucket's largest component are held by all others, so in the second round only these are active;
     from then on, those that waited. Buckets in one component, or with no active member, are done.
@@ -356,7 +356,7 @@ def _block_tasks(named: DataFrame, second: bool) -> DataFrame:
     members = kept(members.withColumn("active", F.col("component") != F.col("major") if second else F.col("active")).drop("major"), "jaccard-members")
     visit = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("to")
     visitors = members.filter("active and blocks > 1").select("*", visit).withColumn("block", F.col("to")).drop("to")
-    return members.withColumn("own", F.lit(True)).unionByName(visitors.withColumn("own", F.lit(False)))
+    return members.withColumn("own", F.lit(True)).unionByName(visitors.withColumn("own", F.lit(False))), members.select("bucket", "class", "size", "block", "blocks", "active")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -454,7 +454,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
             return found
         labelled = classes.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
         named = with_class(pool, labelled)
-        tasks = _block_tasks(kept(named, "jaccard-named"), most == 1)
+        tasks, pool = _block_tasks(kept(named, "jaccard-named"), most == 1)
         if tasks.isEmpty():
             return found
         most *= 8
