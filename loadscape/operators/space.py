@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,8 @@ from loadscape.operators.features import rounded
 from loadscape.plans.sql import EDGES
 from loadscape.sources.series import min_max
 
-#: Queries that are broadcast at once.
-QUERIES = 20_000
+#: Queries and points of a block that meet in one task, and queries compared at once.
+QUERIES, POINTS, SLICE = 16_384, 16_384, 64
 
 
 def unpivoted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -123,18 +125,41 @@ def cells(df: DataFrame, columns: list[str], n: int, dense: bool = False) -> Dat
 def nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, p: float = 2.0) -> DataFrame:
     """(q_id, rank, ts_id, dist): the k nearest other points in Minkowski distance; ties to the smaller id.
 
-    Points meet the queries block by block: each of the points' partitions reduces to k rows a query before any
-    rows are ranked across partitions. A block is about QUERIES queries, by a hash of the id; each is broadcast by itself.
+    Blocks of queries meet blocks of points, dealt by a hash of the id; each such pair of blocks returns k rows a query, and only
+    these are ranked. Rows with a coordinate that is null or no number are nobody's neighbour and have none. Ids are unique.
     """
-    blocks = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("ts_id"), F.lit(blocks))
-    some = [queries.filter(block == i) for i in range(blocks)] if blocks > 1 else [queries]
-    return reduce(DataFrame.unionByName, [_nearest(q, points, columns, k, p) for q in some])
-
-
-def _nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, p: float) -> DataFrame:
-    q = queries.select(F.col("ts_id").alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    gap = sum((F.pow(F.abs(F.col(c) - F.col(f"q_{c}")), F.lit(p)) for c in columns), F.lit(0.0))
-    d = points.join(F.broadcast(q), F.col("ts_id") != F.col("q_id")).select("q_id", "ts_id", F.pow(gap, F.lit(1 / p)).alias("dist"))
+    known = lambda df: df.select(F.col("ts_id").cast("long").alias("ts_id"), *[F.col(c).cast("double").alias(c) for c in columns]).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]))
+    q, pts = known(queries), known(points)
+    n_q, n_p = max(1, -(-q.count() // QUERIES)), max(1, -(-pts.count() // POINTS))
+    own = lambda n: F.pmod(F.xxhash64("ts_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", own(n_q)).withColumn("pb", every(n_p))
+    pts = pts.withColumn("pb", own(n_p)).withColumn("qb", every(n_q))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _block_nearest(left, right, columns, k, p)
+
+    d = q.groupBy("qb", "pb").cogroup(pts.groupBy("qb", "pb")).applyInPandas(best, "q_id long, ts_id long, dist double")
     w = Window.partitionBy("q_id").orderBy("dist", "ts_id")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_id", "rank", "ts_id", rounded(F.col("dist")).alias("dist"))
+
+
+def _block_nearest(queries: pd.DataFrame, points: pd.DataFrame, columns: list[str], k: int, p: float) -> pd.DataFrame:
+    """k rows a query from one block of points, by SLICE queries at a time."""
+    points = points.sort_values("ts_id")
+    ids, at, found = points["ts_id"].to_numpy(), points[columns].to_numpy(), []
+    for i in range(0, len(queries), SLICE) if len(points) else ():
+        some = queries.iloc[i : i + SLICE]
+        q_ids, q = some["ts_id"].to_numpy(), some[columns].to_numpy()
+        gap = np.zeros((len(q), len(at)))
+        for j in range(len(columns)):
+            gap += np.abs(at[:, j] - q[:, j : j + 1]) ** p
+        dist = gap ** (1 / p)
+        dist[q_ids[:, None] == ids] = np.inf
+        last = np.partition(dist, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1 : min(k, len(at))]
+        row, col = np.nonzero((dist <= last) & (dist < np.inf))
+        order = np.lexsort((ids[col], dist[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append(pd.DataFrame({"q_id": q_ids[row], "ts_id": ids[col], "dist": dist[row, col]})[first])
+    return pd.concat(found) if found else pd.DataFrame({"q_id": [], "ts_id": [], "dist": []})
