@@ -55,6 +55,48 @@ def parse_selections(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.select(part(1).alias("name"), part(2).cast("int").alias("start"), part(4).cast("int").alias("stop"))
 
 
+def selection_text(selections: DataFrame) -> DataFrame:
+    return selections.select(F.concat_ws(" ", "name", "start", F.lit("-"), "stop").alias("line"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line: the trimmed lines of text files that are not empty."""
+    return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    lines.select("line").write.mode("overwrite").text(path)
+
+
+def _listed(i: int) -> Column:
+    """The words of the i-th part of `a, b | c, d`."""
+    return F.split(F.split_part(F.col("line"), F.lit("|"), F.lit(i)), ",")
+
+
+def parse_concats(lines: DataFrame) -> DataFrame:
+    """out_id, pos, src_id, start, size, points from out_id and line: `ids | starts | stops | new lengths`, each with commas."""
+    number = lambda i, k: F.trim(F.get(_listed(i), k)).cast("int")
+    one = lambda x, k: F.struct(F.trim(x).cast("long").alias("src_id"), number(2, k).alias("start"), (number(3, k) - number(2, k)).alias("size"), number(4, k).alias("points"))
+    return lines.select("out_id", F.posexplode(F.transform(_listed(1), one)).alias("pos", "x")).select("out_id", "pos", "x.*")
+
+
+def concat_text(recipes: DataFrame) -> DataFrame:
+    # at most four sections a series
+    parts = recipes.groupBy("out_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src_id", "start", (F.col("start") + F.col("size")).alias("stop"), "points"))).alias("p"))
+    return parts.select("out_id", F.concat_ws(" | ", *[F.array_join(F.col("p")[c].cast("array<string>"), ", ") for c in ("src_id", "start", "stop", "points")]).alias("line"))
+
+
+def parse_superpositions(lines: DataFrame) -> DataFrame:
+    """out_id, src_id, scale from out_id and line: `ids | scales`."""
+    one = lambda x, k: F.struct(F.trim(x).cast("long").alias("src_id"), F.trim(F.get(_listed(2), k)).cast("double").alias("scale"))
+    return lines.select("out_id", F.inline(F.transform(_listed(1), one)))
+
+
+def superposition_text(recipes: DataFrame) -> DataFrame:
+    parts = recipes.groupBy("out_id").agg(F.array_sort(F.collect_list(F.struct("src_id", "scale"))).alias("p"))
+    return parts.select("out_id", F.concat_ws(" | ", *[F.array_join(F.col("p")[c].cast("array<string>"), ", ") for c in ("src_id", "scale")]).alias("line"))
+
+
 def vary_selections(selections: DataFrame, lengths: DataFrame, copies: int, seed: int = 1) -> DataFrame:
     """Each selection and `copies` - 1 variants of 0.7 to 1.3 times its length elsewhere; lengths: name, n."""
     s = selections.join(lengths, "name").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
@@ -144,9 +186,17 @@ def modify(series: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 # ---- concatenation and superposition
-def _numbered(series: DataFrame) -> DataFrame:
-    # recipes name sources by position; ids are a thin column, so this sorts ids only
-    return series.select("ts_id").withColumn("i", (F.row_number().over(Window.orderBy("ts_id")) - 1).cast("long"))
+def _numbered(series: DataFrame, buckets: int = 1024) -> DataFrame:
+    """ts_id and i, its position in the order of ids: buckets of equal width are numbered each by itself, from the count of those before."""
+    ids = series.select("ts_id")
+    ends = ids.agg(F.min("ts_id").cast("double").alias("lo"), ((F.max("ts_id").cast("double") - F.min("ts_id").cast("double")) / buckets).alias("w"))
+    b = F.coalesce(F.least(F.floor((F.col("ts_id").cast("double") - F.col("lo")) / F.nullif(F.col("w"), F.lit(0.0))), F.lit(buckets - 1)), F.lit(0))
+    dealt = ids.crossJoin(F.broadcast(ends)).select("ts_id", b.cast("int").alias("b"))
+    # one row a bucket, so the window over them and the broadcast have a fixed size
+    sizes = dealt.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("b").orderBy("ts_id")) - 1
+    return dealt.join(F.broadcast(before), "b").select("ts_id", (at + F.col("before")).cast("long").alias("i"))
 
 
 def concat_recipes(spark: SparkSession, series: DataFrame, n: int = 100, seed: int = 42, length: int = 1000) -> DataFrame:
@@ -284,13 +334,29 @@ def verify_series(series: DataFrame, kind: str) -> DataFrame:
     return series.filter((A.mean(v) < 0) & (A.max_abs(v) == 1) & (sign if kind == "only_neg" else ~sign) & (running(v) <= 0) & (running(F.reverse(v)) <= 0))
 
 
-def manifold(initial: DataFrame, kind: str, seed: int = 42, samples: int = 1000, n_concat: int = 1 << 13, n_superpos: int = 1 << 15, per_series: int = 8) -> DataFrame:
-    """ts_id, kind, values: the initial pool recombined, modified, fixed and verified. New series are named by hashes of what they are made of, so any ids will do."""
+def manifold(initial: DataFrame, kind: str, seed: int = 42, samples: int = 1000, n_concat: int = 1 << 13, n_superpos: int = 1 << 15, per_series: int = 8, recipes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """ts_id, kind, values: the initial pool recombined, modified, fixed and verified. New series are named by hashes of what they are made of, so any ids will do.
+
+    recipes receives the tables `concat`, `superpos` and `chains` that the pool is made by; out_id of the last is ts_id of the pool.
+    """
     spark = initial.sparkSession
     start = initial.select("ts_id", "values")
     named = lambda df, pool: df.withColumn("ts_id", F.xxhash64(F.lit(pool), "ts_id"))
-    joined = concatenated(resampled(start, 1000), concat_recipes(spark, start, n_concat, seed))
+    concat = concat_recipes(spark, start, n_concat, seed)
+    joined = concatenated(resampled(start, 1000), concat)
     pool = start.unionByName(named(resampled(joined, samples), "concat"))
-    recombined = pool.unionByName(named(superpose(pool, random_superpositions(spark, pool, n_superpos, seed + 1)), "superpos"))
-    changed = modify(recombined, chain_recipes(recombined, per_series, seed + 2))
-    return verify_series(fix_constraints(changed, kind, seed), kind).select("ts_id", F.lit(kind).alias("kind"), "values")
+    superpos = random_superpositions(spark, pool, n_superpos, seed + 1)
+    recombined = pool.unionByName(named(superpose(pool, superpos), "superpos"))
+    chains = chain_recipes(recombined, per_series, seed + 2)
+    if recipes is not None:
+        recipes |= {"concat": concat, "superpos": superpos, "chains": chains}
+    return verify_series(fix_constraints(modify(recombined, chains), kind, seed), kind).select("ts_id", F.lit(kind).alias("kind"), "values")
+
+
+def write_pools(initials: dict[str, DataFrame], path: str, seed: int = 42, step: int = 100, **sizes: int) -> None:
+    """Pools of all kinds under path/pool, partitioned by kind, and their recipes as text under path/{table}_{kind}; each kind has seeds of its own."""
+    for i, kind in enumerate(k for k in KINDS if k in initials):
+        recipes: dict[str, DataFrame] = {}
+        manifold(initials[kind], kind, seed + i * step, recipes=recipes, **sizes).drop("kind").write.mode("overwrite").parquet(f"{path}/pool/kind={kind}")
+        for table, text in (("concat", concat_text), ("superpos", superposition_text), ("chains", chain_text)):
+            write_lines(text(recipes[table]), f"{path}/{table}_{kind}")

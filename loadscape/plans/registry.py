@@ -12,6 +12,7 @@ from loadscape.functions import arrays as A
 from loadscape.operators import decluster as D
 from loadscape.operators import features as X
 from loadscape.operators import recombine as R
+from loadscape.operators import sets as T
 from loadscape.operators import space as S
 from loadscape.plans.sql import BIN, DOWN, EDGES, EVENTS, FEATURES, SALES, SPACE, ZSALES, P, normed
 from loadscape.sources import series as src
@@ -237,6 +238,43 @@ _add("fix_bounds", lambda s, d: src.to_long(R.bounds_fixed(down(s, d)), X.DIGITS
 _add("concat_recipe", lambda s, d: src.to_long(R.concatenated(R.resampled(zsales(s, d), 1000), R.concat_recipes(s, zsales(s, d))), X.DIGITS))
 _add("manifold", lambda s, d: R.manifold(R.resampled(zsales(s, d), 200), "only_neg", seed=42, samples=200, n_concat=100, n_superpos=200, per_series=2))
 
+# ---- recipes as text
+_lines = lambda s, d, line: src.table(s, d, "supplier").selectExpr("s_suppkey AS out_id", f"concat_ws('', {line}) AS line")
+_concats = lambda s, d: R.parse_concats(_lines(s, d, "s_suppkey, ', ', s_suppkey % 7, ' | ', s_suppkey % 50, ', 17 | ', s_suppkey % 50 + 300, ', 498 | 401, ', 200 + s_suppkey % 9"))
+_superpositions = lambda s, d: R.parse_superpositions(_lines(s, d, "s_suppkey, ', ', s_suppkey % 7, ' | 0.', 2 + s_suppkey % 8, ', 0.5'"))
+_add("concat_recipe_parse", _concats, "SELECT s_suppkey AS out_id, 0 AS pos, s_suppkey::BIGINT AS src_id, (s_suppkey % 50)::INT AS start, 300 AS size, 401 AS points FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey % 7, 17, 481, (200 + s_suppkey % 9)::INT FROM supplier")
+_add("concat_recipe_text", lambda s, d: R.concat_text(_concats(s, d)), "SELECT s_suppkey AS out_id, s_suppkey || ', ' || s_suppkey % 7 || ' | ' || s_suppkey % 50 || ', 17 | ' || s_suppkey % 50 + 300 || ', 498 | 401, ' || 200 + s_suppkey % 9 AS line FROM supplier".replace("s_suppkey % 50 + 300", "(s_suppkey % 50 + 300)").replace("200 + s_suppkey % 9", "(200 + s_suppkey % 9)"))
+_add("superpos_recipe_parse", _superpositions, "SELECT s_suppkey AS out_id, s_suppkey::BIGINT AS src_id, ('0.' || (2 + s_suppkey % 8))::DOUBLE AS scale FROM supplier UNION ALL SELECT s_suppkey, s_suppkey % 7, 0.5e0 FROM supplier")
+_add("superpos_recipe_text", lambda s, d: R.superposition_text(_superpositions(s, d)), """WITH x AS (SELECT s_suppkey AS out_id, s_suppkey::BIGINT AS src_id, '0.' || (2 + s_suppkey % 8) AS scale FROM supplier UNION ALL SELECT s_suppkey, s_suppkey % 7, '0.5' FROM supplier)
+SELECT out_id, string_agg(src_id, ', ' ORDER BY src_id, scale) || ' | ' || string_agg(scale, ', ' ORDER BY src_id, scale) AS line FROM x GROUP BY out_id""")
+_add("selection_text", lambda s, d: R.selection_text(src.table(s, d, "supplier").selectExpr("concat_ws('', 'S', s_suppkey) AS name", "s_suppkey % 10 AS start", "s_suppkey % 10 + 40 AS stop")), "SELECT 'S' || s_suppkey || ' ' || (s_suppkey % 10) || ' - ' || (s_suppkey % 10 + 40) AS line FROM supplier")
+
+# ---- from features to numbered sets
+_NORMED = """wn AS (SELECT ts_id, feature, (v - min(v) OVER (PARTITION BY feature)) / nullif(max(v) OVER (PARTITION BY feature) - min(v) OVER (PARTITION BY feature), 0) AS v FROM wc)"""
+_add(
+    "reduced_space",
+    lambda s, d: T.reduced_space(src.raw_features(s, d), FEATURES, ["f0", "f2", "f7"], exclude=("f6",), repair="f7").unpivot(["ts_id"], ["f0", "f2", "f7"], "feature", "v").withColumn("v", X.rounded(F.col("v"))),
+    f"""WITH {SPACE}, {_RAW}, {_SIG.format('rl')}, {_WHI.format('sg')}, {_NORMED}, ok AS (SELECT ts_id FROM wn WHERE feature = 'f7' AND v >= 0.1e0), l AS (SELECT wn.* FROM wn JOIN ok ON ok.ts_id = wn.ts_id WHERE feature IN ('f0', 'f2', 'f7'))
+SELECT ts_id, feature, round(CASE WHEN feature = 'f7' THEN (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) ELSE v END, 6) + 0e0 AS v FROM l WINDOW w AS (PARTITION BY feature)""",
+)
+_halves = lambda s, d: (lambda f: {k: f.filter(F.col("label") % 2 == i) for i, k in enumerate(R.KINDS)})(src.raw_features(s, d))
+_add("joint_space", lambda s, d: T.joint_space(_halves(s, d), FEATURES).unpivot(["pool", "ts_id"], FEATURES, "feature", "v").withColumn("v", X.rounded(F.col("v"))), f"WITH {SPACE}, {_RAW}, {_SIG.format('rl')}, {_WHI.format('sg')}, {_NORMED} SELECT CASE WHEN label % 2 = 0 THEN 'only_neg' ELSE 'only_posneg' END AS pool, fr.ts_id, feature, round(v, 6) + 0e0 AS v FROM wn JOIN fr ON fr.ts_id = wn.ts_id")
+_level_ids = lambda s, d: T.numbered(_by_level(s, d))
+_IDS = f"""lv AS (SELECT lv AS set_size, CASE WHEN label % 2 = 0 THEN 'only_neg' ELSE 'only_posneg' END AS kind, vec_id AS own, vec_id + CASE WHEN label % 2 = 0 THEN 0 ELSE 1000000 END AS source_id FROM embeddings JOIN (VALUES {", ".join(f"({x})" for x in LEVELS)}) l(lv) ON label < lv),
+ids AS (SELECT *, row_number() OVER (PARTITION BY set_size, kind ORDER BY source_id) - 1 + CASE WHEN kind = 'only_neg' THEN 0 ELSE 1000000 END AS ts_id FROM lv)"""
+_add("final_set_ids", _level_ids, f"WITH {_IDS} SELECT set_size::INT AS set_size, kind, source_id, ts_id FROM ids")
+_add("remapped_sets", lambda s, d: T.remapped(D.with_kind(src.feature_space(s, d)).select("ts_id", X.rounded(F.col("f0")).alias("f0")), _level_ids(s, d)), f"WITH {SPACE}, {_IDS} SELECT set_size::INT AS set_size, ids.kind, source_id, ids.ts_id, round(f0, 6) + 0e0 AS f0 FROM ids JOIN fs ON fs.ts_id = ids.own")
+_add("both_kinds_amplitude", lambda s, d: T.both_kinds({k: src.event_series(s, d).filter(F.col("ts_id") % 2 == i) for i, k in enumerate(R.KINDS)}, X.amplitude).select("ts_id", "kind", "arv"), f"WITH {EVENTS} SELECT ts_id + CASE WHEN ts_id % 2 = 0 THEN 0 ELSE 1000000 END AS ts_id, CASE WHEN ts_id % 2 = 0 THEN 'only_neg' ELSE 'only_posneg' END AS kind, round(avg(abs(v)), 6) + 0e0 AS arv FROM s GROUP BY s.ts_id")
+for _which, _order in (("head", "vec_id"), ("tail", "vec_id DESC"), ("random", f"{_LCG}, vec_id")):
+    _add(f"pick_{_which}", lambda s, d, w=_which: T.picked(src.raw_features(s, d), w, 12).select("ts_id"), f"SELECT vec_id AS ts_id FROM embeddings ORDER BY {_order} LIMIT 12")
+_add("label_spans", lambda s, d: T.spans(src.raw_features(s, d)), "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, (sum(n) OVER (ORDER BY label) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY label))::BIGINT AS stop FROM n")
+_add(
+    "tiled_series",
+    lambda s, d: src.to_long(T.tiled(zsales(s, d), 50, 3), X.DIGITS),
+    f"WITH {ZSALES}, n AS (SELECT *, count(*) {P} AS n FROM s), b AS (SELECT ts_id, k, min(n.v) AS v FROM n JOIN range(16) r(k) ON t >= round_even(k * n / 16e0, 0) AND t < round_even((k + 1) * n / 16e0, 0) GROUP BY 1, 2) SELECT ts_id, (k + 16 * j)::INT AS t, round(v, 6) + 0e0 AS v FROM b CROSS JOIN range(4) x(j) WHERE k + 16 * j < 50",
+)
+_add("declustered_sets", lambda s, d: T.declustered_sets(_halves(s, d), FEATURES, FEATURES[:4], (32, 16, 8), max_loops=20, exclude=("f6",)))
+
 # ---- relational work around the sets
 _add(
     "scenario_union",
