@@ -273,7 +273,6 @@ _add(
     lambda s, d: src.to_long(T.tiled(zsales(s, d), 50, 3), X.DIGITS),
     f"WITH {ZSALES}, n AS (SELECT *, count(*) {P} AS n FROM s), b AS (SELECT ts_id, k, min(n.v) AS v FROM n JOIN range(16) r(k) ON t >= round_even(k * n / 16e0, 0) AND t < round_even((k + 1) * n / 16e0, 0) GROUP BY 1, 2) SELECT ts_id, (k + 16 * j)::INT AS t, round(v, 6) + 0e0 AS v FROM b CROSS JOIN range(4) x(j) WHERE k + 16 * j < 50",
 )
-_add("declustered_sets", lambda s, d: T.declustered_sets(_halves(s, d), FEATURES, FEATURES[:4], (32, 16, 8), max_loops=20, exclude=("f6",)))
 
 # ---- relational work around the sets
 _add(
