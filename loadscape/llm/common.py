@@ -136,3 +136,10 @@ def lowered(text: str) -> bytes:
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def word_starts_and_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 text start, and their hashes."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends = _word_edges(raw)
+    return starts, _hashes_of(data, raw, starts, ends, 0) if len(starts) else np.zeros(0, np.uint64)

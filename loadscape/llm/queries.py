@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadscape.llm import cover_tree, jaccard_join, language_id, mixing, pii, sentencepiece_dropout, substring_dedup, topk, url_filter, warc
+from loadscape.llm import cover_tree, importance, jaccard_join, language_id, lexical, mixing, packing, pii, sentencepiece_dropout, substring_dedup, topk, url_filter, warc
 from loadscape.llm.common import WORD_PATTERN, table, word_count
 
 
@@ -51,8 +51,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.roundtrip(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_jaccard, op5_mixing, op6_cover_tree, op7_warc, op8_topk, op9_url_filter, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_jaccard, op5_mixing, op6_cover_tree, op7_warc, op8_topk, op9_url_filter, op10_sentencepiece, op11_lexical_search, op12_packing, op13_importance)}
 
 
 _W = ", ".join(f"({i}, {float(w)})" for i, w in enumerate(mixing.WEIGHTS))
@@ -159,5 +172,50 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.low, e.vec_id)
 FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN lowest l ON l.id = e.vec_id"""
 
 
+_LEXICAL = rf"""
+WITH listed AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS MATERIALIZED (SELECT d, doc_id, terms, len(terms) AS n FROM listed WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM docs),
+items AS MATERIALIZED (
+  SELECT i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+posts AS MATERIALIZED (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY d, doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM posts GROUP BY term) CROSS JOIN totals),
+scores AS (
+  SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms::BIGINT))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN posts USING (term) CROSS JOIN totals GROUP BY i, item_id, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical.K}"""
+
+_IMPORTANCE = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+listed AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+found AS (SELECT d, unnest(w) AS word FROM listed),
+wanted AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+vocabulary AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || hex(encode(word))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket
+  FROM (SELECT word FROM found UNION SELECT word FROM wanted) CROSS JOIN crc),
+per_document AS MATERIALIZED (SELECT d, bucket, count(*) AS n FROM found JOIN vocabulary USING (word) GROUP BY d, bucket),
+source AS (SELECT bucket, sum(n)::BIGINT AS s FROM per_document GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN vocabulary USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce((SELECT sum(s) FROM source), 0)::BIGINT AS big_s, coalesce((SELECT sum(t) FROM target), 0)::BIGINT AS big_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (big_s + {importance.BUCKETS}))::DOUBLE / ((s + 1) * (big_t + {importance.BUCKETS}))::DOUBLE))::BIGINT AS gain
+  FROM source LEFT JOIN target USING (bucket) CROSS JOIN sums),
+weights AS (SELECT d, sum(n * gain)::BIGINT AS weight FROM per_document JOIN gains USING (bucket) GROUP BY d),
+scored AS (
+  SELECT d, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM listed LEFT JOIN weights USING (d)),
+ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, d) AS nth FROM scored WHERE n_features >= {importance.LEAST_WORDS})
+SELECT s.doc_id, s.n_features, s.weight, s.score,
+       CASE WHEN o.nth <= (SELECT count(*) FROM ordered) * {importance.PERCENT} // 100 THEN o.nth END AS rank
+FROM scored s LEFT JOIN ordered o USING (d)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _SUBSTRING, "op4_jaccard": _JACCARD, "op5_mixing": _MIXING, "op6_cover_tree": _COSINE, "op7_warc": _WARC, "op8_topk": _TOPK}
+    return {"op11_lexical_search": _LEXICAL, "op13_importance": _IMPORTANCE, "op2_substring_dedup": _SUBSTRING, "op4_jaccard": _JACCARD, "op5_mixing": _MIXING, "op6_cover_tree": _COSINE, "op7_warc": _WARC, "op8_topk": _TOPK}
