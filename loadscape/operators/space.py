@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loadscape.operators import quantiles as Q
 from loadscape.operators.features import rounded
 from loadscape.plans.sql import EDGES
-from loadscape.sources.series import min_max
+from loadscape.sources.store import kept
 
 #: Queries and points of a block that meet in one task, and queries compared at once.
 QUERIES, POINTS, SLICE = 16_384, 16_384, 64
@@ -53,26 +55,37 @@ def set_info(sets: DataFrame, columns: list[str]) -> DataFrame:
     return heterogeneity(sets.withColumn("part", F.explode(F.array(F.lit("both"), "kind"))), columns, "set_size", "part")
 
 
+def _of(df: DataFrame, columns: list[str], change: Callable[[str], Column]) -> DataFrame:
+    return df.select(*[c for c in df.columns if c not in columns], *[change(c).alias(c) for c in columns])
+
+
 def sigmoid(df: DataFrame, columns: list[str]) -> DataFrame:
-    """1 / (1 + exp(-(x - median) / (1.35 iqr))), the statistics from one aggregate."""
-    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"{c}_q") for c in columns])
-    f = lambda c: 1 / (1 + F.exp(-(F.col(c) - F.col(f"{c}_q")[1]) / (1.35 * (F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]) + 1e-12)))
-    return df.crossJoin(F.broadcast(q)).select(*[x for x in df.columns if x not in columns], *[f(c).alias(c) for c in columns])
+    """1 / (1 + exp(-(x - median) / (1.35 iqr))), with exact quartiles."""
+    q = {c: [F.lit(x).cast("double") for x in found] for c, found in Q.of_columns(df, columns, (0.25, 0.5, 0.75)).items()}
+    return _of(df, columns, lambda c: 1 / (1 + F.exp(-(F.col(c) - q[c][1]) / (1.35 * (q[c][2] - q[c][0]) + 1e-12))))
 
 
 def clip_at_whiskers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Clip to the outermost points within 1.5 iqr of the quartiles."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}_q") for c in columns])
-    lo = lambda c: F.col(f"{c}_q")[0] - 1.5 * (F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0])
-    hi = lambda c: F.col(f"{c}_q")[1] + 1.5 * (F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0])
-    ends = df.crossJoin(F.broadcast(q)).agg(*[x for c in columns for x in (F.min(F.when(F.col(c) >= lo(c), F.col(c))).alias(f"{c}_lo"), F.max(F.when(F.col(c) <= hi(c), F.col(c))).alias(f"{c}_hi"))])
-    clipped = [F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi")).alias(c) for c in columns]
-    return df.crossJoin(F.broadcast(ends)).select(*[x for x in df.columns if x not in columns], *clipped)
+    ends = []
+    for c, (a, b) in Q.of_columns(df, columns, (0.25, 0.75)).items():
+        lo, hi = (F.lit(x).cast("double") for x in ((None, None) if a is None else (a - 1.5 * (b - a), b + 1.5 * (b - a))))
+        ends += [F.min(F.when(F.col(c) >= lo, F.col(c))).alias(f"{c}_lo"), F.max(F.when(F.col(c) <= hi, F.col(c))).alias(f"{c}_hi")]
+    found = df.agg(*ends).first()
+    end = lambda c, which: F.lit(found[f"{c}_{which}"]).cast("double")
+    return _of(df, columns, lambda c: F.least(F.greatest(F.col(c), end(c, "lo")), end(c, "hi")))
+
+
+def between_extremes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column scaled to [0, 1] by its own extremes, found first; a constant column becomes null."""
+    found = df.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    lo, width = ({c: F.lit(x).cast("double") for c, x in pairs} for pairs in ([(c, found[f"{c}_lo"]) for c in columns], [(c, None if found[f"{c}_lo"] is None else (found[f"{c}_hi"] - found[f"{c}_lo"]) or None) for c in columns]))
+    return _of(df, columns, lambda c: (F.col(c) - lo[c]) / width[c])
 
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sigmoid, whiskers, min-max: three passes of one aggregate each."""
-    return min_max(clip_at_whiskers(sigmoid(df, columns), columns), columns)
+    """Sigmoid, whiskers, min-max. The rows are kept once; each statistic is a few aggregates over the columns, and what they find are constants in one projection."""
+    return between_extremes(clip_at_whiskers(sigmoid(kept(df, "space"), columns), columns), columns)
 
 
 def _r(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from loadscape.functions import arrays as A
 from loadscape.operators import decluster as D
 from loadscape.operators import features as X
+from loadscape.operators import quantiles as Q
 from loadscape.operators import recombine as R
 from loadscape.operators import sets as T
 from loadscape.operators import space as S
@@ -282,7 +283,7 @@ _add(
 )
 _add(
     "mod_hyb_quantiles",
-    lambda s, d: src.table(s, d, "customer").select(F.try_divide(F.col("c_acctbal"), 1 + F.abs("c_acctbal") / 1000).alias("m"), "c_mktsegment").groupBy("c_mktsegment").agg(*[X.rounded(F.percentile("m", F.lit(q / 100))).alias(f"p{q}") for q in (5, 10, 25, 50)]),
+    lambda s, d: src.table(s, d, "customer").select(F.try_divide(F.col("c_acctbal"), 1 + F.abs("c_acctbal") / 1000).alias("m"), "c_mktsegment").transform(lambda m: Q.exact(m, ["c_mktsegment"], (0.05, 0.1, 0.25, 0.5), "m")).select("c_mktsegment", *[X.rounded(F.col("q")[i]).alias(f"p{q}") for i, q in enumerate((5, 10, 25, 50))]),
     "WITH m AS (SELECT c_acctbal / (1 + abs(c_acctbal) / 1000e0) AS m, c_mktsegment FROM customer) SELECT c_mktsegment, " + ", ".join(f"round(quantile_cont(m, {q / 100}), 6) + 0e0 AS p{q}" for q in (5, 10, 25, 50)) + " FROM m GROUP BY 1",
 )
 _add(
