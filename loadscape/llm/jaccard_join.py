@@ -270,8 +270,13 @@ def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFram
             right = pa.array([len(x) > 0 and names(x, t.as_py()) == c for x, c, t in zip(found, batch["class"].to_pylist(), batch["text"])], pa.bool_())  # an id may repeat with another text
             yield pa.RecordBatch.from_arrays([batch["class"], batch["text"]], names=["class", "text"]).filter(right)
 
-    reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
-    return reps.mapInArrow(run, "class long, text string").dropDuplicates(["class"])
+    # rows of an id are together after the join, so equal ones go without another move of texts
+    reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "class", "text").dropDuplicates()
+    found = kept(reps.select("class", "text").mapInArrow(run, "class long, text string"), "jaccard-sets")
+    # texts of one id that differ and have the same set: as a rule there are none
+    if found.groupBy("class").count().filter("count > 1").isEmpty():
+        return found
+    return kept(found.dropDuplicates(["class"]), "jaccard-sets")
 
 
 def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
@@ -440,7 +445,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
             made = kept(made, "jaccard-first-pairs")
             paired = made.select(F.col("a").alias("class"), F.col("a_rep").alias("rep")).unionByName(made.select(F.col("b").alias("class"), F.col("b_rep").alias("rep")))
             paired = paired.unionByName(pool.select("class").distinct().join(classes.select("class", "rep"), "class")).distinct()
-            sets = kept(_sets(docs, paired, names, k), "jaccard-sets")
+            sets = _sets(docs, paired, names, k)
         else:
             made = made.join(known, ["a", "b"], "left_anti")
             pool = pool.drop("active").join(waits.withColumn("active", F.lit(True)), ["bucket", "class"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
