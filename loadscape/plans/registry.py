@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loadscape.functions import arrays as A
+from loadscape.operators import compiled
 from loadscape.operators import decluster as D
 from loadscape.operators import features as X
 from loadscape.operators import quantiles as Q
@@ -159,7 +160,32 @@ p AS (SELECT ts_id, a, lead(a, 2) OVER (PARTITION BY ts_id ORDER BY t) AS b FROM
 m AS (SELECT ts_id, n, sum(n) OVER (PARTITION BY ts_id, a) AS na, sum(n) OVER (PARTITION BY ts_id, b) AS nb, sum(n) {P} AS al FROM j) SELECT ts_id, round(sum(n / al * ln(n * al / (na * nb))), 6) + 0e0 AS ami2 FROM m GROUP BY ts_id""")
 _add("spectral_features", lambda s, d: X.numeric(zsales(s, d)))
 _add("shape_features", lambda s, d: X.shapes(zsales(s, d)))
-_add("all_features", lambda s, d: X.all_features(zsales(s, d), _znorm(s, d)))
+_add("all_features", lambda s, d: compiled.features(zsales(s, d), compiled.rows_of(s, compiled.all_rows())))
+
+
+def _catalogue(spark: SparkSession) -> DataFrame:
+    """The native features: those of amplitude and level on the series as it is, the others on the z-scored one; two divided by the number of points."""
+    as_is = ["arv", "crest", "shape", "impulse", "clearance", "mean", "std", "min", "max", "peak2peak", "share_above_mean", "mean_diff_from_mean", "iqr", "cross_zero"]
+    rows = compiled.rows_of(spark, as_is, "norm_maxabs", "tsfel")
+    scored = ["trev", "pnn40", "mean_signed_diff", "median_signed_diff", "median_abs_diff", "mean_2nd_diff", "mean_abs_diff", "longest_above_mean", "longest_decrease", "loc_first_max", "loc_last_max", "temporal_centroid"]
+    scored += ["linearity", "mean3_stderr", "motif_entropy", "ami2", "acf_timescale", "acf_first_zero", "acf_first_min", ("mode5", "distribution mode bins=5"), ("mode10", "distribution mode bins=10"), ("p90", "distribution quantile q=0.9")]
+    per_point = compiled.rows_of(spark, [("above_per_point", "level count_above_mean")], "_dont_care", "tsfresh").withColumn("norm_out", F.lit("len"))
+    unused = compiled.rows_of(spark, ["not_there"], "_dont_care", "kats").withColumn("use", F.lit(False))
+    return rows.unionByName(compiled.rows_of(spark, scored, "z_score", "kats")).unionByName(per_point).unionByName(unused)
+
+
+#: The single families' SQL on the z-scored series; of the amplitude and level ones on the series as it is.
+_FAMILIES = ("diff_features", "run_length_features", "location_features", "trend_linearity", "rolling_forecast_err", "motif_entropy", "ami_lag2", "acf_features", "hist_mode5", "hist_mode10")
+_SCORED = f"{ZSALES.replace(' s AS (', ' s0 AS (').replace(' c AS (', ' c0 AS (').replace('FROM c)', 'FROM c0)')}, s AS (SELECT ts_id, t, (v - avg(v) {P}) / stddev_pop(v) {P} AS v FROM s0)"
+_on_base = lambda name, base: "(" + _SQL[name].replace(f"WITH {EVENTS}", f"WITH {base}", 1).replace(f"WITH {ZSALES}", f"WITH {base}", 1) + ")"
+_add(
+    "catalogue_features",
+    lambda s, d: compiled.features(zsales(s, d), _catalogue(s)),
+    "SELECT * EXCLUDE (ts_id_), share_above_mean AS above_per_point FROM "
+    + " JOIN ".join(f"{_on_base(n, ZSALES)} t{i}" + (" USING (ts_id)" if i else "") for i, n in enumerate(("amplitude_features", "level_features")))
+    + "".join(f" JOIN {_on_base(n, _SCORED)} u{i} USING (ts_id)" for i, n in enumerate(_FAMILIES))
+    + f" JOIN (WITH {_SCORED} SELECT ts_id AS ts_id_, round(quantile_cont(v, 0.9), 6) + 0e0 AS p90 FROM s GROUP BY 1) q ON q.ts_id_ = t0.ts_id",
+)
 
 # ---- feature space
 _HIST = f"""hb AS (SELECT label, feature, v, CASE WHEN v BETWEEN 0 AND 1 THEN {BIN} END AS bin FROM fl), ht AS (SELECT feature, count(*) AS n FROM hb GROUP BY 1),
