@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from loadscape.functions import arrays as A
 from loadscape.functions import kernels as K
+from loadscape.operators import ordered as O
 from loadscape.operators.features import rounded
 
 KINDS = ("only_neg", "only_posneg")
@@ -44,9 +45,14 @@ def parse_chains(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.select(F.trim(F.split_part(F.col(col), F.lit("|>"), F.lit(1))).cast("long").alias("src_id"), F.transform(steps, one).cast(CHAIN).alias("steps"))
 
 
-def chain_text(chains: DataFrame) -> DataFrame:
+def chain_line() -> Column:
+    """A chain's line, of src_id and steps."""
     steps = F.array_join(F.transform("steps", lambda s: F.concat(s["tag"], F.lit(":"), F.format_string("%.2f", s["val"]))), " | ")
-    return chains.select(F.concat(F.col("src_id").cast("string"), F.lit(" |> "), steps).alias("line"))
+    return F.concat(F.col("src_id").cast("string"), F.lit(" |> "), steps)
+
+
+def chain_text(chains: DataFrame) -> DataFrame:
+    return chains.select(chain_line().alias("line"))
 
 
 def parse_selections(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -86,14 +92,16 @@ def concat_text(recipes: DataFrame) -> DataFrame:
     return parts.select("out_id", F.concat_ws(" | ", *[F.array_join(F.col("p")[c].cast("array<string>"), ", ") for c in ("src_id", "start", "stop", "points")]).alias("line"))
 
 
-def parse_superpositions(lines: DataFrame) -> DataFrame:
-    """out_id, src_id, scale from out_id and line: `ids | scales`."""
-    one = lambda x, k: F.struct(F.trim(x).cast("long").alias("src_id"), F.trim(F.get(_listed(2), k)).cast("double").alias("scale"))
+def parse_superpositions(lines: DataFrame, places: bool = False) -> DataFrame:
+    """out_id, src_id, scale from out_id and line: `ids | scales`; with places, also pos, the place in the line."""
+    one = lambda x, k: F.struct(*[k.cast("int").alias("pos")] * places, F.trim(x).cast("long").alias("src_id"), F.trim(F.get(_listed(2), k)).cast("double").alias("scale"))
     return lines.select("out_id", F.inline(F.transform(_listed(1), one)))
 
 
 def superposition_text(recipes: DataFrame) -> DataFrame:
-    parts = recipes.groupBy("out_id").agg(F.array_sort(F.collect_list(F.struct("src_id", "scale"))).alias("p"))
+    """out_id and line, in the order of pos where recipes have it, and else of the sources."""
+    order = ["pos"] if "pos" in recipes.columns else []
+    parts = recipes.groupBy("out_id").agg(F.array_sort(F.collect_list(F.struct(*order, "src_id", "scale"))).alias("p"))
     return parts.select("out_id", F.concat_ws(" | ", *[F.array_join(F.col("p")[c].cast("array<string>"), ", ") for c in ("src_id", "scale")]).alias("line"))
 
 
@@ -266,8 +274,7 @@ def superpose(series: DataFrame, recipes: DataFrame) -> DataFrame:
 
 # ---- constraints, on the long form
 def _energies(points: DataFrame) -> DataFrame:
-    w = Window.partitionBy("ts_id")
-    return points.withColumn("fwd", F.sum("v").over(w.orderBy("t"))).withColumn("bwd", F.sum("v").over(w.orderBy(F.col("t").desc())))
+    return O.running(O.running(points, "fwd"), "bwd", falling=True)
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -285,19 +292,19 @@ def verified(points: DataFrame, kind: str) -> DataFrame:
 
 def quarter_sine(points: DataFrame, safety: float = 1.001) -> DataFrame:
     """One forward pass: the start lowered by a falling quarter cosine as far as the largest prefix sum asks."""
-    w = Window.partitionBy("ts_id")
-    c = points.withColumn("c", F.sum("v").over(w.orderBy("t")))
-    c = c.withColumn("top", F.max("c").over(w)).withColumn("peak", F.min(F.when(F.col("c") == F.col("top"), F.col("t"))).over(w))
+    c = O.running(points, "c")
+    tops = c.groupBy("ts_id").agg(F.max("c").alias("top"), F.min_by("t", F.struct(-F.col("c"), "t")).alias("peak"))
     ramp = F.when(F.col("t") > F.col("peak"), 0.0).when(F.col("peak") == 0, 1.0).otherwise(F.cos(F.lit(np.pi / 2) * F.col("t") / F.nullif(F.col("peak"), F.lit(0))))
-    c = c.withColumn("ramp", ramp).withColumn("whole", F.sum("ramp").over(w))
-    return c.select("ts_id", "t", rounded(F.when(F.col("top") <= 0, F.col("v")).otherwise(F.col("v") - safety * F.col("top") * F.col("ramp") / F.col("whole"))).alias("v"))
+    ramped = c.select("ts_id", "t", "v").join(tops, "ts_id").withColumn("ramp", ramp)
+    whole_ = ramped.groupBy("ts_id").agg(F.sum("ramp").alias("whole"))
+    lowered = F.when(F.col("top") <= 0, F.col("v")).otherwise(F.col("v") - safety * F.col("top") * F.col("ramp") / F.col("whole"))
+    return ramped.join(whole_, "ts_id").select("ts_id", "t", rounded(lowered).alias("v"))
 
 
 def valid_initials(points: DataFrame) -> DataFrame:
     """ts_id of series whose running sum is never above 0 nor below its last value."""
-    w = Window.partitionBy("ts_id")
-    c = points.withColumn("c", F.sum("v").over(w.orderBy("t"))).withColumn("total", F.sum("v").over(w))
-    return c.groupBy("ts_id").agg(F.max("c").alias("top"), F.min(F.col("c") - F.col("total")).alias("low")).filter("top <= 0 and low >= -1e-9").select("ts_id")
+    c = O.running(points, "c").groupBy("ts_id").agg(F.max("c").alias("top"), F.min("c").alias("low"), F.sum("v").alias("total"))
+    return c.filter("top <= 0 and low - total >= -1e-9").select("ts_id")
 
 
 def block_minimum(points: DataFrame, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from loadscape.operators import quantiles as Q
 from loadscape.operators.features import rounded
+from loadscape.operators.gram import largest_correlations
 from loadscape.plans.sql import EDGES
 from loadscape.sources.store import kept
 
@@ -88,25 +89,19 @@ def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     return between_extremes(clip_at_whiskers(sigmoid(kept(df, "space"), columns), columns), columns)
 
 
-def _r(a: Column, b: Column) -> Column:
-    n = F.count(F.lit(1))
-    cov = n * F.sum(a * b) - F.sum(a) * F.sum(b)
-    spread = lambda x: n * F.sum(x * x) - F.sum(x) * F.sum(x)
-    return F.abs(F.try_divide(cov, F.sqrt(F.greatest(spread(a) * spread(b), F.lit(0.0)))))
+def modified_pearson(df: DataFrame, columns: list[str], method: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(fi, fj, r) for fi before fj in the given order: the largest |corr| of fi with fj, its root, square and inverse; or what an own aggregate of two columns says."""
+    if method is None:
+        found = largest_correlations(df, columns)
+    else:
+        pairs = [F.struct(F.lit(a).alias("fi"), F.lit(b).alias("fj"), method(F.col(a), F.col(b)).alias("r")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+        found = df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    return found.select("fi", "fj", rounded(F.col("r")).alias("r"))
 
 
-def modified_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(fi, fj, r) for fi before fj in the given order: the largest |corr| of fi with fj, its root, square and inverse, in one aggregate."""
-    kinds = (lambda b: b, F.sqrt, lambda b: b * b, lambda b: 1 / (b + 1e-10))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.greatest(*[_r(F.col(a), k(F.col(b))) for k in kinds]).alias(f"{a}|{b}") for a, b in pairs])
-    long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("fi"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("fj"), rounded(F.col("r")).alias("r"))
-
-
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], method: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(fi, fj, r), symmetric and with the diagonal."""
-    upper = modified_pearson(df, columns)
+    upper = modified_pearson(df, columns, method)
     diagonal = upper.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "fi string, fj string, r double")
     return upper.unionByName(upper.select(F.col("fj").alias("fi"), F.col("fi").alias("fj"), "r")).unionByName(diagonal)
 

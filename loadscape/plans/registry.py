@@ -12,12 +12,16 @@ from loadscape.functions import arrays as A
 from loadscape.operators import compiled
 from loadscape.operators import decluster as D
 from loadscape.operators import features as X
+from loadscape.operators import ordered as O
+from loadscape.operators import provenance as V
 from loadscape.operators import quantiles as Q
 from loadscape.operators import recombine as R
 from loadscape.operators import sets as T
 from loadscape.operators import space as S
 from loadscape.plans.sql import BIN, DOWN, EDGES, EVENTS, FEATURES, SALES, SPACE, ZSALES, P, normed
+from loadscape.sources import positions
 from loadscape.sources import series as src
+from loadscape.sources.store import kept_at
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -75,8 +79,7 @@ _CHAIN = f"k AS (SELECT ts_id, t, v - 0.2e0 AS w FROM s), l AS (SELECT ts_id, t,
 _add("chain_fixed", lambda s, d: src.to_long(R.apply_chains(zsales(s, d).crossJoin(F.broadcast(R.parse_chains(s.range(1).select(F.lit("0 |> shift:-0.20 | exp:1.50 | inv:-1.00").alias("line"))).select("steps")))).select("ts_id", "values"), X.DIGITS), f"WITH {ZSALES}, {_CHAIN} " + _OUT.format("-v", "q"))
 
 # ---- ordered sums and constraints
-_run = lambda falling: F.sum("v").over(Window.partitionBy("ts_id").orderBy(F.col("t").desc() if falling else F.col("t").asc()))
-_sums = lambda falling: lambda s, d: src.to_long(down(s, d)).select("ts_id", "t", X.rounded(_run(falling)).alias("v"))
+_sums = lambda falling: lambda s, d: O.running(src.to_long(down(s, d)), falling=falling).select("ts_id", "t", X.rounded(F.col("sum")).alias("v"))
 _add("cum_energy_fwd", _sums(False), f"WITH {DOWN} " + _OUT.format("sum(v) OVER (PARTITION BY ts_id ORDER BY t)", "e"))
 _add("cum_energy_bwd", _sums(True), f"WITH {DOWN} " + _OUT.format("sum(v) OVER (PARTITION BY ts_id ORDER BY t DESC)", "e"))
 _add("fix_mean", _array(src.event_series, lambda v: A.fix_mean(A.norm_maxabs(v))), f"WITH {EVENTS} " + _OUT.format(f"CASE WHEN avg(v) {P} > 0 THEN -v ELSE v END / max(abs(v)) {P}", "s"))
@@ -327,6 +330,51 @@ SELECT q_id, ts_id, dist FROM n1 CROSS JOIN bound WHERE bnd IS NULL OR dist <= 1
 )
 
 
+
+# ---- long series: numbers and running sums with no task that holds one
+_long_events = lambda s, d: O.numbered(src.table(s, d, "events").select(F.col("user_id").alias("ts_id"), "ts", "event_id", F.col("value").alias("v")), "ts_id", "ts", "event_id")
+_add("event_positions", lambda s, d: _long_events(s, d).select("ts_id", "event_id", "t"), "SELECT user_id AS ts_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events")
+_add(
+    "event_running_sums",
+    lambda s, d: (lambda p: O.running(O.running(p, "fwd", block=16), "bwd", falling=True, block=16))(_long_events(s, d)).select("ts_id", "t", X.rounded(F.col("fwd")).alias("fwd"), X.rounded(F.col("bwd")).alias("bwd")),
+    f"WITH {EVENTS} SELECT ts_id, t, round(sum(v) OVER (PARTITION BY ts_id ORDER BY t), 6) + 0e0 AS fwd, round(sum(v) OVER (PARTITION BY ts_id ORDER BY t DESC), 6) + 0e0 AS bwd FROM s",
+)
+
+# ---- outcomes by position, and where pools come from
+def outcomes_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in three files and outcomes in five, both in the order of the key, side by side by position alone."""
+    rows = src.table(spark, d, "customer")
+    features = kept_at(rows.select("c_custkey", "c_acctbal").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey"), "features")
+    outcomes = kept_at(rows.select((F.col("c_custkey") * 2 + F.col("c_nationkey")).alias("outcome"), "c_custkey").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").drop("c_custkey"), "outcomes")
+    return positions.attached(spark, features, outcomes).select("pos", "c_custkey", "c_acctbal", "outcome")
+
+
+_add("outcomes_by_position", outcomes_by_position, "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey, c_acctbal, c_custkey * 2 + c_nationkey AS outcome FROM customer")
+
+
+def recipe_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes on three levels over suppliers: of two suppliers, of two of these, and of one of either."""
+    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    n = s.count()
+    other = lambda m, a: F.pmod(F.col("k") * m + a, F.lit(n))
+    pair = lambda base, a, b: s.select((F.col("k") + base).alias("ts_id"), F.explode(F.array(a, b)).alias("src_id"))
+    made = pair(1_000_000, F.col("k"), other(7, 5)).unionByName(pair(2_000_000, F.col("k") + 1_000_000, other(3, 1) + 1_000_000)).unionByName(pair(3_000_000, F.col("k") + 2_000_000, other(11, 2) + 1_000_000))
+    found = V.origins(made, s.select(F.col("k").alias("ts_id")))
+    return found.select("ts_id", F.array_join(F.col("initial_ids").cast("array<string>"), ",").alias("initial_ids"), "depth")
+
+
+_add(
+    "recipe_origins",
+    recipe_origins,
+    """WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS k, count(*) OVER () AS n FROM supplier),
+made AS (SELECT k + 1000000 AS ts_id, unnest([k, (k * 7 + 5) % n]) AS src_id FROM s UNION ALL SELECT k + 2000000, unnest([k + 1000000, (k * 3 + 1) % n + 1000000]) FROM s UNION ALL SELECT k + 3000000, unnest([k + 2000000, (k * 11 + 2) % n + 1000000]) FROM s),
+way(ts_id, src_id, depth) AS (SELECT k, k, 0 FROM s UNION SELECT ts_id, src_id, 1 FROM made UNION SELECT w.ts_id, m.src_id, w.depth + 1 FROM way w JOIN made m ON m.ts_id = w.src_id WHERE w.depth > 0)
+SELECT ts_id, string_agg(DISTINCT src_id::VARCHAR, ',' ORDER BY src_id) AS initial_ids, max(depth)::INT AS depth FROM way WHERE src_id < 1000000 GROUP BY ts_id""".replace(
+        "string_agg(DISTINCT src_id::VARCHAR, ',' ORDER BY src_id)", "array_to_string(list_sort(list(DISTINCT src_id)), ',')"
+    ),
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

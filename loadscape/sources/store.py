@@ -28,11 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of this run alone: its lineage ends here."""
+def kept_at(df: DataFrame, name: str) -> str:
+    """Where df was written as a table of this run alone."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of this run alone: its lineage ends here."""
+    return df.sparkSession.read.schema(df.schema).parquet(kept_at(df, name))
 
 
 def _path(spark: SparkSession, path: str):
