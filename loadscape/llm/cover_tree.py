@@ -12,7 +12,8 @@ query one link to every component that the block's own links make, so groups of
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component link with nothing and are
 their own component; vectors of different lengths do not link; rows that share a vec_id are compared as one vector
-each and reported each, and are one node; no rows give no rows.
+each and reported each, and are one node; a vector with a null vec_id links with nothing and has a null component; a vector of any length is
+compared whole; no rows give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ the buckets before, and the cut through the global order is found from the sizes
 exactly within the one bin where the budget ends. The number of buckets and bins follows the number of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a copy of size 0 is
-taken with its queue place but counts no words; rows that repeat are each mixed; no rows give no rows.
+taken with its queue place but counts no words; rows that repeat are each mixed, and so are rows with a null id, which shuffles as an empty one; equal finish times go by
+source, hash, size and copy; a text of any length counts whole; no rows give no rows; other columns are not read, whatever their names, or
+carried along by `mixed_documents`.
 """
 
 from __future__ import annotations

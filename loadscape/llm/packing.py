@@ -36,9 +36,22 @@ from pyspark.sql.window import Window
 
 from loadscape.llm.common import kept
 
-CAPACITY, END, VOCABULARY, CACHE = 2048, 0, "byte_bpe_50k.json", 800_000
-#: Such a tokenizer starts a new token at white space behind any other character; these are none by every edition of Unicode.
-_CUT, _JOINED = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])"), re.compile(r"(?:^|[^!-~À-ɏ])[ \n]|\x00")
+CAPACITY, END, VOCABULARY, CACHE = 2048, 0, "byte_bpe_50k.json", 600_000
+#: Such a tokenizer starts a new token at white space behind any other character, and at a stop behind a letter; these are none, or letters, by every edition of Unicode.
+_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,])")
+_OTHER = re.compile(r"(?:^|[^!-~À-ɏ])[ \n]|(?:^|[^A-Za-zÀ-ÖØ-öø-ɏ])[.,]|\x00")  # white space or a stop that may be no cut
+#: A blank and letters: one word for such a tokenizer.
+_WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_AT_ONCE = 10_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones are themselves, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
+
+
+_LETTERS = _byte_letters()
 _SLICE = 1 << 21
 
 
@@ -49,34 +62,62 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer; what stands between two cuts is encoded once and remembered, up to `cache` of these."""
+    """Ids of texts by a tokenizer; what stands between two cuts is encoded once and remembered.
+
+    Two sets of up to `cache` chunks are held: what was met since the first was last full, and the one that was full then.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.size, self.known, self.before = Tokenizer.from_file(path), cache, {}, {}
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         before = made["pre_tokenizer"] or {}
         by_words = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.by_words = by_words and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in made["added_tokens"])
+        added = made["added_tokens"]
+        self.by_words = by_words and not any(re.search(r"[\s.,]", t["content"]) or t["lstrip"] or t["rstrip"] for t in added)
+        self.mark = next(((t["content"], t["id"]) for t in added if t["special"]), None)
+        self.words = Tokenizer.from_file(path)  # the same, for words that are cut and written in byte letters
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def parts(self, text: str) -> list[str]:
         if not self.by_words:
             return [text]
-        if _JOINED.search(text):  # some white space is not a cut
+        if _OTHER.search(text):
             return _CUT.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        for c in " \n.,":
+            text = text.replace(c, f"\0{c}")
+        return text.split("\0")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode what is new: words many at once, what else is whole with the vocabulary's special token between."""
+        alone = new
+        if self.by_words and self.mark:
+            mark, number = self.mark
+            alone = [c for c in new if mark in c]
+            rest = [c for c in new if mark not in c]
+            for is_word, by, written in ((True, self.words, lambda c: c.encode().decode("latin-1").translate(_LETTERS)), (False, self.tokenizer, str)):
+                kind = [c for c in rest if bool(_WORD.fullmatch(c)) == is_word]
+                for at in range(0, len(kind), _AT_ONCE):
+                    some = kind[at : at + _AT_ONCE]
+                    ids = np.array(by.encode_batch_fast([mark.join(map(written, some))], add_special_tokens=False)[0].ids, "<u4")
+                    ends = [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
+                    data = ids.tobytes()
+                    self.known.update((c, data[4 * (a + 1) : 4 * b]) for c, a, b in zip(some, ends, ends[1:]))
+        for chunk, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         parts = [self.parts(t) for t in texts]
         met = set().union(*parts)
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > self.size:
-            self.known, new = {}, list(met)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        if len(self.known) > self.size:
+            self.known, self.before = {}, self.known
+        need = met.difference(self.known)
+        again = need.intersection(self.before)
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        self._learn(list(need.difference(again)))
         return [b"".join(map(self.known.__getitem__, own)) for own in parts]
 
 

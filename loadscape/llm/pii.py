@@ -6,7 +6,8 @@ back to source characters. Spans of the plain text always stay; the transducers
 span is a fragment of what they find.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive; every text is
-scanned whole in linear time; columns other than the id and the text are not read.
+scanned whole in linear time; rows that repeat or share an id, and rows with a null one, are each scanned and reported; of spans as
+likely the leftmost counts; no rows give no rows; columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ another character, so merges never cross chunks. What a task remembers does not
 when nothing is skipped, and what it becomes when a certain candidate of it is skipped, and so on. An occurrence goes
 from one to the next by its own draws. Characters without a piece, and U+2581 itself, are written as bytes, so decode(encode(text)) == text.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; a null id counts as its own id.
+Defined results: a null or empty text has no ids and decodes to an empty text; a null id counts as its own id; rows that repeat or share an id draw alike unless their
+copies are numbered; a text of any length is encoded whole, and so is a chunk; no rows give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -349,11 +350,19 @@ def _map(docs: DataFrame, schema: str, row, **settings) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, **settings) -> DataFrame:
-    """id and ids (array<int>) of every row; copy_col numbers rows that repeat an id, so that each draws for itself."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, adjacent: bool = False, **settings) -> DataFrame:
+    """id and ids (array<int>) of every row; copy_col numbers rows that repeat an id, so that each draws for itself; adjacent: rows that follow each other
+    with the same id are numbered as they come, as where a table repeats a row in place."""
+    last, nth = None, 0
 
     def row(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = codec.encode_many(part["text"].to_pylist(), part["id"].to_pylist(), part["copy"].to_pylist())
+        nonlocal last, nth
+        keys, copies = part["id"].to_pylist(), part["copy"].to_pylist()
+        if adjacent:
+            for i, key in enumerate(keys):
+                last, nth = key, nth + 1 if key is not None and key == last else 0
+                copies[i] = nth
+        ids = codec.encode_many(part["text"].to_pylist(), keys, copies)
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], names=[id_col, "ids"])
 

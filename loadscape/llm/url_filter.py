@@ -1,8 +1,8 @@
 """URL filter: rules first, then words segmented out of host names and scored by naive Bayes.
 
 Unigram counts over the words of all pages feed a Viterbi search that splits run-together letters of hosts and paths
-into words. The distinct runs are cut into their substrings (up to MAX_WORD letters, so linear in the length), which
-are joined to the whole unigram table; each run then gathers its few known words and is split by itself. The tokens
+into words. The distinct runs are cut into their substrings (up to MAX_WORD letters, told by the run's number, so linear in the length), which
+are joined to the whole unigram table; each run then gathers its known words and is split by itself. The tokens
 of the urls that a rule decides, counted over all of them, train a multinomial naive Bayes model, which judges the
 urls that no rule decides: tokens are joined to the whole table of their counts and the weights summed by url. No
 table is cut or collected; tokens and runs that very many urls share are dealt to SALTS tasks.
@@ -18,8 +18,10 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from loadscape.llm.common import kept
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: MAX_WORD: the letters of a host label. Words of up to SHORT letters are in most runs, and at most 26 + 26^2 + 26^3.
 MAX_WORD, SHORT, SMOOTHING, SALTS = 63, 3, 0.5, 16
+STARTS, _FLUSH = 1024, 200_000
 #: What a letter of an unknown word costs, beside ten times less than the rarest word.
 LETTER = 2.3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,19 +83,37 @@ def split(run: str, known: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def substrings(runs: DataFrame) -> DataFrame:
+    """id and word of every substring of up to MAX_WORD letters of runs (id, run); those that start within STARTS letters come once, so rows are linear in the letters."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = [], []
+            for i, run in zip(batch["id"].to_pylist(), batch["run"].to_pylist()):
+                for at in range(0, len(run), STARTS):
+                    own = {run[a : a + size] for a in range(at, min(at + STARTS, len(run))) for size in range(1, min(MAX_WORD, len(run) - a) + 1)}
+                    ids += [i] * len(own)
+                    words += own
+                    if len(words) > _FLUSH:
+                        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())})
+                        ids, words = [], []
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "word": pa.array(words, pa.string())})
+
+    return runs.select("id", "run").mapInArrow(cut, "id long, word string")
+
+
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """run and words of each of the distinct runs of letters."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    here = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - i + 1)), lambda size: F.substring(F.col("run"), i, size))
-    parts = runs.select("run", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), here)))).alias("word"))
-    short = F.length("word") <= SHORT
+    runs = kept(runs.withColumn("id", F.monotonically_increasing_id()), "url-distinct-runs")
+    parts, short = substrings(runs), F.length("word") <= SHORT
     known = parts.filter(short).join(F.broadcast(counts.filter(short)), "word").unionByName(parts.filter(~short).join(counts.filter(~short), "word"))
-    found = known.groupBy("run").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
+    found = known.groupBy("id").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("counts"))
 
     def search(run: pd.Series, known: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([split(r, {} if w is None else dict(zip(w, n)), max(1, total)) for r, w, n in zip(run, known, counts)])
 
-    return runs.join(found, "run", "left").select("run", F.pandas_udf(search, "array<string>")("run", "known", "counts").alias("words"))
+    return runs.join(found, "id", "left").select("run", F.pandas_udf(search, "array<string>")("run", "known", "counts").alias("words"))
 
 
 def _salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,7 @@ from loadscape.llm.common import kept, shared_dir
 
 MIN_BYTES, RANGE_BYTES, LEVEL = 1000, 4 << 20, 4
 DATE = "2024-01-01T00:00:00Z"
-MAGIC, _READ = b"\x1f\x8b\x08", 1 << 18
+MAGIC, _READ, _STEP = b"\x1f\x8b\x08", 1 << 18, 1 << 15
 FILES = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -132,55 +132,46 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return with_responses(pages).mapInArrow(archive, FILES)
 
 
+def _inflated(source, at: int, size: int, held: memoryview) -> tuple[bytes, int] | None:
+    """Content and length of the member at an offset of a file, of which the first bytes are held; None if there is none. Nothing is held twice."""
+    inflate, out, head, fed = zlib.decompressobj(31), [], b"", 0
+    while not inflate.eof:
+        piece = held[fed : fed + _STEP]
+        if not len(piece):
+            source.seek(at + fed)
+            piece = source.read(min(_READ, size - at - fed))
+            if not piece:
+                return None
+        try:
+            got = inflate.decompress(piece)
+        except zlib.error:
+            return None
+        fed += len(piece)
+        out.append(got)
+        head += got[: 7 - len(head)]
+        if len(head) == 7 and head != b"WARC/1.":
+            return None
+    return (b"".join(out), fed - len(inflate.unused_data)) if len(head) == 7 else None
+
+
 def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
     """Offset and content of the members that start in [start, end) of an open file."""
-    data, base = b"", start  # data: the file's bytes from base on
-
-    def more(n: int) -> bool:
-        nonlocal data
-        at = base + len(data)
-        if at >= size:
-            return False
-        source.seek(at)
-        got = source.read(min(n, size - at))
-        data += got
-        return bool(got)
-
-    at = start
-    while at < end:
-        data, base = data[at - base :], at
-        while len(data) < 3 and more(_READ):
-            pass
-        hit = data.find(MAGIC)
+    at, base, data = start, start, b""  # data: the file's bytes from base on
+    while at < min(end, size - 2):
+        if at + 3 > base + len(data):
+            source.seek(at)
+            data, base = source.read(min(_READ, size - at)), at
+        hit = data.find(MAGIC, at - base)
         if hit < 0:
             at = base + max(1, len(data) - 2)
-            if not more(_READ) and at >= size - 2:
-                return
             continue
         at = base + hit
         if at >= end:
             return
-        inflate, raw, used = zlib.decompressobj(31), [], hit
-        length, valid = 0, True
-        try:
-            while not inflate.eof:
-                if used >= len(data) and not more(_READ):
-                    valid = False
-                    break
-                piece = inflate.decompress(data[used : used + _READ])
-                used = min(len(data), used + _READ)
-                length += len(piece)
-                raw.append(piece)
-                if length >= 7 and not b"".join(raw[:8])[:7] == b"WARC/1.":
-                    valid = False
-                    break
-        except zlib.error:
-            valid = False
-        if valid and length >= 7:
-            yield at, b"".join(raw)
-            at = base + used - len(inflate.unused_data)
-        else:
-            at += 1
+        found = _inflated(source, at, size, memoryview(data)[hit:])
+        if found:
+            yield at, found[0]
+        at += found[1] if found else 1
 
 
 def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

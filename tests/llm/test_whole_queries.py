@@ -138,7 +138,8 @@ def test_pipeline_against_a_plain_one(spark, folders):
     assert (110, "Write to [EMAIL] or [EMAIL] now", None) in docs
     taken = plain_mix([(i, s, len(brute.words(t))) for i, t, s in docs])
     codec = sentencepiece_dropout.Codec()
-    want = Counter({(i, tuple(codec.encode(t, i).tolist())): taken[i] for i, t, _ in docs if taken[i]})
+    want = Counter((i, tuple(codec.encode_many([t], [i], [copy])[0].tolist())) for i, t, _ in docs for copy in range(taken[i]))
+    assert max(taken.values()) == 2
     found = corpus_pipeline.run(spark, folders[0]).collect()
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in found) == want and all(r["n_ids"] == len(r["ids"]) for r in found)
 
