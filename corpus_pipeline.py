@@ -4,7 +4,11 @@ language ID: documents without a recognised language go.
 near duplicates: of each group that the n-gram Jaccard join links, the smallest doc_id stays.
 PII: personal data is replaced by placeholders, disguised or not.
 mixing: documents are taken, once, twice or not at all, so that sources come to their target weights.
-tokens: the text as SentencePiece ids with seeded merge-dropout.
+tokens: the text as SentencePiece ids with seeded merge-dropout, copies of a document each by draws of its own.
+
+Defined results of every stage: a null text has no letters, so it goes with the first one; a null source mixes as a source of its own, last; rows with a
+null doc_id are linked with nothing and stay; rows that share a doc_id are one document for the near duplicates and are kept or dropped together, and elsewhere are rows of
+their own; texts of any length are read whole; ties go to the smaller doc_id; no rows give no rows; further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_dropout.encode(docs).withColumn("n_ids", F.size("ids").cast("long"))
+    # mixing repeats a row in place, and each copy draws for itself
+    return sentencepiece_dropout.encode(docs, adjacent=True).withColumn("n_ids", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
