@@ -100,10 +100,19 @@ def append_overlapping(a: Column, b: Column, overlap: int) -> Column:
     return F.concat(F.slice(a, F.lit(1), F.size(a) - overlap), both, F.slice(b, F.lit(overlap + 1), F.greatest(F.size(b) - overlap, F.lit(0))))
 
 
-def fix_mean(v: Column, tol: float = 0.01) -> Column:
-    """A mean of at least tol turns the series over; one within tol is moved below it."""
-    moved = lambda w: F.transform(w, lambda x: x - 3 * tol)
-    return let(v, lambda w: let(mean(w), lambda m: F.when(m <= -tol, w).when(m >= tol, F.transform(w, lambda x: -x)).otherwise(norm_maxabs(moved(w)))))
+def fix_mean(v: Column, tol: float = 0.01, draws: tuple[float | Column, float | Column] | None = None) -> Column:
+    """A mean of at least tol turns the series over; one within tol moves down by twice tol and a draw of at least tol, and is looked at again.
+
+    A series of magnitude 1 leaves the band with one move, as it moves by three times tol at least and by little more in scale; one that is larger is
+    of magnitude 1 after the first, so two moves do for any. draws: of both moves, tol each unless given.
+    """
+
+    def step(w: Column, u: float | Column) -> Column:
+        turned = lambda m: F.when(m <= -tol, w).when(m >= tol, F.transform(w, lambda x: -x))
+        return let(mean(w), lambda m: turned(m).otherwise(norm_maxabs(F.transform(w, lambda x: x - 2 * tol - u))))
+
+    first, second = draws or (tol, tol)
+    return let(v, lambda w: let(step(w, first), lambda x: step(x, second)))
 
 
 def fix_sign_negative(v: Column) -> Column:

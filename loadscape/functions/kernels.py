@@ -73,22 +73,6 @@ def fix_bounds(v: np.ndarray) -> np.ndarray:
     return v / m if m else v
 
 
-def halton(n: int, dims: int, start: int = 1) -> np.ndarray:
-    """Points of the Halton sequence: the radical inverses in the first primes."""
-    primes, k = [], 2
-    while len(primes) < dims:
-        if all(k % p for p in primes):
-            primes.append(k)
-        k += 1
-    out = np.zeros((n, dims))
-    for j, base in enumerate(primes):
-        i, scale = np.arange(start, start + n), 1.0 / base
-        while i.any():
-            out[:, j] += (i % base) * scale
-            i, scale = i // base, scale / base
-    return out
-
-
 def average_linkage(dissimilarity: np.ndarray, height: float) -> np.ndarray:
     """Cluster labels from average linkage cut at a height; labels count from 1 in order of the smallest member."""
     n = len(dissimilarity)

@@ -6,15 +6,19 @@ exchange, of which a sample of at most POOL rows takes part beside the chosen on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loadscape.functions import kernels as K
+from loadscape.functions import halton
+from loadscape.functions import linkage as L
+from loadscape.operators.ordered import of_all
 from loadscape.operators.space import correlation_matrix, decile_right_closed, nearest
 from loadscape.plans.sql import EDGES
+from loadscape.sources.store import kept
 
 OFFSET, POOL = 1_000_000, 1 << 18
 
@@ -33,10 +37,10 @@ def sample(df: DataFrame, n: int, seed: int = 12345) -> DataFrame:
 
 
 def sort_nested(df: DataFrame) -> DataFrame:
-    """(ts_id, set_cluster, mean_cluster, pos): smaller sets first, then the decile of the mean falling, then iqr, then id. df is a chosen set, of fixed size."""
+    """(ts_id, set_cluster, mean_cluster, pos): smaller sets first, then the decile of the mean falling, then iqr, then id."""
     d = df.select("ts_id", "set_cluster", decile_right_closed(F.col("mean")).alias("mean_cluster"), "iqr")
-    order = Window.orderBy(F.col("set_cluster").desc(), F.col("mean_cluster").desc(), "iqr", "ts_id")
-    return d.select("ts_id", "set_cluster", "mean_cluster", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    placed = of_all(d, F.col("set_cluster").desc(), F.col("mean_cluster").desc(), F.col("iqr").asc(), F.col("ts_id").asc())
+    return placed.select("ts_id", "set_cluster", "mean_cluster", F.col("pos").cast("long").alias("pos"))
 
 
 def within_volume(found: DataFrame) -> DataFrame:
@@ -53,26 +57,26 @@ def within_volume(found: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(bound)).filter(F.col("bound").isNull() | (F.col("dist") <= 1.2 * F.col("bound"))).select("q_id", "ts_id", "dist")
 
 
-def map_to_uniform(df: DataFrame, columns: list[str], n: int, tries: int = 3, more: float = 1.05) -> DataFrame:
-    """n rows of df nearest to evenly spread points; short or long selections are filled or cut by sample()."""
-    spark, n_query, ids = df.sparkSession, int(more * n), None
+def map_to_uniform(df: DataFrame, columns: list[str], n: int, tries: int = 3, more: float = 1.05, seed: int | None = 1) -> DataFrame:
+    """n rows of df nearest to evenly spread points (scrambled, unless seed is None); short or long selections are filled or cut by sample()."""
+    spark, n_query, chosen = df.sparkSession, int(more * n), None
     for _ in range(tries):
-        grid = K.halton(n_query, len(columns))
-        points = spark.createDataFrame([(-1 - i, *map(float, p)) for i, p in enumerate(grid)], "ts_id long, " + ", ".join(f"{c} double" for c in columns))
-        ids = within_volume(nearest(points, df, columns, 1)).select("ts_id").distinct().collect()
-        if len(ids) >= n:
+        at = halton.points(F.col("id") + int(seed is None), len(columns), seed)
+        points = spark.range(n_query).select((-1 - F.col("id")).alias("ts_id"), *[p.alias(c) for p, c in zip(at, columns)])
+        chosen = kept(within_volume(nearest(points, df, columns, 1)).select("ts_id").distinct(), "mapped")
+        have = chosen.count()
+        if have >= n:
             break
-        n_query = int(n_query + (n - len(ids)) * more)
-    chosen = spark.createDataFrame(ids, "ts_id long")
+        n_query = int(n_query + (n - have) * more)
     return resized(df, chosen, n)
 
 
 def resized(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     have = chosen.count()
-    inside = df.join(F.broadcast(chosen), "ts_id", "left_semi")
+    inside = df.join(chosen, "ts_id", "left_semi")
     if have >= n:
         return sample(inside, n)
-    return inside.unionByName(sample(df.join(F.broadcast(chosen), "ts_id", "left_anti"), n - have))
+    return inside.unionByName(sample(df.join(chosen, "ts_id", "left_anti"), n - have))
 
 
 def remove_closest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
@@ -181,10 +185,18 @@ def chain(df: DataFrame, columns: list[str], sizes: tuple[int, ...] = (2048, 512
     return out
 
 
-def correlation_clusters(df: DataFrame, columns: list[str], threshold: float = 0.4) -> DataFrame:
-    """(feature, label): average linkage over 1 - |r|, cut at 1 - threshold; the matrix has one row a pair of features."""
-    m = correlation_matrix(df, columns).toPandas().pivot(index="fi", columns="fj", values="r").loc[columns, columns].to_numpy()
-    labels = K.average_linkage(np.maximum(0, 1 - np.abs(m)), 1 - threshold)
-    return df.sparkSession.createDataFrame([(c, int(k)) for c, k in zip(columns, labels)], "feature string, label int")
+def correlation_clusters(df: DataFrame, columns: list[str], threshold: float = 0.4, linkage: str = "average", criterion: str = "distance", method: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(feature, label, pos): clusters over 1 - |r|, cut at 1 - threshold (or into that many, by maxclust), and each feature's place in the order of leaves; the matrix has one row a pair of features."""
+    return hierarchical(df, columns, threshold, linkage, criterion, method)[1]
 
 
+def hierarchical(df: DataFrame, columns: list[str], threshold: float = 0.4, linkage: str = "average", criterion: str = "distance", method: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The matrix (fi, fj, r), computed once, and (feature, label, pos)."""
+    matrix = kept(correlation_matrix(df, columns, method), "correlations")
+    m = matrix.toPandas().pivot(index="fi", columns="fj", values="r").loc[columns, columns].to_numpy(dtype=float)
+    apart = np.maximum(0, 1 - np.nan_to_num(np.abs(m)))  # features without a correlation are as far apart as can be
+    found = L.merges(apart, linkage)
+    labels = L.flat(found, 1 - threshold if criterion == "distance" else threshold, criterion)
+    place = np.argsort(L.order(found, apart))
+    rows = [(c, int(k), int(p)) for c, k, p in zip(columns, labels, place)]
+    return matrix, df.sparkSession.createDataFrame(rows, "feature string, label int, pos int")

@@ -7,22 +7,21 @@ nor order. Series are gathered by a join on the source id and computed where the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loadscape.functions import arrays as A
 from loadscape.functions import kernels as K
 from loadscape.operators import ordered as O
 from loadscape.operators.features import rounded
+from loadscape.sources.store import kept
 
 KINDS = ("only_neg", "only_posneg")
-#: tag: (lowest value, highest value, probability of being in a chain)
-PROCESSORS = {"shift": (-1.5, 1.5, 0.70), "exp": (1.3, 2.0, 0.35), "comp": (0.4, 0.8, 0.35), "curt_top": (0.03, 0.20, 0.12), "curt_bot": (0.03, 0.20, 0.12), "curt_mid": (0.03, 0.20, 0.12), "dist": (1.0, 100.0, 0.30), "inv": (-1.0, -1.0, 0.50)}
 CHAIN = "array<struct<tag: string, val: double>>"
 
 
@@ -148,49 +147,98 @@ def bounds_fixed(series: DataFrame) -> DataFrame:
 
 
 # ---- chains of signal processors
-_NATIVE: dict[str, Callable[[Column, Column], Column]] = {
-    "shift": A.shift, "exp": A.expand, "comp": A.expand, "curt_top": A.curtail_top, "curt_bot": A.curtail_bottom, "curt_mid": A.curtail_middle, "inv": A.invert,
-}
-
-
-def apply_chains(df: DataFrame) -> DataFrame:
-    """values changed by the processors in steps, in order: one stage a position, native but for time distortion."""
-    longest, tags = df.agg(F.max(F.size("steps")), F.array(F.max(F.when(F.exists("steps", lambda x: x["tag"] == "dist"), F.lit("dist"))))).first()
-    longest, tags = longest or 0, tags or []
-    for i in range(longest):
-        step = F.get("steps", F.lit(i))
-        out = None
-        for tag, f in _NATIVE.items():
-            hit = step["tag"] == tag
-            out = F.when(hit, f(F.col("values"), step["val"])) if out is None else out.when(hit, f(F.col("values"), step["val"]))
-        df = df.withColumn("values", out.otherwise(F.col("values")))
-        if "dist" in tags:
-            df = df.withColumn("_seed", F.when(step["tag"] == "dist", step["val"]).cast("double")).mapInPandas(_distort, T.StructType([*df.schema.fields, T.StructField("_seed", T.DoubleType())])).drop("_seed")
-    return df
-
-
-def _distort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in batches:
-        warped = [v if np.isnan(s) else K.distort_time(np.asarray(v, float), int(s)) for v, s in zip(part["values"], part["_seed"].astype(float))]
-        yield part.assign(values=pd.Series(warped, dtype=object, index=part.index))
+@dataclass(frozen=True)
+class Processor:
+    """What a tag does to values by a number, in which range the number is drawn, and how likely the tag is. change is of columns (values, number), or of an array and a number in Arrow."""
+
+    change: Callable
+    low: float
+    high: float
+    probability: float
+    arrow: bool = False
+
+
+#: Tags, ranges and probabilities are fixed values.
+PROCESSORS: dict[str, Processor] = {
+    "shift": Processor(A.shift, -1.5, 1.5, 0.70),
+    "exp": Processor(A.expand, 1.3, 2.0, 0.35),
+    "comp": Processor(A.expand, 0.4, 0.8, 0.35),
+    "curt_top": Processor(A.curtail_top, 0.03, 0.20, 0.12),
+    "curt_bot": Processor(A.curtail_bottom, 0.03, 0.20, 0.12),
+    "curt_mid": Processor(A.curtail_middle, 0.03, 0.20, 0.12),
+    "dist": Processor(lambda v, x: K.distort_time(v, int(x)), 1.0, 100.0, 0.30, arrow=True),
+    "inv": Processor(A.invert, -1.0, -1.0, 0.50),
+}
+
+
+def _folded(steps: Column, processors: dict[str, Processor]) -> Column:
+    """values changed by native steps one after another: one expression, however long the chain."""
+
+    def change(v: Column, step: Column) -> Column:
+        out = F
+        for tag, p in processors.items():
+            if not p.arrow:
+                out = out.when(step["tag"] == tag, p.change(v, step["val"]))
+        unknown = F.raise_error(F.concat(F.lit("no processor "), F.coalesce(step["tag"], F.lit("null")))).cast("array<double>")
+        return unknown if out is F else out.otherwise(unknown)
+
+    return F.aggregate(steps, F.col("values"), change)
+
 
+def apply_chains(df: DataFrame, processors: dict[str, Processor] = PROCESSORS, arrow_steps: int | None = None) -> DataFrame:
+    """values changed by the processors in steps, in order.
 
-def chain_recipes(series: DataFrame, per_series: int = 8, seed: int = 44) -> DataFrame:
-    """out_id, src_id, steps: every processor twice by its probability, values to two digits, in shuffled order; a source's first chain is a small shift down."""
+    Steps in Arrow cut a chain: what is between two of them is one native fold, and they are a stage of their own. arrow_steps: how many of them a chain has
+    at most, by default twice the Arrow processors, as chain_recipes() makes it; a chain with more is an error. The plan depends on nothing else.
+    """
+    arrow = [t for t, p in processors.items() if p.arrow]
+    most = 2 * len(arrow) if arrow_steps is None else arrow_steps
+    if not most and not arrow:
+        return df.withColumn("values", _folded(F.col("steps"), processors))
+    columns = df.columns
+    cut = F.transform(F.col("steps"), lambda s, i: F.when(s["tag"].isin(arrow), i)) if arrow else F.array().cast("array<int>")
+    df = df.withColumn("_cut", F.filter(cut, lambda i: i.isNotNull()))
+    more = F.raise_error(F.concat(F.lit(f"more than {most} steps in Arrow: "), F.size("_cut").cast("string"))).cast("array<int>")
+    df = df.withColumn("_cut", F.when(F.size("_cut") <= most, F.col("_cut")).otherwise(more))
+    for k in range(most + 1):
+        start = F.coalesce(F.get("_cut", F.lit(k - 1)) + 1, F.size("steps")) if k else F.lit(0)
+        stop = F.coalesce(F.get("_cut", F.lit(k)), F.size("steps"))
+        df = df.withColumn("values", _folded(F.slice("steps", start + 1, F.greatest(stop - start, F.lit(0))), processors))
+        if k < most:
+            df = _in_arrow(df.withColumn("_step", F.get("steps", F.get("_cut", F.lit(k)))), processors)
+    return df.select(columns)
+
+
+def _in_arrow(df: DataFrame, processors: dict[str, Processor]) -> DataFrame:
+    """values changed by the one step in Arrow in _step, where there is one."""
+    changes = {t: p.change for t, p in processors.items() if p.arrow}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            changed = [v if t is None else changes[t](np.asarray(v, float), x) for v, t, x in zip(part["values"], part["_tag"], part["_number"])]
+            yield part.assign(values=pd.Series(changed, dtype=object, index=part.index)).drop(columns=["_tag", "_number"])
+
+    step = df.withColumn("_tag", F.col("_step")["tag"]).withColumn("_number", F.col("_step")["val"]).drop("_step")
+    return step.mapInPandas(run, df.drop("_step").schema)
+
+
+def chain_recipes(series: DataFrame, per_series: int = 8, seed: int = 44, processors: dict[str, Processor] = PROCESSORS) -> DataFrame:
+    """out_id, src_id, steps: every processor twice by its probability, values to two digits, in shuffled order; a source's first chain is a small shift down, if there is a shift."""
     base = series.select(F.col("ts_id").alias("src_id"), F.explode(F.sequence(F.lit(0), F.lit(per_series - 1))).alias("nth")).withColumn("key", F.xxhash64("src_id", "nth"))
     picks = []
-    for k, (tag, (low, high, p)) in enumerate([*PROCESSORS.items(), *PROCESSORS.items()]):
-        value = F.round(draw(seed, "key", 3 * k) * (high - low) + low, 2)
-        picks.append(F.when(draw(seed, "key", 3 * k + 1) < p, F.struct(draw(seed, "key", 3 * k + 2).alias("o"), F.lit(tag).alias("tag"), value.alias("val"))))
+    for k, (tag, p) in enumerate([*processors.items(), *processors.items()]):
+        value = F.round(draw(seed, "key", 3 * k) * (p.high - p.low) + p.low, 2)
+        picks.append(F.when(draw(seed, "key", 3 * k + 1) < p.probability, F.struct(draw(seed, "key", 3 * k + 2).alias("o"), F.lit(tag).alias("tag"), value.alias("val"))))
     shuffled = F.array_sort(F.filter(F.array(*picks), lambda x: x.isNotNull()))
     steps = F.transform(shuffled, lambda x: F.struct(x["tag"].alias("tag"), x["val"].alias("val")))
     first = F.array(F.struct(F.lit("shift").alias("tag"), F.round(-(draw(seed, "key", 99) * 0.14 + 0.03), 2).alias("val")))
-    return base.select(F.col("key").alias("out_id"), "src_id", F.when(F.col("nth") == 0, first).otherwise(steps).cast(CHAIN).alias("steps"))
+    start = F.when(F.col("nth") == 0, first).otherwise(steps) if "shift" in processors else steps
+    return base.select(F.col("key").alias("out_id"), "src_id", start.cast(CHAIN).alias("steps"))
 
 
-def modify(series: DataFrame, recipes: DataFrame) -> DataFrame:
+def modify(series: DataFrame, recipes: DataFrame, processors: dict[str, Processor] = PROCESSORS) -> DataFrame:
     joined = recipes.join(series.withColumnRenamed("ts_id", "src_id"), "src_id")
-    return apply_chains(joined.select(F.col("out_id").alias("ts_id"), "values", "steps")).select("ts_id", "values")
+    return apply_chains(joined.select(F.col("out_id").alias("ts_id"), "values", "steps"), processors).select("ts_id", "values")
 
 
 # ---- concatenation and superposition
@@ -322,7 +370,8 @@ def fix_constraints(series: DataFrame, kind: str, seed: int = 0) -> DataFrame:
     """Mean, sign and bounds, in this order."""
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}, not {kind!r}")
-    s = series.select("ts_id", A.fix_mean(F.col("values")).alias("values"))
+    by = lambda k: 0.01 + 0.09 * draw(seed, "ts_id", k)
+    s = series.select("ts_id", A.fix_mean(F.col("values"), 0.01, (by(8), by(9))).alias("values"))
     if kind == "only_neg":
         signed = A.fix_sign_negative(F.col("values"))
     else:
@@ -341,29 +390,34 @@ def verify_series(series: DataFrame, kind: str) -> DataFrame:
     return series.filter((A.mean(v) < 0) & (A.max_abs(v) == 1) & (sign if kind == "only_neg" else ~sign) & (running(v) <= 0) & (running(F.reverse(v)) <= 0))
 
 
-def manifold(initial: DataFrame, kind: str, seed: int = 42, samples: int = 1000, n_concat: int = 1 << 13, n_superpos: int = 1 << 15, per_series: int = 8, recipes: dict[str, DataFrame] | None = None) -> DataFrame:
+def manifold(initial: DataFrame, kind: str, seed: int = 42, samples: int = 1000, n_concat: int = 1 << 13, n_superpos: int = 1 << 15, per_series: int = 8, recipes: dict[str, DataFrame] | None = None, processors: dict[str, Processor] = PROCESSORS, keep: bool = False) -> DataFrame:
     """ts_id, kind, values: the initial pool recombined, modified, fixed and verified. New series are named by hashes of what they are made of, so any ids will do.
 
-    recipes receives the tables `concat`, `superpos` and `chains` that the pool is made by; out_id of the last is ts_id of the pool.
+    recipes receives the tables `concat`, `superpos` and `chains` that the pool is made by; out_id of the last is ts_id of the pool. keep: recipes and series of
+    each level are kept as tables.
     """
     spark = initial.sparkSession
-    start = initial.select("ts_id", "values")
+    hold = kept if keep else lambda df, _: df
+    start = hold(initial.select("ts_id", "values"), "initial")
     named = lambda df, pool: df.withColumn("ts_id", F.xxhash64(F.lit(pool), "ts_id"))
-    concat = concat_recipes(spark, start, n_concat, seed)
+    concat = hold(concat_recipes(spark, start, n_concat, seed), "concat-recipes")
     joined = concatenated(resampled(start, 1000), concat)
-    pool = start.unionByName(named(resampled(joined, samples), "concat"))
-    superpos = random_superpositions(spark, pool, n_superpos, seed + 1)
-    recombined = pool.unionByName(named(superpose(pool, superpos), "superpos"))
-    chains = chain_recipes(recombined, per_series, seed + 2)
+    pool = hold(start.unionByName(named(resampled(joined, samples), "concat")), "concatenated")
+    superpos = hold(random_superpositions(spark, pool, n_superpos, seed + 1), "superpos-recipes")
+    recombined = hold(pool.unionByName(named(superpose(pool, superpos), "superpos")), "superposed")
+    chains = hold(chain_recipes(recombined, per_series, seed + 2, processors), "chain-recipes")
     if recipes is not None:
         recipes |= {"concat": concat, "superpos": superpos, "chains": chains}
-    return verify_series(fix_constraints(modify(recombined, chains), kind, seed), kind).select("ts_id", F.lit(kind).alias("kind"), "values")
+    return verify_series(fix_constraints(modify(recombined, chains, processors), kind, seed), kind).select("ts_id", F.lit(kind).alias("kind"), "values")
 
 
 def write_pools(initials: dict[str, DataFrame], path: str, seed: int = 42, step: int = 100, **sizes: int) -> None:
-    """Pools of all kinds under path/pool, partitioned by kind, and their recipes as text under path/{table}_{kind}; each kind has seeds of its own."""
+    """Pools of all kinds under path/pool, partitioned by kind, and their recipes as text under path/{table}_{kind}; each kind has seeds of its own.
+
+    Each level's recipes and series are kept before the next is made of them, so what is written as text is what the pool was made by.
+    """
     for i, kind in enumerate(k for k in KINDS if k in initials):
         recipes: dict[str, DataFrame] = {}
-        manifold(initials[kind], kind, seed + i * step, recipes=recipes, **sizes).drop("kind").write.mode("overwrite").parquet(f"{path}/pool/kind={kind}")
+        manifold(initials[kind], kind, seed + i * step, recipes=recipes, keep=True, **sizes).drop("kind").write.mode("overwrite").parquet(f"{path}/pool/kind={kind}")
         for table, text in (("concat", concat_text), ("superpos", superposition_text), ("chains", chain_text)):
             write_lines(text(recipes[table]), f"{path}/{table}_{kind}")

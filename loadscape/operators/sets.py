@@ -14,10 +14,14 @@ from loadscape.operators import recombine as R
 from loadscape.operators import space as S
 from loadscape.operators.recombine import KINDS
 from loadscape.sources.series import min_max, to_arrays, to_long
+from loadscape.sources.store import kept
 
 #: Features that take no part in a reduced space: discrete or ill-defined dimensions; fixed values.
 EXCLUDED = ("stl_peak", "stl_trough", "min", "max", "median_of_signed_diff", "peak2peak", "cross_zero", "fund_freq", "freq_roll_on")
 
+#: What a reduced space has by default: features that stand for the clusters of correlated ones; fixed values.
+REPRESENTATIVES = ("temporal_centroid", "loc_of_last_max", "dfa", "rs_range", "mode5", "share_above_mean", "iqr", "mean", "rcp_num", "acf_first_zero", "median_of_abs_diff", "freq_mean", "mean_2nd_diff", "trev")
+
 
 def pruned(df: DataFrame, columns: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """Without the columns; one that is not there is an error."""
@@ -34,14 +38,22 @@ def repaired(df: DataFrame, column: str = "dfa", least: float = 0.1) -> DataFram
 
 def reduced_space(df: DataFrame, columns: list[str], choose: list[str] | None = None, exclude: tuple[str, ...] = (), repair: str | None = None) -> DataFrame:
     """Other columns and the chosen features, normalised; without a choice the first feature of each cluster of correlated ones, found only then."""
+    return reduction(df, columns, choose, exclude, repair)[0]
+
+
+def reduction(df: DataFrame, columns: list[str], choose: list[str] | tuple[str, ...] | None = REPRESENTATIVES, exclude: tuple[str, ...] = EXCLUDED, repair: str | None = "dfa", threshold: float = 0.4, with_info: bool = False, **clusters) -> tuple[DataFrame, DataFrame | None]:
+    """The space as reduced_space() gives it, with the usual features left out, repaired and chosen; and, where it is needed or asked for, feature, label, pos, inner_corr and outer_corr of all that are not left out."""
     left = [c for c in columns if c not in exclude]
     fspace = S.normalised(pruned(df, exclude), left)
     if repair:
         fspace = repaired(fspace, repair)
+    info = None
+    if choose is None or with_info:
+        matrix, labels = D.hierarchical(fspace, left, threshold, **clusters)
+        info = kept(S.cluster_correlations(matrix, labels).join(labels.select("feature", "pos"), "feature"), "clusters")
     if choose is None:
-        info = S.cluster_correlations(S.correlation_matrix(fspace, left), D.correlation_clusters(fspace, left))
         choose = [r["feature"] for r in S.first_per_cluster(info).orderBy("label").collect()]  # one row a cluster of features
-    return fspace.select(*[c for c in fspace.columns if c not in left], *choose)
+    return fspace.select(*[c for c in fspace.columns if c not in left], *choose), info
 
 
 def both_kinds(by_kind: dict[str, DataFrame], change: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

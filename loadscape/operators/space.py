@@ -124,6 +124,14 @@ def cluster_summary(info: DataFrame) -> DataFrame:
     return info.groupBy("label").agg(*[F.round(f("inner_corr"), 9).alias(f"inner_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
 
 
+def cluster_statistics(info: DataFrame) -> DataFrame:
+    """label, feature (its cluster's first), and mean, std, min and max of inner_corr and outer_corr by label; in a row without a label the same over the clusters' means."""
+    of = lambda column, name: [F.round(f(column), 9).alias(f"{name}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    by_label = info.groupBy("label").agg(*of("inner_corr", "inner"), *of("outer_corr", "outer"))
+    over = by_label.agg(*of("inner_mean", "inner"), *of("outer_mean", "outer")).withColumn("label", F.lit(None).cast("int")).withColumn("feature", F.lit(None).cast("string"))
+    return by_label.join(first_per_cluster(info), "label").unionByName(over)
+
+
 def cells(df: DataFrame, columns: list[str], n: int, dense: bool = False) -> DataFrame:
     """The n emptiest (or fullest) cells of the histogram."""
     freq = F.col("freq").desc() if dense else F.col("freq").asc()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loadscape.functions import arrays as A
+from loadscape.functions import halton
 from loadscape.operators import compiled
 from loadscape.operators import decluster as D
 from loadscape.operators import features as X
@@ -76,7 +77,7 @@ _MID = f"m AS (SELECT ts_id, t, v, (1e0 - 0.1e0) / 2 * (max(v) {P} - min(v) {P})
 _add("curtail_middle", _array(zsales, lambda v: A.curtail_middle(v, 0.1)), f"WITH {ZSALES}, {_MID} " + normed("CASE WHEN v > h AND v > 0 THEN v - h ELSE 0e0 END + CASE WHEN v < b AND v < 0 THEN v - b ELSE 0e0 END + (b + h) / 2", "m"))
 _add("invert", _array(zsales, A.invert), f"WITH {ZSALES} " + _OUT.format("-v", "s"))
 _CHAIN = f"k AS (SELECT ts_id, t, v - 0.2e0 AS w FROM s), l AS (SELECT ts_id, t, w / max(abs(w)) {P} AS v FROM k), o AS (SELECT ts_id, t, sign(v) * pow(abs(v), 1.5e0) AS w FROM l), q AS (SELECT ts_id, t, w / max(abs(w)) {P} AS v FROM o)"
-_add("chain_fixed", lambda s, d: src.to_long(R.apply_chains(zsales(s, d).crossJoin(F.broadcast(R.parse_chains(s.range(1).select(F.lit("0 |> shift:-0.20 | exp:1.50 | inv:-1.00").alias("line"))).select("steps")))).select("ts_id", "values"), X.DIGITS), f"WITH {ZSALES}, {_CHAIN} " + _OUT.format("-v", "q"))
+_add("chain_fixed", lambda s, d: src.to_long(R.apply_chains(zsales(s, d).crossJoin(F.broadcast(R.parse_chains(s.range(1).select(F.lit("0 |> shift:-0.20 | exp:1.50 | inv:-1.00").alias("line"))).select("steps"))), arrow_steps=0).select("ts_id", "values"), X.DIGITS), f"WITH {ZSALES}, {_CHAIN} " + _OUT.format("-v", "q"))
 
 # ---- ordered sums and constraints
 _sums = lambda falling: lambda s, d: O.running(src.to_long(down(s, d)), falling=falling).select("ts_id", "t", X.rounded(F.col("sum")).alias("v"))
@@ -233,6 +234,14 @@ info AS (SELECT fi AS feature, a.label, round(avg(CASE WHEN a.label = b.label TH
 _add("corr_inner_outer", _info, f"WITH {SPACE}, {_PEAR}, {_INFO} SELECT feature, label::INT AS label, inner_corr, outer_corr FROM info")
 _add("first_per_cluster", lambda s, d: S.first_per_cluster(_info(s, d)), f"WITH {SPACE}, {_PEAR}, {_INFO}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY inner_corr DESC, outer_corr, feature) AS n FROM info) SELECT label::INT AS label, feature FROM o WHERE n = 1")
 _add("cluster_info", lambda s, d: S.cluster_summary(_info(s, d)), f"WITH {SPACE}, {_PEAR}, {_INFO} SELECT label::INT AS label, round(avg(inner_corr), 9) AS inner_mean, round(stddev_samp(inner_corr), 9) AS inner_std, round(min(inner_corr), 9) AS inner_min, round(max(inner_corr), 9) AS inner_max FROM info GROUP BY label")
+_STATS = ", ".join(f"round({f}({c}_corr), 9) AS {c}_{n}" for c in ("inner", "outer") for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+_OVER = ", ".join(f"round({f}({c}_mean), 9) AS {c}_{n}" for c in ("inner", "outer") for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+_add(
+    "cluster_statistics",
+    lambda s, d: S.cluster_statistics(_info(s, d)),
+    f"""WITH {SPACE}, {_PEAR}, {_INFO}, st AS (SELECT label, {_STATS} FROM info GROUP BY label), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY inner_corr DESC, outer_corr, feature) AS n FROM info)
+SELECT st.label::INT AS label, o.feature, st.* EXCLUDE (label) FROM st JOIN o ON o.label = st.label AND o.n = 1 UNION ALL SELECT NULL, NULL, {_OVER} FROM st""",
+)
 _add("hierarchical_clusters", lambda s, d: D.correlation_clusters(src.feature_space(s, d), FEATURES, 0.05))
 
 # ---- neighbours and selection
@@ -259,6 +268,12 @@ _add("reindex_map", lambda s, d: _nested(s, d).select(F.col("pos").alias("ts_id"
 _add("remove_closest", lambda s, d: D.remove_closest(src.feature_space(s, d).filter("label < 3"), FEATURES, 60).select("ts_id"))
 _add("equilize", lambda s, d: D.equilize(D.sample(src.feature_space(s, d), 60), src.feature_space(s, d), FEATURES, max_loops=60).select("ts_id"))
 _add("map_to_uniform", lambda s, d: D.map_to_uniform(src.feature_space(s, d), FEATURES[:3], 40).select("ts_id"))
+_HALTON = lambda b, k: f"list_sum(list_transform(range({k}), lambda k: ((p_partkey // ({b} ** k)::BIGINT) % {b})::DOUBLE / {b} ** (k + 1)))"
+_add(
+    "halton_grid",
+    lambda s, d: src.table(s, d, "part").select("p_partkey", *[F.round(h, 9).alias(f"h{i}") for i, h in enumerate(halton.points(F.col("p_partkey"), 4))]),
+    "SELECT p_partkey, " + ", ".join(f"round({_HALTON(b, k)}, 9) AS h{i}" for i, (b, k) in enumerate(((2, 40), (3, 30), (5, 20), (7, 18)))) + " FROM part",
+)
 _add("decluster_chain", lambda s, d: D.chain(src.feature_space(s, d), FEATURES[:4], (64, 32, 16), max_loops=40))
 
 # ---- interpolation and the whole pool
