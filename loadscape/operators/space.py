@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,8 +17,8 @@ from loadscape.operators.gram import largest_correlations
 from loadscape.plans.sql import EDGES
 from loadscape.sources.store import kept
 
-#: Queries and points of a block that meet in one task, and queries compared at once.
-QUERIES, POINTS, SLICE = 16_384, 16_384, 64
+#: Queries and points of a block that meet in one task, queries compared at once, and blocks at most.
+QUERIES, POINTS, SLICE, BLOCKS = 16_384, 16_384, 64, 4096
 
 
 def unpivoted(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -141,23 +141,92 @@ def cells(df: DataFrame, columns: list[str], n: int, dense: bool = False) -> Dat
 def nearest(queries: DataFrame, points: DataFrame, columns: list[str], k: int, p: float = 2.0) -> DataFrame:
     """(q_id, rank, ts_id, dist): the k nearest other points in Minkowski distance; ties to the smaller id.
 
-    Blocks of queries meet blocks of points, dealt by a hash of the id; each such pair of blocks returns k rows a query, and only
-    these are ranked. Rows with a coordinate that is null or no number are nobody's neighbour and have none. Ids are unique.
+    Points are dealt to blocks around pivots, and of each block the box around its points is known. A query first meets the nearest
+    boxes that hold k points besides itself, and then those others that lie no farther than its k-th distance so far; a block of many points, or one that many queries
+    meet, is split by hashes. Rows with a coordinate that is null or no number are nobody's neighbour and have none. Ids are unique.
     """
-    known = lambda df: df.select(F.col("ts_id").cast("long").alias("ts_id"), *[F.col(c).cast("double").alias(c) for c in columns]).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]))
-    q, pts = known(queries), known(points)
-    n_q, n_p = max(1, -(-q.count() // QUERIES)), max(1, -(-pts.count() // POINTS))
-    own = lambda n: F.pmod(F.xxhash64("ts_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("qb", own(n_q)).withColumn("pb", every(n_p))
-    pts = pts.withColumn("pb", own(n_p)).withColumn("qb", every(n_q))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _block_nearest(left, right, columns, k, p)
-
-    d = q.groupBy("qb", "pb").cogroup(pts.groupBy("qb", "pb")).applyInPandas(best, "q_id long, ts_id long, dist double")
-    w = Window.partitionBy("q_id").orderBy("dist", "ts_id")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_id", "rank", "ts_id", rounded(F.col("dist")).alias("dist"))
+    own = [f"_c{i}" for i in range(len(columns))]
+    known = lambda df: df.select(F.col("ts_id").cast("long").alias("ts_id"), *[F.col(c).cast("double").alias(o) for c, o in zip(columns, own)]).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in own]))
+    q, pts = kept(known(queries), "near-queries"), kept(known(points), "near-points")
+    n_blocks = min(BLOCKS, -(-pts.count() // POINTS))
+    if not n_blocks:
+        return q.select(F.col("ts_id").alias("q_id"), F.lit(0).alias("rank"), "ts_id", F.lit(0.0).alias("dist")).limit(0)
+    columns = own
+    # at most BLOCKS pivots and boxes; they steer the work, not the result
+    pivots = np.array([[r[c] for c in columns] for r in pts.orderBy(F.xxhash64("ts_id")).limit(n_blocks).collect()])
+    pts = kept(_dealt(pts, columns, pivots), "near-points")
+    boxes = pts.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{e}") for c in columns for e, f in (("lo", F.min), ("hi", F.max))]).orderBy("b").toPandas()
+    size = np.zeros(n_blocks, int)
+    size[boxes["b"]] = boxes["n"]
+    pts = pts.withColumn("ps", F.pmod(F.xxhash64("ts_id"), _by_block(-(-size // POINTS))).cast("int"))
+    first = kept(_met(q, pts, columns, k, p, size, _visits(q, columns, boxes, k, p)), "near-first")
+    best = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "ts_id"))).filter(F.col("rank") <= k)
+    found = first
+    if n_blocks > 1:
+        reach = best(first).filter(F.col("rank") == k).select("q_id", F.col("dist").alias("reach"))
+        again = q.join(reach.withColumnRenamed("q_id", "ts_id"), "ts_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        found = first.unionByName(_met(q, pts, columns, k, p, size, _visits(again, columns, boxes, k, p)))
+    return best(found).select("q_id", "rank", "ts_id", rounded(F.col("dist")).alias("dist"))
+
+
+def _by_block(numbers: np.ndarray) -> Column:
+    """A number for each block, 1 at least, looked up by b."""
+    return F.element_at(F.array(*[F.lit(max(1, int(x))) for x in numbers]), F.col("b") + 1)
+
+
+def _dealt(points: DataFrame, columns: list[str], pivots: np.ndarray) -> DataFrame:
+    """points with b, the pivot that is nearest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            x, b = part[columns].to_numpy(), np.zeros(len(part), np.int32)
+            for i in range(0, len(x), SLICE):
+                b[i : i + SLICE] = ((x[i : i + SLICE, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1)
+            yield part.assign(b=b)
+
+    return points.mapInPandas(run, "ts_id long, " + ", ".join(f"{c} double" for c in columns) + ", b int")
+
+
+def _visits(queries: DataFrame, columns: list[str], boxes: pd.DataFrame, k: int, p: float) -> DataFrame:
+    """ts_id and b: the blocks that each query meets first; with a column reach, the others whose box lies within it."""
+    blocks, n = boxes["b"].to_numpy(), boxes["n"].to_numpy()
+    lo, hi = (boxes[[f"{c}_{e}" for c in columns]].to_numpy() for e in ("lo", "hi"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            x, ids = part[columns].to_numpy(), part["ts_id"].to_numpy()
+            for i in range(0, len(x), SLICE):
+                some = x[i : i + SLICE, None]
+                gap = (np.maximum(np.maximum(lo[None] - some, some - hi[None]), 0) ** p).sum(axis=2) ** (1 / p)
+                order = np.argsort(gap, axis=1, kind="stable")
+                before = np.cumsum(n[order], axis=1) - n[order]
+                take = np.zeros_like(gap, bool)
+                np.put_along_axis(take, order, before <= k, axis=1)  # k points, and perhaps the query itself
+                if "reach" in part:
+                    # a little wider than rounding makes distances differ
+                    take = ~take & (gap <= part["reach"].to_numpy()[i : i + SLICE, None] * (1 + 1e-9) + 1e-12)
+                row, at = np.nonzero(take)
+                yield pd.DataFrame({"ts_id": ids[i : i + SLICE][row], "b": blocks[at]})
+
+    return queries.mapInPandas(run, "ts_id long, b int")
+
+
+def _met(q: DataFrame, pts: DataFrame, columns: list[str], k: int, p: float, size: np.ndarray, visits: DataFrame) -> DataFrame:
+    """q_id, ts_id, dist: of each block that queries visit, k rows a query."""
+    visits = kept(visits, "near-visits")
+    many = np.zeros(len(size), int)
+    for r in visits.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a block
+        many[r["b"]] = r["n"]
+    parts = lambda numbers: F.explode(F.sequence(F.lit(0), _by_block(numbers) - 1))
+    n_q, n_p = -(-many // QUERIES), -(-size // POINTS)
+    left = visits.withColumn("qs", F.pmod(F.xxhash64("ts_id", F.lit("q")), _by_block(n_q)).cast("int")).withColumn("ps", parts(n_p)).join(q, "ts_id")
+    right = pts.filter(_by_block(np.where(many > 0, 2, 1)) == 2).withColumn("qs", parts(n_q))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _block_nearest(a, b, columns, k, p)
+
+    key = ["b", "qs", "ps"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "q_id long, ts_id long, dist double")
 
 
 def _block_nearest(queries: pd.DataFrame, points: pd.DataFrame, columns: list[str], k: int, p: float) -> pd.DataFrame:

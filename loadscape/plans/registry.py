@@ -285,10 +285,10 @@ _add("manifold", lambda s, d: R.manifold(R.resampled(zsales(s, d), 200), "only_n
 
 # ---- recipes as text
 _lines = lambda s, d, line: src.table(s, d, "supplier").selectExpr("s_suppkey AS out_id", f"concat_ws('', {line}) AS line")
-_concats = lambda s, d: R.parse_concats(_lines(s, d, "s_suppkey, ', ', s_suppkey % 7, ' | ', s_suppkey % 50, ', 17 | ', s_suppkey % 50 + 300, ', 498 | 401, ', 200 + s_suppkey % 9"))
+_concats = lambda s, d: R.parse_concats(_lines(s, d, "s_suppkey, ', ', s_suppkey % 7, ' | ', s_suppkey % 50, ', 23 | ', s_suppkey % 50 + 300, ', 460 | 350, ', 200 + s_suppkey % 9"))
 _superpositions = lambda s, d: R.parse_superpositions(_lines(s, d, "s_suppkey, ', ', s_suppkey % 7, ' | 0.', 2 + s_suppkey % 8, ', 0.5'"))
-_add("concat_recipe_parse", _concats, "SELECT s_suppkey AS out_id, 0 AS pos, s_suppkey::BIGINT AS src_id, (s_suppkey % 50)::INT AS start, 300 AS size, 401 AS points FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey % 7, 17, 481, (200 + s_suppkey % 9)::INT FROM supplier")
-_add("concat_recipe_text", lambda s, d: R.concat_text(_concats(s, d)), "SELECT s_suppkey AS out_id, s_suppkey || ', ' || s_suppkey % 7 || ' | ' || s_suppkey % 50 || ', 17 | ' || s_suppkey % 50 + 300 || ', 498 | 401, ' || 200 + s_suppkey % 9 AS line FROM supplier".replace("s_suppkey % 50 + 300", "(s_suppkey % 50 + 300)").replace("200 + s_suppkey % 9", "(200 + s_suppkey % 9)"))
+_add("concat_recipe_parse", _concats, "SELECT s_suppkey AS out_id, 0 AS pos, s_suppkey::BIGINT AS src_id, (s_suppkey % 50)::INT AS start, 300 AS size, 350 AS points FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey % 7, 23, 437, (200 + s_suppkey % 9)::INT FROM supplier")
+_add("concat_recipe_text", lambda s, d: R.concat_text(_concats(s, d)), "SELECT s_suppkey AS out_id, s_suppkey || ', ' || s_suppkey % 7 || ' | ' || s_suppkey % 50 || ', 23 | ' || s_suppkey % 50 + 300 || ', 460 | 350, ' || 200 + s_suppkey % 9 AS line FROM supplier".replace("s_suppkey % 50 + 300", "(s_suppkey % 50 + 300)").replace("200 + s_suppkey % 9", "(200 + s_suppkey % 9)"))
 _add("superpos_recipe_parse", _superpositions, "SELECT s_suppkey AS out_id, s_suppkey::BIGINT AS src_id, ('0.' || (2 + s_suppkey % 8))::DOUBLE AS scale FROM supplier UNION ALL SELECT s_suppkey, s_suppkey % 7, 0.5e0 FROM supplier")
 _add("superpos_recipe_text", lambda s, d: R.superposition_text(_superpositions(s, d)), """WITH x AS (SELECT s_suppkey AS out_id, s_suppkey::BIGINT AS src_id, '0.' || (2 + s_suppkey % 8) AS scale FROM supplier UNION ALL SELECT s_suppkey, s_suppkey % 7, '0.5' FROM supplier)
 SELECT out_id, string_agg(src_id, ', ' ORDER BY src_id, scale) || ' | ' || string_agg(scale, ', ' ORDER BY src_id, scale) AS line FROM x GROUP BY out_id""")

@@ -39,10 +39,10 @@ def test_positions_of_any_ids(spark, ids):
 
 
 def test_recipe_texts_come_back(spark, tmp_path):
-    lines = spark.createDataFrame([(0, "957, 61, 742 | 242, 17, 31 | 715, 498, 405 | 401, 225, 429"), (1, "3 | 0 | 10 | 20")], "out_id long, line string")
+    lines = spark.createDataFrame([(0, "812, 9, 44, 530 | 120, 3, 77, 260 | 480, 391, 350, 655 | 310, 275, 198, 420"), (1, "6 | 2 | 35 | 48")], "out_id long, line string")
     assert sorted(map(tuple, recombine.concat_text(recombine.parse_concats(lines)).collect())) == sorted(map(tuple, lines.collect()))
-    scaled = spark.createDataFrame([(0, "1790, 3357, 5978 | 0.2, 0.8, 0.5")], "out_id long, line string")
-    assert recombine.superposition_text(recombine.parse_superpositions(scaled)).collect() == scaled.collect()
+    scaled = spark.createDataFrame([(0, "4410, 88, 1203, 7 | 0.6, 0.9, 0.4, 0.7")], "out_id long, line string")
+    assert recombine.superposition_text(recombine.parse_superpositions(scaled, places=True)).collect() == scaled.collect()
     recombine.write_lines(lines, f"{tmp_path}/recipes")
     assert sorted(recombine.read_lines(spark, f"{tmp_path}/recipes").collect()) == sorted(lines.select("line").collect())
 
