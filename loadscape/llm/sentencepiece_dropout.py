@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loadscape.llm.common import mix
 
-MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 400_000
+MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 200_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _ESCAPE = "\ue000"  # stands for U+2581 while a text is cut into chunks, if the text has no such character itself
