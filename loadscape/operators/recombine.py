@@ -114,13 +114,22 @@ def vary_selections(selections: DataFrame, lengths: DataFrame, copies: int, seed
     return moved.select("name", F.when(F.col("copy") == 0, F.col("start")).otherwise(F.col("at")).alias("start"), F.when(F.col("copy") == 0, F.col("stop")).otherwise(F.least(F.col("at") + F.col("size"), F.col("n"))).alias("stop"))
 
 
-def cut_selections(raw: DataFrame, selections: DataFrame, samples: int = 1000, seed: int = 3) -> DataFrame:
-    """Series from raw (name, values): the selected slice, nulls and NaN as 0, resampled, mean removed, scaled. A constant slice has no shape: a hundred draws take its place."""
+def cut_selections(raw: DataFrame, selections: DataFrame, samples: int = 1000, seed: int = 3, change: Callable[[Column], Column] = A.norm_meanmaxabs) -> DataFrame:
+    """Series from raw (name, values): the selected slice, nulls and NaN as 0, resampled, and changed: mean removed and scaled, or as an own function of the values says. A constant slice has no shape: a hundred draws take its place."""
     s = raw.join(selections, "name").select(F.xxhash64("name", "start", "stop").alias("ts_id"), F.slice("values", F.col("start") + 1, F.col("stop") - F.col("start")).alias("values"))
     filled = s.withColumn("values", F.transform("values", lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))))
     drawn = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: draw(seed, "ts_id", i))
     lively = filled.withColumn("values", F.when(F.size(F.array_distinct("values")) > 1, F.col("values")).otherwise(drawn))
-    return resampled(lively, samples).select("ts_id", A.norm_meanmaxabs(F.col("values")).alias("values"))
+    return resampled(lively, samples).select("ts_id", change(F.col("values")).alias("values"))
+
+
+def sections(raw: DataFrame, selections: DataFrame, samples: int = 1000, endpoint: bool = False) -> DataFrame:
+    """name, start, stop, t and v: each selected slice with `samples` points, at the places in the raw series that they stand for; to be seen over it."""
+    stop = F.col("stop") + int(endpoint)
+    cut = raw.join(selections, "name").select(F.xxhash64("name", "start", "stop").alias("ts_id"), "name", "start", stop.alias("stop"), F.slice("values", F.col("start") + 1, stop - F.col("start")).alias("values"))
+    fine = resampled(cut, samples).select("ts_id", F.posexplode("values").alias("i", "v"))
+    at = F.col("start") + F.col("i") * (F.col("stop") - F.col("start")) / float(max(samples - 1, 1))
+    return fine.join(cut.select("ts_id", "name", "start", "stop"), "ts_id").select("name", "start", "stop", at.alias("t"), "v")
 
 
 # ---- numerical functions of one series

@@ -25,6 +25,19 @@ def as_df(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     raise ValueError(f"neither a DataFrame nor a path: {type(source).__name__}")
 
 
+def by_kind(spark: SparkSession, source: str | dict[str, DataFrame | str], kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Series or features of each kind: from one table partitioned by kind, of which only the kinds asked for are read, or from a frame or a path for each."""
+    if isinstance(source, str):
+        table = spark.read.parquet(source)
+        if "kind" not in table.columns:
+            raise ValueError(f"{source} is not partitioned by kind")
+        return {k: table.filter(F.col("kind") == k).drop("kind") for k in kinds}
+    missing = [k for k in kinds if k not in source]
+    if missing:
+        raise KeyError(f"not there: {', '.join(missing)}")
+    return {k: as_df(spark, source[k]) for k in kinds}
+
+
 def to_arrays(long: DataFrame) -> DataFrame:
     """(ts_id, values) from (ts_id, t, v); ragged lengths are kept."""
     points = F.array_sort(F.collect_list(F.struct("t", "v")))
