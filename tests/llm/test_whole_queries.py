@@ -18,7 +18,8 @@ DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CL
 PAGES = f"page_id long, url string, html string, {CLASH}"
 VECTORS = f"vec_id long, embedding array<float>, label int, {CLASH}"
 NONE = (None,) * len(CLASH.split(","))
-TEXT = [q for q in queries.queries() if q not in ("op6_cover_tree", "op7_warc", "op8_topk", "op9_url_filter")]
+ITEMS = f"item_id long, text string, {CLASH}"
+TEXT = [q for q in queries.queries() if q not in ("op6_cover_tree", "op7_warc", "op8_topk", "op9_url_filter", "op11_lexical_search")]
 
 
 def tables():
@@ -28,7 +29,8 @@ def tables():
     pages = [(i, u, h) for i, (u, h) in enumerate([(None, None), ("", ""), ("http://a.com/x", "<p>one</p>" * 300), ("http://B.com", "<p>one</p>" * 300), ("http://www.example.com/en/x?q#f", "é" * 600), ("http://example.com/en/", "é" * 600), ("ftp://c.net/fr/", "x")])]
     vectors = [(i, [rng.choice((-1.0, 0.5, 0.25, 1.0)) for _ in range(6)], None) for i in range(60)]
     vectors += [(60, vectors[0][1], None), (80, None, 1), (100, [None] * 6, 1), (120, [float("nan")] * 6, 1), (140, [float("inf")] * 6, 1), (160, [0.0] * 6, 1)]
-    return {"documents": (docs, DOCS), "pages": (pages, PAGES), "embeddings": (vectors, VECTORS)}
+    items = [(0, docs[3][1]), (1, None), (2, ""), (3, "Write to BOB, and zzzz"), (3, "12 56"), (None, "the a")]
+    return {"documents": (docs, DOCS), "pages": (pages, PAGES), "embeddings": (vectors, VECTORS), "benchmark": (items, ITEMS)}
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +94,7 @@ def test_tokens_query(spark, folders):
 def test_null_ids_and_repeated_rows(spark, folders, tmp_path):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None), (2, None), (1, "A b c d e f")]
     spark.createDataFrame([(i, t, None, None, None, *NONE) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "b c", *NONE)], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     for name in TEXT:
         found = queries.queries()[name](spark, str(tmp_path)).collect()
         assert Counter(r["doc_id"] for r in found) == Counter(i for i, _ in rows), name
