@@ -14,7 +14,7 @@ from loadscape.operators import recombine as R
 from loadscape.operators import space as S
 from loadscape.operators.recombine import KINDS
 from loadscape.sources.series import min_max, to_arrays, to_long
-from loadscape.sources.store import kept
+from loadscape.sources.store import Store, kept
 
 #: Features that take no part in a reduced space: discrete or ill-defined dimensions; fixed values.
 EXCLUDED = ("stl_peak", "stl_trough", "min", "max", "median_of_signed_diff", "peak2peak", "cross_zero", "fund_freq", "freq_roll_on")
@@ -65,6 +65,27 @@ def both_kinds(by_kind: dict[str, DataFrame], change: Callable[[DataFrame], Data
     return out
 
 
+def spread(space: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column scaled to [0, 1] within each kind; a column that is constant in a kind becomes null there."""
+    ends = space.groupBy("kind").agg(*[f(c).alias(f"{c}_{e}") for c in columns for e, f in (("lo", F.min), ("hi", F.max))])  # one row a kind
+    scaled = [((F.col(c) - F.col(f"{c}_lo")) / F.nullif(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(0.0))).alias(c) for c in columns]
+    return space.join(F.broadcast(ends), "kind").select(*[c for c in space.columns if c not in columns], *scaled)
+
+
+def staged_space(store: Store, features: dict[str, DataFrame], columns: list[str], choose: list[str] | tuple[str, ...] = REPRESENTATIVES, **reduced) -> DataFrame:
+    """ts_id, kind and the chosen features of both kinds, reduced in one space and spread within each kind: what sets are chosen in. Each step is a stage of the store, so a later run goes on from what is there."""
+    kinds = [k for k in KINDS if k in features]
+    both = store.stage("both-kinds", lambda *frames, kinds: both_kinds(dict(zip(kinds, frames))), *[features[k] for k in kinds], kinds=kinds)
+    space = store.stage("reduced", lambda df, **how: reduction(df, columns, **how)[0], both, choose=list(choose), **reduced)
+    return store.stage("spread", lambda df, columns: spread(df, columns).select("ts_id", "kind", *columns), space, columns=sorted(choose))
+
+
+def mapped_sets(sets: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The chosen sets (set_size, kind, ts_id) under new ids: `info`, which has the old ones, and each table's rows, one for each set that they are in."""
+    info = kept(numbered(sets), "set-ids")
+    return {"info": info} | {name: remapped(df, info) for name, df in tables.items()}
+
+
 def numbered(sets: DataFrame) -> DataFrame:
     """set_size, kind, source_id, ts_id: dense new ids in each set and kind in the order of the old ones, those of the second kind from OFFSET. Sets have a fixed size."""
     at = F.row_number().over(Window.partitionBy("set_size", "kind").orderBy("ts_id")) - 1
@@ -80,10 +101,10 @@ def remapped(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def declustered_sets(features: dict[str, DataFrame], columns: list[str], choose: list[str], sizes: tuple[int, ...] = (2048, 512, 128, 32), max_loops: int = 5000, **reduced) -> DataFrame:
     """set_size, kind, source_id, ts_id: both kinds reduced in one space, spread within [0, 1] each, nested sets chosen from each and numbered. sizes count one kind."""
-    both = reduced_space(both_kinds(features), columns, choose, **reduced)
     order, out = sorted(choose), None
+    both = spread(reduced_space(both_kinds(features), columns, choose, **reduced), order)
     for kind in KINDS:
-        own = min_max(both.filter(F.col("kind") == kind), order).select("ts_id", *order)
+        own = both.filter(F.col("kind") == kind).select("ts_id", *order)
         part = D.chain(own, order, sizes, max_loops).withColumn("kind", F.lit(kind)).withColumn("set_size", 2 * F.col("set_size"))
         out = part if out is None else out.unionByName(part)
     return numbered(out)

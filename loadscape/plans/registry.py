@@ -22,7 +22,7 @@ from loadscape.operators import space as S
 from loadscape.plans.sql import BIN, DOWN, EDGES, EVENTS, FEATURES, SALES, SPACE, ZSALES, P, normed
 from loadscape.sources import positions
 from loadscape.sources import series as src
-from loadscape.sources.store import kept_at
+from loadscape.sources.store import Store, kept_at
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -302,6 +302,19 @@ _add(
     f"""WITH {SPACE}, {_RAW}, {_SIG.format('rl')}, {_WHI.format('sg')}, {_NORMED}, ok AS (SELECT ts_id FROM wn WHERE feature = 'f7' AND v >= 0.1e0), l AS (SELECT wn.* FROM wn JOIN ok ON ok.ts_id = wn.ts_id WHERE feature IN ('f0', 'f2', 'f7'))
 SELECT ts_id, feature, round(CASE WHEN feature = 'f7' THEN (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) ELSE v END, 6) + 0e0 AS v FROM l WINDOW w AS (PARTITION BY feature)""",
 )
+def spread_space(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds reduced in one space and spread within each, by stages that a later run reads."""
+    space = T.staged_space(Store(spark), _halves(spark, d), FEATURES, ["f0", "f2", "f7"], exclude=["f6"], repair="f7")
+    return space.unpivot(["ts_id", "kind"], ["f0", "f2", "f7"], "feature", "v").withColumn("v", X.rounded(F.col("v")))
+
+
+_add(
+    "spread_space",
+    spread_space,
+    f"""WITH {SPACE}, {_RAW}, {_SIG.format('rl')}, {_WHI.format('sg')}, {_NORMED}, ok AS (SELECT ts_id FROM wn WHERE feature = 'f7' AND v >= 0.1e0),
+l AS (SELECT wn.*, CASE WHEN label % 2 = 0 THEN 'only_neg' ELSE 'only_posneg' END AS kind FROM wn JOIN ok ON ok.ts_id = wn.ts_id JOIN fr ON fr.ts_id = wn.ts_id WHERE feature IN ('f0', 'f2', 'f7'))
+SELECT ts_id + CASE WHEN kind = 'only_neg' THEN 0 ELSE 1000000 END AS ts_id, kind, feature, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) + 0e0 AS v FROM l WINDOW w AS (PARTITION BY kind, feature)""",
+)
 _halves = lambda s, d: (lambda f: {k: f.filter(F.col("label") % 2 == i) for i, k in enumerate(R.KINDS)})(src.raw_features(s, d))
 _add("joint_space", lambda s, d: T.joint_space(_halves(s, d), FEATURES).unpivot(["pool", "ts_id"], FEATURES, "feature", "v").withColumn("v", X.rounded(F.col("v"))), f"WITH {SPACE}, {_RAW}, {_SIG.format('rl')}, {_WHI.format('sg')}, {_NORMED} SELECT CASE WHEN label % 2 = 0 THEN 'only_neg' ELSE 'only_posneg' END AS pool, fr.ts_id, feature, round(v, 6) + 0e0 AS v FROM wn JOIN fr ON fr.ts_id = wn.ts_id")
 _level_ids = lambda s, d: T.numbered(_by_level(s, d))

@@ -67,7 +67,9 @@ class Store:
         known = self._prints.get(id(df))
         if known is not None:
             return known[1]
-        plan = hashlib.sha256(df._jdf.queryExecution().optimizedPlan().canonicalized().toString().encode()).hexdigest()
+        # every field of the plan, as a shortened text would let two plans look alike
+        text = df._jdf.queryExecution().optimizedPlan().canonicalized().treeString(True, False, 2147483647, False)
+        plan = hashlib.sha256(text.encode()).hexdigest()
         return [plan, files_of(df)]
 
     def stage(self, name: str, make: Callable[..., DataFrame], *inputs: DataFrame, **settings) -> DataFrame:

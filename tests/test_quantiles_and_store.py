@@ -118,5 +118,13 @@ def test_a_broken_attempt_is_not_read(spark, tmp_path):
     assert Store(spark, f"{tmp_path}/stages").stage("fails", lambda df: df.filter("id > 0"), spark.read.parquet(f"{tmp_path}/in")).count() == 2
 
 
+def test_wide_plans_are_told_apart(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    store = Store(spark, f"{tmp_path}/stages")
+    wide = lambda last: spark.read.parquet(f"{tmp_path}/in").select(*[(F.col("id") + i).alias(f"c{i}") for i in range(60)], (F.col("id") * last).alias("last"))
+    sums = [store.stage("wide", lambda df: df.agg(F.sum("last").alias("n")), wide(k)).first()["n"] for k in (2, 3, 2)]
+    assert sums == [6, 9, 6] and (store.made, store.reused) == (2, 1)
+
+
 def _fails(df):
     raise RuntimeError("no")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from loadscape.functions import arrays as A
 from loadscape.functions import kernels as K
 from loadscape.operators import recombine as R
+from loadscape.operators import sets as T
 from loadscape.sources import series as src
+from loadscape.sources.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,25 @@ def test_tables_by_kind(spark, tmp_path):
         src.by_kind(spark, f"{tmp_path}/a", R.KINDS)
     with pytest.raises(KeyError):
         src.by_kind(spark, {"only_neg": f"{tmp_path}/a"}, R.KINDS)
+
+
+def test_space_of_both_kinds_by_stages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    names = [*T.REPRESENTATIVES, *T.EXCLUDED]
+    for k in R.KINDS:
+        rows = [(i, *map(float, rng.random(len(names)))) for i in range(90)]
+        spark.createDataFrame(rows, "ts_id long, " + ", ".join(f"{c} double" for c in names)).write.parquet(f"{tmp_path}/{k}")
+    features = lambda: {k: spark.read.parquet(f"{tmp_path}/{k}") for k in R.KINDS}
+    first = Store(spark, f"{tmp_path}/stages")
+    got = T.staged_space(first, features(), names).toPandas()
+    assert (first.made, first.reused) == (3, 0) and set(got["kind"]) == set(R.KINDS) and (got["ts_id"] >= 1_000_000).sum() == (got["kind"] == R.KINDS[1]).sum()
+    for _, own in got.groupby("kind"):
+        assert all(own[c].min() == 0 and own[c].max() == 1 for c in T.REPRESENTATIVES)
+    again = Store(spark, f"{tmp_path}/stages")
+    assert T.staged_space(again, features(), names).count() == len(got) and (again.made, again.reused) == (0, 3)
+    sets = spark.createDataFrame([(8, r.kind, r.ts_id) for r in got.groupby("kind").head(4).itertuples()] + [(4, r.kind, r.ts_id) for r in got.groupby("kind").head(2).itertuples()], "set_size int, kind string, ts_id long")
+    space = spark.createDataFrame(got)
+    tables = T.mapped_sets(sets, norm_space=space, ts=space.select("ts_id", F.array("iqr", "mean").alias("values")))
+    assert {k: df.count() for k, df in tables.items()} == {"info": 12, "norm_space": 12, "ts": 12}
+    ids = sorted(r["ts_id"] for r in tables["norm_space"].filter("set_size = 8").collect())
+    assert ids == [0, 1, 2, 3, 1_000_000, 1_000_001, 1_000_002, 1_000_003]
