@@ -68,7 +68,13 @@ class Store:
         if known is not None:
             return known[1]
         # every field of the plan, as a shortened text would let two plans look alike
-        text = df._jdf.queryExecution().optimizedPlan().canonicalized().treeString(True, False, 2147483647, False)
+        key = "spark.sql.debug.maxToStringFields"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "2147483647")
+        try:
+            text = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+        finally:
+            self.spark.conf.set(key, before)
         plan = hashlib.sha256(text.encode()).hexdigest()
         return [plan, files_of(df)]
 
