@@ -22,16 +22,18 @@ import heapq
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscape.llm.common import mix
 
-MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 200_000
+MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 100_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _ESCAPE = "\ue000"  # stands for U+2581 while a text is cut into chunks, if the text has no such character itself
@@ -40,6 +42,7 @@ _ESCAPE = "\ue000"  # stands for U+2581 while a text is cut into chunks, if the
 _M = (1 << 64) - 1
 _WIDE = 32  # longer chunks go through their agenda one by one
 _BLOCK = 1 << 16  # occurrences whose draws are made at once
+_SLICE = 1 << 20  # bytes of text whose chunks are held at once
 _NONE = np.int32(1 << 30)
 
 
@@ -161,8 +164,8 @@ class Codec:
         size = np.fromiter(map(len, chunks), np.int64, n)
         row = int(size.max()) + 1  # each chunk's characters, and a place behind the last
         codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
-        some, back = np.unique(codes, return_inverse=True)
-        own = np.array([self.ids.get(chr(c), -2) for c in some], np.int32)
+        some_chars, back = np.unique(codes, return_inverse=True)
+        own = np.array([self.ids.get(chr(c), -2) for c in some_chars], np.int32)
         ends = np.cumsum(size)
         place = np.repeat(np.arange(n) * row - (ends - size), size) + np.arange(len(codes))
         part = np.full(n * row, -1, np.int32)
@@ -210,13 +213,21 @@ class Codec:
             rank[h], merged[h] = both_rank[len(i) :], both_id[len(i) :]
         owner = np.concatenate(seen)
         span, many = np.concatenate(spans)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n).astype(np.int32)
-        if (own == -2).any():
-            char = np.zeros(n * row, np.uint32)
-            char[place] = codes
-            found = [self._as_ids(p if p >= 0 else chr(c) for p, c in zip(ps, cs) if p != -1) for ps, cs in zip(part.reshape(n, row).tolist(), char.reshape(n, row).tolist())]
-            return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int32, n), span, many
-        live = part >= 0
-        return part[live], live.reshape(n, row).sum(axis=1).astype(np.int32), span, many
+        # a character without a piece becomes its bytes
+        odd, times = np.flatnonzero(part == -2), (part >= 0).astype(np.int32)
+        if not len(odd):
+            return part[part >= 0], times.reshape(n, row).sum(axis=1, dtype=np.int32), span, many
+        written = [self._as_ids([chr(c)]) if i == -2 else [] for i, c in zip(own.tolist(), some_chars.tolist())]
+        table, lengths = np.array([i for w in written for i in w], np.int32), np.fromiter(map(len, written), np.int32, len(written))
+        which = np.zeros(n * row, np.int64)
+        which[place] = back
+        which = which[odd]
+        times[odd] = lengths[which]
+        ids = np.repeat(part, times)
+        lengths_of, firsts = lengths[which].astype(np.int64), np.cumsum(lengths) - lengths
+        nth = np.arange(lengths_of.sum()) - np.repeat(np.cumsum(lengths_of) - lengths_of, lengths_of)
+        ids[np.repeat((np.cumsum(times) - times)[odd], lengths_of) + nth] = table[np.repeat(firsts[which], lengths_of) + nth]
+        return ids, times.reshape(n, row).sum(axis=1, dtype=np.int32), span, many
 
     def _new(self, chunk: np.ndarray, parent: np.ndarray, step: np.ndarray) -> np.ndarray:
         """Numbers for nodes, still without ids and candidates."""
@@ -298,10 +309,10 @@ class Codec:
                 if i not in whole:
                     chunks += _CHUNK.findall("\u2581" + text.replace(" ", "\u2581"))
             ends.append(len(chunks))
-        known = self.known
-        number = np.array([known.setdefault(c, len(known)) for c in chunks], np.int64)
-        new = list(itertools.islice(known, len(self.chunks), None))
-        begin = len(self.chunks)
+        known, begin = self.known, len(self.chunks)
+        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        known.update(zip(new, itertools.count(begin)))
+        number = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         self.chunks += new
         self.root = np.concatenate((self.root[:begin], np.full(len(new), -1, np.int32)))
         short = begin + np.flatnonzero(np.fromiter(map(len, new), np.int64, len(new)) <= _WIDE)
@@ -339,12 +350,27 @@ class Codec:
         return b"".join([out[i] for i in ids.tolist()]).decode()[1:]
 
 
+@lru_cache(maxsize=1)
+def _codec(settings: tuple) -> Codec:
+    """One for all tasks of a worker process."""
+    return Codec(**dict(settings))
+
+
+def slices(batch: pa.RecordBatch, most: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with texts of up to `most` bytes; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = held = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, held + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at, held = stop, int(ends[stop - 1])
+
+
 def _map(docs: DataFrame, schema: str, row, **settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(**settings)
+        codec = _codec(tuple(sorted(settings.items())))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch):
                 yield row(codec, part)
 
     return docs.mapInArrow(run, schema)
