@@ -25,6 +25,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,6 @@ from loadscape.llm.common import kept
 CAPACITY, END, VOCABULARY, CACHE = 2048, 0, "byte_bpe_50k.json", 600_000
 #: Such a tokenizer starts a new token at white space behind any other character, and at a stop behind a letter; these are none, or letters, by every edition of Unicode.
 _CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,])")
-_OTHER = re.compile(r"(?:^|[^!-~À-ɏ])[ \n]|(?:^|[^A-Za-zÀ-ÖØ-öø-ɏ])[.,]|\x00")  # white space or a stop that may be no cut
 #: A blank and letters: one word for such a tokenizer.
 _WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _AT_ONCE = 10_000
@@ -52,6 +52,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+
+
+def _kinds() -> np.ndarray:
+    """By UTF-16 unit: 1 what white space is cut behind, 2 what a stop is cut behind (surrogates are neither), 4 white space, 8 a stop."""
+    units = "".join(map(chr, range(0x250)))
+    out = np.zeros(1 << 16, np.uint8)
+    for bit, found in ((1, re.finditer("[!-~À-ɏ]", units)), (2, re.finditer("[A-Za-zÀ-ÖØ-öø-ɏ]", units)), (4, re.finditer("[ \n]", units)), (8, re.finditer("[.,]", units))):
+        out[[m.start() for m in found]] |= bit
+    return out
+
+
+_KINDS = _kinds()
+
+
+def irregular(texts: list[str]) -> list[bool]:
+    """Whether each text has white space or a stop that may be no cut, or a zero character."""
+    zero = ["\0" in t for t in texts]
+    units = np.frombuffer("\0".join(["", *("" if z else t for z, t in zip(zero, texts)), ""]).encode("utf-16-le"), np.uint16)
+    kind = _KINDS[units]
+    odd = np.flatnonzero((kind[1:] >> 2) & ~kind[:-1] & 3)  # white space (4) not behind 1, or a stop (8) not behind 2
+    for i in np.unique(np.searchsorted(np.flatnonzero(units == 0), odd, side="right") - 1).tolist():
+        zero[i] = True
+    return zero
+
+
 _SLICE = 1 << 21
 
 
@@ -81,10 +106,10 @@ class Encoder:
         self.words = Tokenizer.from_file(path)  # the same, for words that are cut and written in byte letters
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str, irregular: bool) -> list[str]:
         if not self.by_words:
             return [text]
-        if _OTHER.search(text):
+        if irregular:
             return _CUT.split(text)
         for c in " \n.,":
             text = text.replace(c, f"\0{c}")
@@ -95,13 +120,15 @@ class Encoder:
         alone = new
         if self.by_words and self.mark:
             mark, number = self.mark
-            alone = [c for c in new if mark in c]
-            rest = [c for c in new if mark not in c]
-            for is_word, by, written in ((True, self.words, lambda c: c.encode().decode("latin-1").translate(_LETTERS)), (False, self.tokenizer, str)):
-                kind = [c for c in rest if bool(_WORD.fullmatch(c)) == is_word]
+            alone, words, others = [], [], []
+            for c in new:
+                (alone if mark in c else words if _WORD.fullmatch(c) else others).append(c)
+            in_bytes = _LETTERS | {10: mark}  # no word holds a line feed
+            written = lambda some: "\n".join(some).encode().decode("latin-1").translate(in_bytes)
+            for kind, by, joined in ((words, self.words, written), (others, self.tokenizer, mark.join)):
                 for at in range(0, len(kind), _AT_ONCE):
                     some = kind[at : at + _AT_ONCE]
-                    ids = np.array(by.encode_batch_fast([mark.join(map(written, some))], add_special_tokens=False)[0].ids, "<u4")
+                    ids = np.array(by.encode_batch_fast([joined(some)], add_special_tokens=False)[0].ids, "<u4")
                     ends = [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
                     data = ids.tobytes()
                     self.known.update((c, data[4 * (a + 1) : 4 * b]) for c, a, b in zip(some, ends, ends[1:]))
@@ -110,7 +137,7 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [self.parts(t) for t in texts]
+        parts = [self.parts(t, odd) for t, odd in zip(texts, irregular(texts) if self.by_words else [False] * len(texts))]
         met = set().union(*parts)
         if len(self.known) > self.size:
             self.known, self.before = {}, self.known
@@ -118,7 +145,7 @@ class Encoder:
         again = need.intersection(self.before)
         self.known.update(zip(again, map(self.before.__getitem__, again)))
         self._learn(list(need.difference(again)))
-        return [b"".join(map(self.known.__getitem__, own)) for own in parts]
+        return [b"".join(itemgetter(*own)(self.known)) if len(own) > 1 else self.known[own[0]] for own in parts]
 
 
 @lru_cache(maxsize=1)
