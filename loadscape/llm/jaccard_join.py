@@ -285,7 +285,9 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
     One after another, active members are held against the block's own of other components by size and by the
     Hamming distance of their sketches; those that pass are verified, up to 8 x `most` for the same two components. An
     active member that already is in `most` of a round's pairs, or has more than these with one component, waits, as many are in
-    one component by then; one that does not wait in any block has been held against all.
+    one component by then; one that does not wait in any block has been held against all. In the first round, when every
+    class is its own component, an active member is paired with those that are in no pair and with 8 others; if there are more, it waits as
+    these do, and the second round holds them against each other if they are in different components still. So a bucket's pairs grow with its members.
     """
     names = ["bucket", "class", "a", "b", "a_rep", "b_rep", "part"]
 
@@ -313,6 +315,10 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
                 waits[i] |= len(some) < y - x
                 keep.append(some)
             rows = np.concatenate(keep)
+            if most == 1:  # all components are single classes
+                again = np.flatnonzero(paired[rows] > 0)[8:]
+                waits[i] |= len(again) > 0
+                rows = np.delete(rows, again)
             paired[rows] += 1
             out.append((np.full(len(rows), i), rows))
         return out, waits
