@@ -14,7 +14,8 @@ packed, one row for each batch and target partition, and are matched there by so
 the number of parts. A bucket of many classes is not paired off: it is cut into blocks of BLOCK, and pairs of blocks
 are tasks of their own, in which members of different components are held against each other by the Hamming distance
 of folded sketches. What passes with one member is verified against that one, and only members that are then still
-in different components are compared further, all of them in the end.
+in different components are compared further, all of them in the end. A class lists its largest buckets, and two classes
+that list a bucket in common meet in one of these only, so copies with many parts in common are one pair, not one a part.
 
 Defined results: A-Z is lower-cased, nothing else; a document with fewer words than a shingle has one, the whole
 sequence; one without words or text has an empty set and links with nothing; a link at exactly the least similarity
@@ -41,6 +42,8 @@ WORDS, PERCENT, FREQUENT, LOCAL_FREQUENT, SKETCH = 5, 75, 1 << 16, 6, 512
 #: Members of a bucket that one task holds against each other, parts that are matched at once, shingles of a class whose parts go to one task, and pairs that share a copy of a text.
 BLOCK, MATCH_PARTS, LONG_SET, PAIRS = 1024, 2_000_000, 1024, 128
 SALTS = 16
+#: How many of its buckets with so many members a class lists.
+LISTED, LARGE = 8, 16
 _BASE, _SECOND, _FLUSH = 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 1 << 21
 
 
@@ -206,8 +209,8 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names,
 
 
 def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
-    """The classes that share a part; equal lists of a partition come once. Two: class, size, other, other_size; more: bucket, class, size, and the block of the bucket's blocks (own; the bucket's first class visits the other blocks too)."""
-    names = ["bucket", "class", "size", "block", "blocks", "own", "other", "other_size"]
+    """The classes that share a part; equal lists of a partition come once. Two: class, size, other, other_size; more: bucket, class, size, and the block of the bucket's blocks (own; the bucket's first class visits the other blocks too), and many, the bucket's members."""
+    names = ["bucket", "class", "size", "block", "blocks", "own", "many", "other", "other_size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -236,17 +239,18 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
             two = two[np.minimum(small, large).astype(np.int64) * 100 >= np.maximum(small, large).astype(np.int64) * percent]
             small, large = sizes[who[two]], sizes[who[two + 1]]
             none = lambda kind: pa.nulls(len(two), kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), pa.array(small), none(pa.int32()), none(pa.int32()), none(pa.bool_()), pa.array(cls[two + 1]), pa.array(large)], names=names)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(cls[two]), pa.array(small), none(pa.int32()), none(pa.int32()), none(pa.bool_()), none(pa.int32()), pa.array(cls[two + 1]), pa.array(large)], names=names)
             starts, lengths, digests = starts[lengths > 2], lengths[lengths > 2], digests[lengths > 2]
             for at in range(0, len(starts), 20_000):
                 st, ln = starts[at : at + 20_000], lengths[at : at + 20_000]
                 nth = np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
                 pos = np.repeat(st, ln) + nth
                 bucket = np.repeat(mix(digests[at : at + 20_000] ^ ln.astype(np.uint64)).view(np.int64), ln)  # the same for the same list anywhere
-                block, blocks = (nth // BLOCK).astype(np.int32), np.repeat(-(-ln // BLOCK), ln).astype(np.int32)
+                many = np.repeat(ln, ln).astype(np.int32)
+                block, blocks = (nth // BLOCK).astype(np.int32), -(-many // BLOCK)
                 visit = (nth % BLOCK == 0) & (nth > 0)  # once for every further block
                 head = (pos - nth)[visit]
-                at_once = [np.append(a, b) for a, b in ((bucket, bucket[visit]), (cls[pos], cls[head]), (sizes[who[pos]], sizes[who[head]]), (block, block[visit]), (blocks, blocks[visit]), (np.ones(len(pos), bool), np.zeros(len(head), bool)))]
+                at_once = [np.append(a, b) for a, b in ((bucket, bucket[visit]), (cls[pos], cls[head]), (sizes[who[pos]], sizes[who[head]]), (block, block[visit]), (blocks, blocks[visit]), (np.ones(len(pos), bool), np.zeros(len(head), bool)), (many, many[visit]))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, at_once), pa.nulls(len(pos) + len(head), pa.int64()), pa.nulls(len(pos) + len(head), pa.int32())], names=names)
 
         for batch in batches:
@@ -258,7 +262,7 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
         if key_now is not None:
             yield from match(key_now, held.pop(key_now))
 
-    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, own boolean, other long, other_size int")
+    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, own boolean, many int, other long, other_size int")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFrame:
@@ -279,19 +283,45 @@ def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFram
     return kept(found.dropDuplicates(["class"]), "jaccard-sets")
 
 
+def _listed(buckets: DataFrame) -> DataFrame:
+    """class and listed: of its buckets with LARGE members or more, the LISTED largest."""
+    large = buckets.filter((F.col("many") >= LARGE) & F.col("own")).groupBy("class").agg(F.collect_list(F.struct((-F.col("many")).alias("order"), "bucket")).alias("all"))
+    return large.select("class", F.slice(F.sort_array("all"), 1, LISTED)["bucket"].alias("listed"))
+
+
+def _elsewhere(bucket: int, lists: list[list[int]]):
+    """For i and rows: which of the rows meet member i in another bucket. Members that list buckets in common meet in the lowest of these."""
+    known, at = np.unique(np.array([b for x in lists for b in x], np.int64), return_inverse=True)
+    lengths, n = np.fromiter(map(len, lists), np.int64, len(lists)), len(known)
+    codes = np.full((len(lists), max(1, lengths.max())), n)  # n: nothing more is listed
+    codes[np.arange(codes.shape[1]) < lengths[:, None]] = at
+    own, mark = int(np.searchsorted(known, bucket)), np.zeros(n + 1, bool)
+    here = (codes == own).any(axis=1) & (bucket in known)
+
+    def met(i: int, rows: np.ndarray) -> np.ndarray:
+        mark[codes[i, : lengths[i]]] = True
+        common = mark[codes[rows]]
+        mark[codes[i]] = False
+        return (common & (codes[rows] < own)).any(axis=1) | common.any(axis=1) & ~(here[rows] & here[i])
+
+    return met
+
+
 def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
-    """For blocks of buckets (bucket, block, class, size, own, active, rep, component, sketch): pairs to verify, and the active members that wait for the next round (bucket, class).
+    """For blocks of buckets (bucket, block, class, size, own, active, rep, component, sketch, listed): pairs to verify, and the active members that wait for the next round (bucket, class).
 
     One after another, active members are held against the block's own of other components by size and by the
     Hamming distance of their sketches; those that pass are verified, up to 8 x `most` for the same two components. An
     active member that already is in `most` of a round's pairs, or has more than these with one component, waits, as many are in
-    one component by then; one that does not wait in any block has been held against all. In the first round, when every
+    one component by then; one that does not wait in any block has been held against all. Members that list other buckets in
+    common may meet in one of those, and are then not held against each other here. In the first round, when every
     class is its own component, an active member is paired with those that are in no pair and with 8 others; if there are more, it waits as
     these do, and the second round holds them against each other if they are in different components still. So a bucket's pairs grow with its members.
     """
     names = ["bucket", "class", "a", "b", "a_rep", "b_rep", "part"]
 
-    def pairs_of(cls, size, own, active, comp, sk) -> tuple[list, np.ndarray]:
+    def pairs_of(bucket, cls, size, own, active, comp, sk, lists) -> tuple[list, np.ndarray]:
+        elsewhere = None
         paired, waits, out, met = np.zeros(len(cls), int), np.zeros(len(cls), bool), [], {}
         for i in np.flatnonzero(active).tolist():
             if paired[i] >= most:
@@ -302,6 +332,9 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
                 near[:i] &= waits[:i] | ~active[:i]  # the others before were held against this one
             rows = np.flatnonzero(near)
             rows = rows[np.bitwise_count(sk[rows] ^ sk[i]).sum(axis=1) * (100 + percent) <= (size[rows] + size[i]) * (100 - percent)]
+            if len(rows) and lists[i]:
+                elsewhere = elsewhere or _elsewhere(bucket, lists)
+                rows = rows[~elsewhere(i, rows)]
             if not len(rows):
                 continue
             rows = rows[np.argsort(comp[rows], kind="stable")]
@@ -328,7 +361,7 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
         cls, size, own, active, rep, comp = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.int64, np.int64, bool, bool, np.int64, np.int64)))
         words = min(len(r[6]) for r in rows)
         sk = np.stack([folded(r[6], words) for r in rows]).view(np.uint64)
-        out, waits = pairs_of(cls, size, own, active, comp, sk)
+        out, waits = pairs_of(key[0], cls, size, own, active, comp, sk, [r[7] for r in rows])
         i, j = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
         part = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(o[1])) // PAIRS for o in out)]) + hash(key) % (1 << 32) * (1 << 24)
         i, j = np.minimum(i, j), np.maximum(i, j)  # in the order of classes
@@ -341,15 +374,17 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, block, *row, bits in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "class", "size", "own", "active", "rep", "component")), batch["sketch"]):
+            for bucket, block, *row, bits, listed in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "class", "size", "own", "active", "rep", "component")), batch["sketch"], batch["listed"].to_pylist()):
                 if (bucket, block) != now:
                     if rows:
                         yield from flush(now, rows)
                     now, rows = (bucket, block), []
-                rows.append((*row, bits.values.to_numpy()))
+                rows.append((*row, bits.values.to_numpy(), listed or []))
         if rows:
             yield from flush(now, rows)
 
+    if "listed" not in tasks.columns:
+        tasks = tasks.withColumn("listed", F.lit(None).cast("array<long>"))
     return tasks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket long, class long, a long, b long, a_rep long, b_rep long, part long")
 
 
@@ -429,13 +464,15 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
     shared = kept(_buckets(packed, percent, min(2 * n, 100_000)).distinct(), "jaccard-buckets")
     known_classes = profile.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").cast("int").alias("size"), F.first("sketch").alias("sketch"))
     met = shared.select("class").unionByName(shared.select(F.col("other").alias("class"))).distinct()
-    classes = kept(met.join(known_classes, "class"), "jaccard-classes")
+    buckets = shared.filter("bucket is not null").drop("other", "other_size")
+    classes = kept(met.join(known_classes, "class").join(_listed(buckets), "class", "left"), "jaccard-classes")
+    alone = classes.drop("listed")
     twos = shared.filter("other is not null").select(F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("other").alias("b"), F.col("other_size").alias("b_size"), F.pmod(F.xxhash64("other"), F.lit(8)).alias("part"))
-    twos = _salted(_salted(twos.withColumn("salt_by", F.col("b")), classes, "a").withColumn("salt_by", F.col("a")), classes, "b")
+    twos = _salted(_salted(twos.withColumn("salt_by", F.col("b")), alone, "a").withColumn("salt_by", F.col("a")), alone, "b")
     pairs = _near_pairs(twos, percent)
-    with_class = lambda rows, labelled: _salted(rows.withColumnRenamed("size", "class_size").withColumn("salt_by", F.col("bucket")), labelled).withColumnsRenamed({f"class_{c}": c for c in ("size", "rep", "sketch", "component")})
-    buckets = shared.filter("bucket is not null").drop("other", "other_size")
+    with_class = lambda rows, labelled: _salted(rows.withColumnRenamed("size", "class_size").withColumn("salt_by", F.col("bucket")), labelled).withColumnsRenamed({f"class_{c}": c for c in ("size", "rep", "sketch", "component", "listed")})
     # at first every class is its own component
+    buckets = buckets.drop("many")
     tasks = with_class(buckets, classes.withColumn("component", F.col("rep"))).withColumn("active", F.lit(True))
     sets = found = known = pool = None
     most = 1
