@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.common import kept, lowered, mix, run_hashes, word_hash_pair, word_hashes
+from loadscape.llm.common import giving_back, kept, lowered, mix, run_hashes, word_hash_pair, word_hashes
 from loadscape.llm.components import components
 
 WORDS, PERCENT, FREQUENT, LOCAL_FREQUENT, SKETCH = 5, 75, 1 << 16, 6, 512
@@ -115,7 +115,7 @@ def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             keep = [_near(x.values.to_numpy(), y.values.to_numpy(), n, percent) for x, y, n in zip(batch["a_sketch"], batch["b_sketch"], sizes)]
             yield batch.select(["a", "b", "a_rep", "b_rep", "part"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, _PAIR)
+    return pairs.mapInArrow(giving_back(run), _PAIR)
 
 
 def most_different(a: int, percent: int = PERCENT) -> int:
@@ -165,7 +165,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 names=["doc_id", "size", "class", "check", "sketch", "hot", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, class long, check long, sketch array<long>, hot array<long>, counts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, size long, class long, check long, sketch array<long>, hot array<long>, counts array<long>")
 
 
 def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names, n: int) -> DataFrame:
@@ -174,8 +174,8 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names,
     def pack(classes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
         who = np.repeat(np.arange(len(classes)), [len(x) for x in keys])
         key = np.concatenate(keys)
-        p = (key >> np.uint64(32)) % np.uint64(n)
-        by = np.lexsort((who, p))
+        p = ((key >> np.uint64(32)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)
+        by = np.argsort(p, kind="stable")  # who ascends
         p, who, key = p[by].astype(np.int64), who[by], key[by].astype(np.uint32)
         first = np.flatnonzero(np.diff(p, prepend=-1))
         rows, classes, sizes = [], np.array(classes, np.int64), np.array(sizes, np.int32)
@@ -205,7 +205,7 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names,
         if keys:
             yield pack(classes, sizes, keys)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "p int, classes binary, sizes binary, counts binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "p int, classes binary, sizes binary, counts binary, keys binary")
 
 
 def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
         if key_now is not None:
             yield from match(key_now, held.pop(key_now))
 
-    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, "bucket long, class long, size int, block int, blocks int, own boolean, many int, other long, other_size int")
+    return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(giving_back(run), "bucket long, class long, size int, block int, blocks int, own boolean, many int, other long, other_size int")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFram
 
     # rows of an id are together after the join, so equal ones go without another move of texts
     reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "class", "text").dropDuplicates()
-    found = kept(reps.select("class", "text").mapInArrow(run, "class long, text string"), "jaccard-sets")
+    found = kept(reps.select("class", "text").mapInArrow(giving_back(run), "class long, text string"), "jaccard-sets")
     # texts of one id that differ and have the same set: as a rule there are none
     if found.groupBy("class").count().filter("count > 1").isEmpty():
         return found
@@ -385,7 +385,7 @@ def _candidates(tasks: DataFrame, percent: int, most: int) -> DataFrame:
 
     if "listed" not in tasks.columns:
         tasks = tasks.withColumn("listed", F.lit(None).cast("array<long>"))
-    return tasks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket long, class long, a long, b long, a_rep long, b_rep long, part long")
+    return tasks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(giving_back(run), "bucket long, class long, a long, b long, a_rep long, b_rep long, part long")
 
 
 def _block_tasks(named: DataFrame, second: bool) -> tuple[DataFrame, DataFrame]:
@@ -430,7 +430,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], names=["a", "b", "a_rep", "b_rep", "inter", "either"])
 
     key = ["a", "part"]
-    return stream.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, a_rep long, b_rep long, inter long, either long")
+    return stream.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first()).mapInArrow(giving_back(run), "a long, b long, a_rep long, b_rep long, inter long, either long")
 
 
 def profiles(docs: DataFrame, k: int = WORDS) -> tuple[DataFrame, np.ndarray, Names]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscape.llm.common import mix
+from loadscape.llm.common import giving_back, mix
 
 MODEL, DROPOUT, SEED, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 100_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
@@ -101,9 +101,10 @@ class Codec:
             while self.keys[slot] != -1:
                 slot = (slot + 1) & _MASK
             self.keys[slot], self.pair_rank[slot], self.pair_id[slot] = key, r, i
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the chunks learned so far."""
         self.known: dict[str, int] = {}
         self.chunks: list[str] = []
         self.root = np.zeros(0, np.int32)  # by chunk; -1: not met, or longer than _WIDE
@@ -297,7 +298,7 @@ class Codec:
     def encode_many(self, texts: list[str | None], doc_ids: list, copies: list[int | None] | None = None) -> list[np.ndarray]:
         """Ids of each text; copies number texts that come with the same id (null and 0 are the first)."""
         if len(self.known) > self.size or self.nodes > 4 * self.size or self.used > 32 * self.size:
-            self._forget()
+            self.forget()
         chunks: list[str] = []
         ends, whole = [], {}
         for i, text in enumerate(texts):
@@ -366,14 +367,18 @@ def slices(batch: pa.RecordBatch, most: int = _SLICE) -> Iterator[pa.RecordBatch
         at, held = stop, int(ends[stop - 1])
 
 
-def _map(docs: DataFrame, schema: str, row, **settings) -> DataFrame:
+def _map(docs: DataFrame, schema: str, row, forget: bool = False, **settings) -> DataFrame:
+    """forget: what a task has learned goes with it, for less memory between tasks and more CPU."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tuple(sorted(settings.items())))
         for batch in batches:
             for part in slices(batch):
                 yield row(codec, part)
+        if forget:
+            codec.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, adjacent: bool = False, **settings) -> DataFrame:
@@ -393,7 +398,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy
         return pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(copy_col) if copy_col else F.lit(0)).alias("copy")), f"{id_col} {kind}, ids array<int>", row, **settings)
+    return _map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(copy_col) if copy_col else F.lit(0)).alias("copy")), f"{id_col} {kind}, ids array<int>", row, forget=True, **settings)
 
 
 def roundtrip(docs: DataFrame, **settings) -> DataFrame:
