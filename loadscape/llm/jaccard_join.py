@@ -16,6 +16,7 @@ are tasks of their own, in which members of different components are held agains
 of folded sketches. What passes with one member is verified against that one, and only members that are then still
 in different components are compared further, all of them in the end. A class lists its largest buckets, and two classes
 that list a bucket in common meet in one of these only, so copies with many parts in common are one pair, not one a part.
+Of the texts and sketches that a join would move, those that cannot have a partner in it are left out before by a mark of bits.
 
 Defined results: A-Z is lower-cased, nothing else; a document with fewer words than a shingle has one, the whole
 sequence; one without words or text has an empty set and links with nothing; a link at exactly the least similarity
@@ -44,6 +45,8 @@ BLOCK, MATCH_PARTS, LONG_SET, PAIRS = 1024, 2_000_000, 1024, 128
 SALTS = 16
 #: How many of its buckets with so many members a class lists.
 LISTED, LARGE = 8, 16
+#: Bits of the mark by which rows are chosen before they move; a power of two, 64 at least.
+MARK = 1 << 23
 _BASE, _SECOND, _FLUSH = 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 1 << 21
 
 
@@ -168,6 +171,15 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, size long, class long, check long, sketch array<long>, hot array<long>, counts array<long>")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all lowest ones first: of small numbers the higher ones are zeros, which compress."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names, n: int) -> DataFrame:
     """p and, packed: classes, their sizes, numbers of keys, and keys that belong to partition p."""
 
@@ -182,7 +194,7 @@ def _packed_parts(docs: DataFrame, k: int, percent: int, frequent, names: Names,
         for a, b in zip(first, [*first[1:], len(p)]):
             starts = np.flatnonzero(np.diff(who[a:b], prepend=-1))
             own = who[a:b][starts]
-            rows.append((int(p[a]), classes[own].tobytes(), sizes[own].tobytes(), np.diff(np.append(starts, b - a)).astype(np.int32).tobytes(), key[a:b].tobytes()))
+            rows.append((int(p[a]), classes[own].tobytes(), _planes(sizes[own]), _planes(np.diff(np.append(starts, b - a))), key[a:b].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["p", "classes", "sizes", "counts", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +230,8 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
 
         def match(p: int, rows: list) -> Iterator[pa.RecordBatch]:
             classes = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-            sizes = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-            counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+            sizes = np.concatenate([_from_planes(r[1]) for r in rows])
+            counts = np.concatenate([_from_planes(r[2]) for r in rows])
             keys = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
             who, cls = np.repeat(np.arange(len(classes)), counts), np.repeat(classes, counts)
             by = np.lexsort((cls, keys))
@@ -265,6 +277,18 @@ def _buckets(packed: DataFrame, percent: int, n: int) -> DataFrame:
     return packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(giving_back(run), "bucket long, class long, size int, block int, blocks int, own boolean, many int, other long, other_size int")
 
 
+def _among(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose `name`, a long, is not in ids, which has that column alone; none that is there goes.
+
+    ids are marked in MARK bits by a hash, which go to all tasks as a table of words, so nothing else moves. The more
+    ids there are, the more other rows stay: an eighth of them at a million.
+    """
+    at = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(MARK))
+    word, bit = F.shiftright(F.col("_at"), 6).alias("_word"), F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    words = ids.select(at.alias("_at")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_at", at).withColumn("_word", word).join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFrame:
     """class and text of each class's representative."""
 
@@ -275,7 +299,8 @@ def _sets(docs: DataFrame, classes: DataFrame, names: Names, k: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch["class"], batch["text"]], names=["class", "text"]).filter(right)
 
     # rows of an id are together after the join, so equal ones go without another move of texts
-    reps = docs.select("doc_id", "text").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "class", "text").dropDuplicates()
+    classes = classes.withColumnRenamed("rep", "doc_id")
+    reps = _among(docs.select("doc_id", "text"), "doc_id", classes.select("doc_id")).join(classes, "doc_id").select("doc_id", "class", "text").dropDuplicates()
     found = kept(reps.select("class", "text").mapInArrow(giving_back(run), "class long, text string"), "jaccard-sets")
     # texts of one id that differ and have the same set: as a rule there are none
     if found.groupBy("class").count().filter("count > 1").isEmpty():
@@ -289,6 +314,13 @@ def _listed(buckets: DataFrame) -> DataFrame:
     return large.select("class", F.slice(F.sort_array("all"), 1, LISTED)["bucket"].alias("listed"))
 
 
+def _halved(sketch: str) -> F.Column:
+    """A sketch of more than SKETCH bits folded once, as folded() does; a pair that a sketch admits, its fold admits."""
+    half = (F.size(sketch) / 2).cast("int")
+    fold = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(sketch) * 64 > SKETCH, fold).otherwise(F.col(sketch))
+
+
 def _elsewhere(bucket: int, lists: list[list[int]]):
     """For i and rows: which of the rows meet member i in another bucket. Members that list buckets in common meet in the lowest of these."""
     known, at = np.unique(np.array([b for x in lists for b in x], np.int64), return_inverse=True)
@@ -473,7 +505,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
     with_class = lambda rows, labelled: _salted(rows.withColumnRenamed("size", "class_size").withColumn("salt_by", F.col("bucket")), labelled).withColumnsRenamed({f"class_{c}": c for c in ("size", "rep", "sketch", "component", "listed")})
     # at first every class is its own component
     buckets = buckets.drop("many")
-    tasks = with_class(buckets, classes.withColumn("component", F.col("rep"))).withColumn("active", F.lit(True))
+    tasks = with_class(buckets, _among(classes, "class", buckets.select("class")).withColumn("component", F.col("rep")).withColumn("sketch", _halved("sketch"))).withColumn("active", F.lit(True))
     sets = found = known = pool = None
     most = 1
     while True:
@@ -501,7 +533,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame, frequent: np.ndarray, na
         if pool.filter("active").isEmpty():
             return found
         labelled = classes.join(found, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
-        named = with_class(pool, labelled)
+        named = with_class(pool, _among(labelled, "class", pool.select("class")))
         tasks, pool = _block_tasks(kept(named, "jaccard-named"), most == 1)
         if tasks.isEmpty():
             return found
