@@ -1,11 +1,12 @@
 """Small sets that cover a feature space evenly.
 
-The pool stays distributed; what reaches the driver is a set of fixed size, or the pool's bin numbers for the greedy
-exchange, of which a sample of at most POOL rows takes part beside the chosen ones.
+The pool stays distributed; what reaches the driver is a set of fixed size, the ids and some neighbours of the rows of which the closest are removed,
+or the pool's bin numbers for the greedy exchange, of which a sample of at most POOL rows takes part beside the chosen ones.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +21,7 @@ from loadscape.operators.space import correlation_matrix, decile_right_closed, n
 from loadscape.plans.sql import EDGES
 from loadscape.sources.store import kept
 
-OFFSET, POOL = 1_000_000, 1 << 18
+OFFSET, POOL, NEIGHBOURS = 1_000_000, 1 << 18, 1 << 21
 
 
 def with_kind(df: DataFrame) -> DataFrame:
@@ -79,28 +80,103 @@ def resized(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     return inside.unionByName(sample(df.join(chosen, "ts_id", "left_anti"), n - have))
 
 
+class _Near:
+    """Nearest neighbours of rows by position in the order of ids: some of each row, and more of those rows that run out of them."""
+
+    def __init__(self, rows: DataFrame, columns: list[str]):
+        self.rows, self.columns = rows, columns
+        self.ids = np.sort(rows.select("ts_id").toArrow()["ts_id"].to_numpy())
+        self.alive = np.ones(len(self.ids), bool)
+        self.first = np.zeros(len(self.ids), np.int32)
+        self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # starts, neighbours, distances
+        self.table, self.place = np.zeros(len(self.ids), np.int32), np.zeros(len(self.ids), np.int32)
+        self.whole = np.zeros(len(self.ids), bool)
+        self.ask(np.arange(len(self.ids)))
+
+    def ask(self, some: np.ndarray) -> None:
+        left = int(self.alive.sum())
+        k = max(1, min(left - 1, max(8, NEIGHBOURS // len(some))))
+        of = lambda x: self.rows.join(self.rows.sparkSession.createDataFrame(pd.DataFrame({"ts_id": self.ids[x]})), "ts_id", "left_semi")
+        points = self.rows if left == len(self.ids) else of(self.alive)
+        found = nearest(self.rows if len(some) == len(self.ids) else of(some), points, self.columns, k).select("q_id", "rank", "ts_id", "dist").toArrow()
+        q, rank = np.searchsorted(self.ids[some], found["q_id"].to_numpy()), found["rank"].to_numpy()
+        size = np.bincount(q, minlength=len(some))
+        starts = np.concatenate(([0], np.cumsum(size)))
+        near, dist = np.empty(len(q), np.int32), np.empty(len(q))
+        near[starts[q] + rank - 1] = np.searchsorted(self.ids, found["ts_id"].to_numpy())
+        dist[starts[q] + rank - 1] = found["dist"].to_numpy()
+        self.table[some], self.place[some], self.first[some] = len(self.lists), np.arange(len(some)), 0
+        self.whole[some] = (size < k) | (k >= left - 1)
+        self.lists.append((starts, near, dist))
+        for old in set(range(len(self.lists))) - set(np.unique(self.table[self.alive]).tolist()):
+            self.lists[old] = ()  # nobody's any more
+
+    def of(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, near, dist = self.lists[self.table[x]]
+        a, b = starts[self.place[x]], starts[self.place[x] + 1]
+        return near[a:b], dist[a:b]
+
+    def nth(self, x: int, second: bool = False) -> tuple[float, int | None]:
+        """Distance and neighbour of the nearest (second nearest) that is left; without a neighbour, the distance is one that it has at least."""
+        near, dist = self.of(x)
+        i = int(self.first[x])
+        while i < len(near) and not self.alive[near[i]]:
+            i += 1
+        self.first[x] = i
+        if second:
+            i += 1
+            while i < len(near) and not self.alive[near[i]]:
+                i += 1
+        if i < len(near):
+            return float(dist[i]), int(near[i])
+        return (np.inf if self.whole[x] or not len(near) else float(dist[-1])), None
+
+    def ask_more(self) -> None:
+        """More neighbours for rows that have few left."""
+        few = [x for x in np.flatnonzero(self.alive & ~self.whole).tolist() if self.alive[(near := self.of(x)[0])].sum() < 2 + len(near) // 8]
+        self.ask(np.array(few))
+
+
 def remove_closest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """n rows left when, again and again, of the closest pair the row with the nearer second neighbour goes. df is a set of fixed size."""
+    """n rows left when, again and again, of the closest pair the row with the nearer second neighbour goes.
+
+    The driver holds the rows' ids and at most NEIGHBOURS of their neighbours at a time (8 a row, if that is more). Where these do not tell which pair or row is next, rows with few left get more.
+    """
     size = df.count()
     drop = size - n
     if drop <= 0:
         return df
-    if size > 20_000:  # each row's neighbours reach the driver
-        raise ValueError(f"{size} rows; a set of fixed size is to have at most 20000")
-    near = nearest(df, df, columns, drop + 2).orderBy("q_id", "rank").toPandas()
-    gone: set[int] = set()
-    lists = {q: list(zip(g["dist"], g["ts_id"])) for q, g in near.groupby("q_id")}
-    for _ in range(drop):
-        for q in lists:
-            while lists[q] and lists[q][0][1] in gone:
-                lists[q].pop(0)
-        a = min((x for x in lists if lists[x]), key=lambda x: (lists[x][0][0], x))
-        b = lists[a][0][1]
-        second = lambda x: next((d for d, y in lists[x][1:] if y not in gone), np.inf)
-        worse = a if second(a) <= second(b) else b
-        gone.add(worse)
-        lists.pop(worse)
-    return df.filter(~F.col("ts_id").isin([int(g) for g in gone]))
+    known = _Near(kept(df.select("ts_id", *columns), "closest"), columns)
+    # a row's distance is never more than that of its pair here; what has grown is put back
+    pairs = [(d, x) for x in range(size) for d in [known.nth(x)[0]] if d < np.inf]
+    heapq.heapify(pairs)
+    while drop:
+        if not pairs:
+            raise ValueError("too few rows have coordinates")
+        at, a = pairs[0]
+        if not known.alive[a]:
+            heapq.heappop(pairs)
+            continue
+        d, b = known.nth(a)
+        if d > at:
+            heapq.heapreplace(pairs, (d, a)) if d < np.inf else heapq.heappop(pairs)
+            continue
+        if b is None:
+            known.ask_more()
+            continue
+        (da, sa), (db, sb) = known.nth(a, True), known.nth(b, True)
+        sure_a, sure_b = sa is not None or da == np.inf, sb is not None or db == np.inf
+        if sure_a and da <= db:
+            worse = a
+        elif sure_b and da > db:
+            worse = b
+        else:
+            known.ask_more()
+            continue
+        known.alive[worse] = False
+        drop -= 1
+    gone = df.sparkSession.createDataFrame(pd.DataFrame({"ts_id": known.ids[~known.alive]}))
+    return df.join(gone, "ts_id", "left_anti")
 
 
 def _bins(df: DataFrame, columns: list[str], most: int, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
